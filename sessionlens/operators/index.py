@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sessionlens import constants as K
 from sessionlens.functions import text as X
@@ -36,12 +36,26 @@ def forward_index(chunks: DataFrame) -> DataFrame:
 
 
 def build_postings(forward: DataFrame) -> DataFrame:
-    """Occurrences per (token, chunk). A group never exceeds one chunk, so a frequent token is spread
-    over as many groups as there are chunks holding it."""
-    return (
-        forward.select("session_id", "chunk_no", "kind", "n_tokens", F.posexplode("tokens").alias("pos", "token"))
-        .groupBy("token", "session_id", "chunk_no", "kind", "n_tokens")
-        .agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    """Occurrences per (token, chunk). A projection: a chunk's postings are the runs of its sorted
+    (token, position) pairs, so nothing is shuffled until the result is laid out by token."""
+    ordered = forward.where(F.size("tokens") > 0).withColumn(
+        "_pairs", F.array_sort(F.transform("tokens", lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    )
+
+    def token(k) -> Column:
+        return F.get("_pairs", k)["t"]
+
+    starts = F.filter(F.sequence(F.lit(0), F.size("_pairs") - 1), lambda k: (k == 0) | (token(k) != token(k - 1)))
+    bounded = ordered.withColumn("_starts", F.array_append(starts, F.size("_pairs")))
+    runs = F.transform(
+        F.slice("_starts", F.lit(1), F.size("_starts") - 1),
+        lambda k, j: F.struct(
+            token(k).alias("token"),
+            F.transform(F.slice("_pairs", k + 1, F.get("_starts", j + 1) - k), lambda p: p["i"]).alias("positions"),
+        ),
+    )
+    return bounded.select(*CHUNK_KEY, "kind", "n_tokens", F.inline(runs)).select(
+        "token", *CHUNK_KEY, "kind", "n_tokens", F.size("positions").alias("tf"), "positions"
     )
 
 
@@ -116,15 +130,19 @@ def expand_prefixes(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return single.join(prefix_keys(vocabulary), "prefix").where(F.startswith("token", "term")).select("term", "token")
 
 
-def phrase_matches(tokens, phrase):
-    """0-based starts at which ``phrase`` (token list, last one a prefix) occurs in ``tokens``."""
+def _phrase_at(tokens: Column, phrase: Column, start: Column) -> Column:
+    """Whether ``phrase`` (token list, last one a prefix) stands at 0-based ``start``."""
+    n = F.size(phrase)
+    fits = (start >= 0) & (start + n <= F.size(tokens))
+    ends = F.startswith(F.get(tokens, start + n - 1), F.element_at(phrase, -1))
+    return fits & ends & (F.slice(tokens, F.greatest(start, F.lit(0)) + 1, n - 1) == F.slice(phrase, F.lit(1), n - 1))
+
+
+def phrase_matches(tokens: Column, phrase: Column) -> Column:
+    """All 0-based starts of ``phrase`` in ``tokens``."""
     n, size = F.size(phrase), F.size(tokens)
-    exact, last = F.slice(phrase, F.lit(1), n - 1), F.element_at(phrase, -1)
     starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-    return F.filter(
-        starts,
-        lambda i: F.startswith(F.get(tokens, i + n - 1), last) & (F.slice(tokens, i + 1, n - 1) == exact),
-    )
+    return F.filter(starts, lambda i: _phrase_at(tokens, phrase, i))
 
 
 def phrase_hits(terms: DataFrame, index: Index) -> DataFrame:
@@ -137,14 +155,15 @@ def phrase_hits(terms: DataFrame, index: Index) -> DataFrame:
     anchors = (
         exact.join(index.vocabulary, "token")
         .groupBy("term")
-        .agg(F.count("*").alias("known"), F.min(F.struct("df", "token"))["token"].alias("token"))
+        .agg(F.count("*").alias("known"), F.min(F.struct("df", "token", "at")).alias("rarest"))
         .where(F.col("known") == F.size(F.split("term", " ")) - 1)
-        .select("term", "token")
+        .select("term", F.col("rarest.token").alias("token"), F.col("rarest.at").alias("at"))
     )
-    candidates = anchors.join(index.postings.select("token", *CHUNK_KEY), "token").drop("token")
-    checked = candidates.join(index.forward, list(CHUNK_KEY))
+    candidates = anchors.join(index.postings.select("token", *CHUNK_KEY, "positions"), "token").select(
+        "term", *CHUNK_KEY, F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
+    checked = candidates.join(index.forward, list(CHUNK_KEY)).withColumn("phrase", F.split("term", " "))
     return (
-        checked.withColumn("tf", F.size(phrase_matches(F.col("tokens"), F.split("term", " "))).cast("bigint"))
+        checked.withColumn("tf", F.size(F.filter("starts", lambda i: _phrase_at(F.col("tokens"), F.col("phrase"), i))).cast("bigint"))
         .where(F.col("tf") > 0)
         .select("term", *CHUNK_KEY, "kind", "n_tokens", "tf")
     )

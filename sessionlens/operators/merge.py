@@ -34,7 +34,7 @@ def change_plan(stored: DataFrame, current: DataFrame, forced: bool = False) ->
         .when(F.coalesce(rewritten, F.lit(False)), F.lit("head_changed"))
     )
     plan = (
-        F.when(~seen, F.lit("prune"))
+        F.when(~F.col("seen"), F.lit("prune"))
         .when(F.col("reason").isNotNull(), F.lit("full"))
         .when(F.col("same"), F.lit("skip"))
         .otherwise(F.lit("resume"))
@@ -44,10 +44,10 @@ def change_plan(stored: DataFrame, current: DataFrame, forced: bool = False) ->
         joined.select(
             F.coalesce("s.session_id", "c.session_id").alias("session_id"), *extra,
             F.col("c.size").alias("size"), F.col("c.mtime").alias("mtime"), F.col("c.head_sha256").alias("head_sha256"),
-            F.col("s.parse_offset").alias("stored_offset"), F.col("s.head_sha256").alias("stored_head"),
+            F.col("s.parse_offset").alias("stored_offset"), F.col("s.head_sha256").alias("stored_head"), F.col("s.size").alias("stored_size"),
             seen.alias("seen"), F.coalesce(same & known, F.lit(False)).alias("same"), reason.alias("reason"),
         )
-        .withColumn("plan", F.when(~F.col("seen"), F.lit("prune")).otherwise(plan))
+        .withColumn("plan", plan)
         .withColumn("offset", F.when(F.col("plan") == "resume", F.col("stored_offset")).otherwise(F.lit(0)))
         .drop("seen", "same")
     )

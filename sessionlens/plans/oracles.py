@@ -261,10 +261,10 @@ session_days AS (
   FROM cleaned GROUP BY owner, day, session_id HAVING count(prompt) > 0)"""
 KEY_PROMPTS = f"""
 distinct_prompts AS (
-  SELECT owner, day, session_id, arg_min(prompt, row(ts, chunk_no)) AS prompt, min(row(ts, chunk_no)) AS at
+  SELECT owner, day, session_id, arg_min(prompt, row(ts, chunk_no)) AS prompt, min(row(ts, chunk_no)) AS told_at
   FROM cleaned WHERE prompt IS NOT NULL GROUP BY owner, day, session_id, lower(prompt)),
-longest AS (SELECT *, row_number() OVER (PARTITION BY owner, day, session_id ORDER BY length(prompt) DESC, at) AS n FROM distinct_prompts),
-key_prompts AS (SELECT owner, day, session_id, list({truncate_words('prompt', 160)} ORDER BY at) AS key_prompts FROM longest WHERE n <= 3 GROUP BY owner, day, session_id)"""
+longest AS (SELECT *, row_number() OVER (PARTITION BY owner, day, session_id ORDER BY length(prompt) DESC, told_at) AS n FROM distinct_prompts),
+key_prompts AS (SELECT owner, day, session_id, list({truncate_words('prompt', 160)} ORDER BY told_at) AS key_prompts FROM longest WHERE n <= 3 GROUP BY owner, day, session_id)"""
 EVENT_SESSIONS = f"""
 event_sessions AS (
   SELECT owner, session_id, 'Session ' || session_id AS title,
@@ -637,3 +637,7 @@ walk(key, n, ts, passed) AS (
   UNION ALL
   SELECT o.key, o.n, o.ts, CASE WHEN o.ts - w.passed >= INTERVAL 20 HOUR THEN o.ts ELSE w.passed END FROM walk w JOIN ordered o ON o.key = w.key AND o.n = w.n + 1)
 SELECT key, ts FROM walk WHERE ts = passed"""
+
+_STREAMED = f"{BASE} SELECT session_id, title, title_source, folder_display, git_branch, first_activity, last_activity, message_count FROM sessions"
+ORACLES["follow_segments"] = _STREAMED
+ORACLES["running_sessions"] = _STREAMED

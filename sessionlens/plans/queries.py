@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -9,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from sessionlens import constants as K
 from sessionlens.functions import scoring, text as X, time as T
 from sessionlens.operators import chunks as C, index as I, merge as M, recap as R, recap_text as RT, search as S, sessions as SE, stats
-from sessionlens.session import stage
+from sessionlens.session import checkpoint_dir, stage
 from sessionlens.sources import commits as G, tables as A, transcripts
-from sessionlens.streaming import changes
+from sessionlens.streaming import changes, follow
 
 NOW = "2024-01-31 12:00:00"
 CALENDAR = R.Calendar(A.ZONE)
@@ -272,9 +273,9 @@ def recency(spark, sf):
 def tokens(spark, sf):
     """Folded tokens of three corpora, counted."""
     texts = (
-        A.table(spark, sf, "conversations").select(F.lit("conversations").alias("corpus"), "text")
-        .unionByName(A.table(spark, sf, "documents").select(F.lit("documents").alias("corpus"), "text"))
-        .unionByName(A.table(spark, sf, "pages").select(F.lit("pages").alias("corpus"), F.col("html").alias("text"))))
+        A.text_table(spark, sf, "conversations").select(F.lit("conversations").alias("corpus"), "text")
+        .unionByName(A.text_table(spark, sf, "documents").select(F.lit("documents").alias("corpus"), "text"))
+        .unionByName(A.text_table(spark, sf, "pages").select(F.lit("pages").alias("corpus"), F.col("html").alias("text"))))
     return texts.select("corpus", F.explode(X.tokens(F.col("text"))).alias("token")).groupBy("corpus", "token").agg(F.count("*").alias("n"))
 
 
@@ -701,3 +702,28 @@ def debounce(spark, sf):
 @query
 def throttle(spark, sf):
     return changes.throttle(_changes(spark, sf).withColumn("key", F.substring_index("key", ":", 1)), MAX_WAIT_HOURS * 3600)
+
+
+def _record_stream(spark, sf):
+    """Conversations as a file stream of records."""
+    schema = A.table(spark, sf, "conversations").schema
+    return A.conversation_records(spark, sf, spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf))
+
+
+def _finish_stream(states: DataFrame) -> DataFrame:
+    named = states.withColumn("file_name", F.concat(F.lit("conversation "), F.col("session_id")))
+    return SE.finish_sessions(named).select("session_id", "title", "title_source", "folder_display", "git_branch", "first_activity", "last_activity", "message_count")
+
+
+@query
+def follow_segments(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/follow-{uuid.uuid4().hex}"
+    follow.follow_segments(_record_stream(spark, sf), f"{folder}/states", f"{folder}/checkpoint", 8).awaitTermination()
+    return _finish_stream(spark.read.parquet(f"{folder}/states"))
+
+
+@query
+def running_sessions(spark, sf):
+    folder = f"{checkpoint_dir(spark)}/running-{uuid.uuid4().hex}"
+    follow.write_updates(follow.running_sessions(_record_stream(spark, sf)), f"{folder}/updates", f"{folder}/checkpoint").awaitTermination()
+    return _finish_stream(follow.latest_updates(spark, f"{folder}/updates"))

@@ -6,7 +6,7 @@ buckets. A resumed file contributes only the lines behind its stored offset.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlens import constants as K
 from sessionlens.functions import text as X
@@ -16,19 +16,19 @@ from sessionlens.sources import sinks, transcripts as R
 
 _PLACE = "struct<seq:bigint,cwd:string,branch:string>"
 _TEXT = "struct<seq:bigint,text:string>"
-STATE_SCHEMA = (
-    f"root {_PLACE}, seen {_PLACE}, custom_title {_TEXT}, ai_title {_TEXT}, last_prompt {_TEXT}, first_prompt {_TEXT}, "
-    "first_activity timestamp, last_activity timestamp, message_count bigint, malformed_count bigint, last_seq bigint"
+_STATE = (
+    f"root:{_PLACE},seen:{_PLACE},custom_title:{_TEXT},ai_title:{_TEXT},last_prompt:{_TEXT},first_prompt:{_TEXT},"
+    "first_activity:timestamp,last_activity:timestamp,message_count:bigint,malformed_count:bigint,last_seq:bigint"
 )
-SESSION_SCHEMA = T.StructType.fromDDL(
+SESSION_SCHEMA = (
     "session_id string, owner string, file_path string, file_name string, title string, title_source int, custom_title string, "
     "ai_title string, first_prompt string, folder_display string, folder_key string, folder_source int, git_branch string, "
     "last_prompt string, first_activity timestamp, last_activity timestamp, message_count bigint, file_size bigint, "
     "mtime timestamp, head_sha256 string, parse_offset bigint, parse_error string, indexed_at timestamp, "
-    f"state struct<{STATE_SCHEMA.replace(' struct', ':struct').replace(' timestamp', ':timestamp').replace(' bigint', ':bigint').replace(', ', ',')}>, bucket int"
+    f"state struct<{_STATE}>, bucket int"
 )
-CHUNK_SCHEMA = T.StructType.fromDDL("session_id string, owner string, chunk_no bigint, kind int, ts timestamp, text string, bucket int")
-META_SCHEMA = T.StructType.fromDDL("completed_at timestamp")
+CHUNK_SCHEMA = "session_id string, owner string, chunk_no bigint, kind int, ts timestamp, text string, bucket int"
+META_SCHEMA = "completed_at timestamp"
 
 
 class SessionIndex:
@@ -62,7 +62,7 @@ class SessionIndex:
         first = stage(M.change_plan(stored, listed.withColumn("head_sha256", F.lit(None).cast("string")), forced), "plan")
         heads = R.head_hashes(first.where(F.col("plan").isin("full", "resume")))
         seen = first.drop("head_sha256").join(heads, "file_path", "left")
-        rewritten = (F.col("plan") == "resume") & (F.upper("stored_head") != F.upper("head_sha256"))
+        rewritten = (F.col("plan") == "resume") & F.coalesce(F.upper("stored_head") != F.col("stored_part_sha256"), F.lit(False))
         return seen.withColumns({
             "reason": F.when(rewritten, F.lit("head_changed")).otherwise(F.col("reason")),
             "offset": F.when(rewritten, F.lit(0)).otherwise(F.col("offset")),

@@ -22,13 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose texts are costly to process. A small one is stored in fewer splits than there are
+    cores and is spread over them; a large one is read as it is split, without a shuffle."""
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+
+
 def _month_instant(minutes: Column) -> Column:
     return F.timestamp_seconds(F.lit(EPOCH) + minutes * 60)
 
 
-def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as transcript records: one conversation is one session, one turn one record."""
-    c = table(spark, sf_dir, "conversations")
+def conversation_records(spark: SparkSession, sf_dir: str, rows: DataFrame | None = None) -> DataFrame:
+    """Conversations as transcript records: one conversation is one session, one turn one record.
+
+    ``rows`` may be a stream of the same table.
+    """
+    c = rows if rows is not None else text_table(spark, sf_dir, "conversations")
     conv, turn, role, text = F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text")
     kind = (
         F.when((role == "system") & (conv % 2 == 0), F.lit("ai-title"))
@@ -74,7 +85,7 @@ def conversation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as text blocks: four neighbouring documents form one session, kinds alternate."""
-    d = table(spark, sf_dir, "documents")
+    d = text_table(spark, sf_dir, "documents")
     return d.select(
         F.floor(F.col("doc_id") / 4).cast("string").alias("session_id"),
         (F.col("doc_id") % 4 + 1).alias("seq"),

@@ -27,15 +27,48 @@ def session_id_of(path: Column) -> Column:
     return F.when(F.rlike(stem, F.lit(SESSION_ID)), F.lower(stem))
 
 
+def file_name_of(path: Column) -> Column:
+    """File name without folder and last extension."""
+    return F.regexp_extract(path, r"([^/\\]*?)(\.[^./\\]*)?$", 1)
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Transcripts exactly one folder below the root. File contents are not read."""
-    found = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(f"{root.rstrip('/')}/*/*.jsonl")
-    return found.select(
-        session_id_of(F.col("path")).alias("session_id"),
-        F.col("path").alias("file_path"),
-        F.regexp_extract("path", r"([^/\\]*?)(\.[^./\\]*)?$", 1).alias("file_name"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"),
+    """Transcripts exactly one folder below the root, empty ones included.
+
+    The folders below the root are listed side by side in tasks; no file is opened.
+    """
+    base = root.rstrip("/")
+
+    def entries(place: str):
+        """The entries of a folder, each with the name Spark gives it."""
+        from pyarrow import fs
+
+        local = place[5:] if place.startswith("file:") else place
+        system, path = fs.FileSystem.from_uri(local if "://" in local else "file://" + local)
+        head = local[: len(local) - len(path)] if "://" in local else "file:"
+        return fs, [(head + e.path, e) for e in system.get_file_info(fs.FileSelector(path, allow_not_found=True))]
+
+    def folders(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for place in batch["place"]:
+                fs, found = entries(place)
+                yield pd.DataFrame({"place": [name for name, e in found if e.type == fs.FileType.Directory]}, dtype="object")
+
+    def files(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for place in batch["place"]:
+                fs, found = entries(place)
+                kept = [(name, e.size, e.mtime.replace(tzinfo=None)) for name, e in found if e.type == fs.FileType.File and name.endswith(".jsonl")]
+                yield pd.DataFrame(kept, columns=["file_path", "size", "mtime"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    below = spark.createDataFrame([(base,)], "place string").mapInPandas(folders, "place string").repartition(tasks, "place")
+    return below.mapInPandas(files, "file_path string, size bigint, mtime timestamp").select(
+        session_id_of(F.col("file_path")).alias("session_id"), "file_path", file_name_of(F.col("file_path")).alias("file_name"), "size", "mtime"
     ).where(F.col("session_id").isNotNull())
 
 
@@ -56,33 +89,45 @@ def describe_paths(paths: DataFrame, files: DataFrame, root: str) -> DataFrame:
 
 
 def head_hashes(files: DataFrame) -> DataFrame:
-    """``(file_path, head_sha256, readable)`` from the first 4096 bytes of each file.
+    """``(file_path, head_sha256, stored_part_sha256, readable)`` from the first 4096 bytes of each file.
 
-    Only those bytes are read. A file that cannot be opened is reported, never fatal.
+    ``stored_size``, where given, is the size a stored hash was taken at: the second hash covers no
+    more than that, so a short file that grew is not mistaken for a rewritten one. Only the head is
+    read. A file that cannot be opened is reported, never fatal.
     """
-    head_bytes = HEAD_BYTES
+    stored = F.col("stored_size") if "stored_size" in files.columns else F.lit(None)
+    sized = files.select(
+        "file_path",
+        F.least(F.col("size"), F.lit(HEAD_BYTES)).cast("bigint").alias("head_bytes"),
+        F.coalesce(F.least(stored, F.lit(HEAD_BYTES)), F.lit(0)).cast("bigint").alias("part_bytes"),
+    )
 
     def read(batches):
         import hashlib
 
         from pyarrow import fs
 
+        def digest(data):
+            return hashlib.sha256(data).hexdigest().upper() if data else None
+
         for batch in batches:
-            hashes, readable = [], []
-            for path in batch["file_path"]:
+            whole, part, readable = [], [], []
+            for path, head_bytes, part_bytes in zip(batch["file_path"], batch["head_bytes"], batch["part_bytes"]):
                 uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file:///") else path
                 try:
                     system, name = fs.FileSystem.from_uri(uri)
                     with system.open_input_file(name) as stream:
-                        head = stream.read(head_bytes)
-                    hashes.append(hashlib.sha256(head).hexdigest().upper() if head else None)
+                        head = stream.read(max(head_bytes, part_bytes))
+                    whole.append(digest(head[:head_bytes]))
+                    part.append(digest(head[:part_bytes]))
                     readable.append(True)
                 except OSError:
-                    hashes.append(None)
+                    whole.append(None)
+                    part.append(None)
                     readable.append(False)
-            yield batch.assign(head_sha256=hashes, readable=readable)
+            yield batch[["file_path"]].assign(head_sha256=whole, stored_part_sha256=part, readable=readable)
 
-    return files.select("file_path").mapInPandas(read, "file_path string, head_sha256 string, readable boolean")
+    return sized.mapInPandas(read, "file_path string, head_sha256 string, stored_part_sha256 string, readable boolean")
 
 
 # ---------------------------------------------------------------- lines
@@ -241,7 +286,7 @@ def identify(records: DataFrame, owner: Column | None = None) -> DataFrame:
         {
             "owner": owner if owner is not None else F.lit(""),
             "session_id": session_id_of(F.col("file_path")),
-            "file_name": F.regexp_extract("file_path", r"([^/\\]*?)(\.[^./\\]*)?$", 1),
+            "file_name": file_name_of(F.col("file_path")),
         }
     )
 
