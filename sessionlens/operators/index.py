@@ -77,19 +77,26 @@ def corpus_size(forward: DataFrame) -> DataFrame:
 def build_index(chunks: DataFrame) -> Index:
     """Index of a chunk table, each part staged once because search reads it several times.
 
-    Postings are range-partitioned by token and chunk: a lookup prunes files by token, and a token
-    that makes up a third of the corpus still spreads over many files.
+    Forward lists and postings are projections, so building them moves no text between executors.
     """
     forward = stage(forward_index(chunks), "forward")
-    order = ("token", *CHUNK_KEY)
-    postings = stage(build_postings(forward).repartitionByRange(*order).sortWithinPartitions(*order), "postings")
+    postings = stage(build_postings(forward), "postings")
     return Index(forward, postings, stage(build_vocabulary(postings), "vocabulary"))
 
 
+TOKEN_BUCKETS = 1024
+
+
+def token_bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(TOKEN_BUCKETS)).cast("int")
+
+
 def write_index(index: Index, path: str) -> None:
+    """Lasting layout: postings in folders by token hash, so that a lookup opens only the folders of
+    its tokens. A token that is a third of all postings is split over many files of its folder."""
     index.forward.write.mode("overwrite").parquet(f"{path}/forward")
-    order = ("token", *CHUNK_KEY)
-    index.postings.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/postings")
+    laid = index.postings.withColumn("token_bucket", token_bucket(F.col("token"))).hint("rebalance", "token_bucket")
+    laid.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("token_bucket").parquet(f"{path}/postings")
     index.vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
 
 
@@ -97,6 +104,14 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("forward", "postings", "vocabulary")])
 
 
+def lookup(tokens: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings of the given tokens. Where postings are laid out by token, the folder is part of the
+    join key, which lets the engine skip the folders no token hashes to."""
+    if "token_bucket" not in postings.columns:
+        return postings.join(tokens, "token")
+    return postings.join(tokens.withColumn("token_bucket", token_bucket(F.col("token"))), ["token_bucket", "token"])
+
+
 # ---------------------------------------------------------------- queries to terms
 
 
@@ -159,7 +174,7 @@ def phrase_hits(terms: DataFrame, index: Index) -> DataFrame:
         .where(F.col("known") == F.size(F.split("term", " ")) - 1)
         .select("term", F.col("rarest.token").alias("token"), F.col("rarest.at").alias("at"))
     )
-    candidates = anchors.join(index.postings.select("token", *CHUNK_KEY, "positions"), "token").select(
+    candidates = lookup(anchors, index.postings).select(
         "term", *CHUNK_KEY, F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
     checked = candidates.join(index.forward, list(CHUNK_KEY)).withColumn("phrase", F.split("term", " "))
     return (
@@ -173,8 +188,7 @@ def term_hits(terms: DataFrame, index: Index) -> DataFrame:
     """``(term, session_id, chunk_no, kind, n_tokens, tf)`` for every chunk a term occurs in."""
     expanded = expand_prefixes(terms, index.vocabulary)
     single = (
-        index.postings.select("token", *CHUNK_KEY, "kind", "n_tokens", "tf")
-        .join(expanded, "token")
+        lookup(expanded, index.postings)
         .groupBy("term", *CHUNK_KEY, "kind", "n_tokens")
         .agg(F.sum("tf").alias("tf"))
     )

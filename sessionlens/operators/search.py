@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sessionlens import constants as K
 from sessionlens.functions import scoring, text as X
+from sessionlens.session import stage
 from sessionlens.operators.index import Index, corpus_size, distinct_terms, phrase_matches, query_terms, term_hits
 
 SCALE = 9
@@ -140,7 +141,10 @@ def with_snippets(rows: DataFrame, text: str = "text", term: str = "term") -> Da
         "_gaps": F.split(F.col(text), X.RAW_TOKEN),
         "_phrase": F.split(F.col(term), " "),
     })
-    found = split.withColumn("_folded", F.transform("_words", X.fold)).withColumn("_hits", phrase_matches(F.col("_folded"), F.col("_phrase")))
+    # The text is folded once; word by word only where a lone mark makes the two token lists differ.
+    whole = split.withColumn("_tokens", X.tokens(F.col(text)))
+    aligned = F.when(F.size("_tokens") == size, F.col("_tokens")).otherwise(F.transform("_words", X.fold))
+    found = whole.withColumn("_folded", aligned).withColumn("_hits", phrase_matches(F.col("_folded"), F.col("_phrase")))
     framed = (
         found.withColumn("_first", -best["o"])
         .withColumn("_last", F.coalesce(F.array_max(inside(F.col("_first"))), F.col("_first")) + n)
@@ -196,7 +200,9 @@ def recent_mode(queries: DataFrame, sessions: DataFrame, now: Column, ranking: R
 def scored_chunks(queries: DataFrame, index: Index, ranking: Ranking = Ranking()) -> DataFrame:
     """Chunk scores of the sessions that answer to every term."""
     terms = query_terms(queries)
-    matches = query_matches(terms, relevance(term_hits(distinct_terms(terms), index), index))
+    # Hits are read for document frequencies, for qualification and for scoring.
+    hits = stage(term_hits(distinct_terms(terms), index), "hits")
+    matches = query_matches(terms, relevance(hits, index))
     kept = matches.join(qualified_sessions(matches), ["query_id", "session_id"], "left_semi")
     return chunk_scores(kept, ranking)
 
