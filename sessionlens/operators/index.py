@@ -109,7 +109,9 @@ def lookup(tokens: DataFrame, postings: DataFrame) -> DataFrame:
     join key, which lets the engine skip the folders no token hashes to."""
     if "token_bucket" not in postings.columns:
         return postings.join(tokens, "token")
-    return postings.join(tokens.withColumn("token_bucket", token_bucket(F.col("token"))), ["token_bucket", "token"])
+    # Always true, but the engine derives a folder filter only from a side that is filtered itself.
+    placed = tokens.withColumn("token_bucket", token_bucket(F.col("token"))).where(F.col("token_bucket") >= 0)
+    return postings.join(placed, ["token_bucket", "token"])
 
 
 # ---------------------------------------------------------------- queries to terms
@@ -186,7 +188,8 @@ def phrase_hits(terms: DataFrame, index: Index) -> DataFrame:
 
 def term_hits(terms: DataFrame, index: Index) -> DataFrame:
     """``(term, session_id, chunk_no, kind, n_tokens, tf)`` for every chunk a term occurs in."""
-    expanded = expand_prefixes(terms, index.vocabulary)
+    # Staged, so that its size is known when the lookup is planned: a small one is sent to the postings.
+    expanded = stage(expand_prefixes(terms, index.vocabulary), "expanded")
     single = (
         lookup(expanded, index.postings)
         .groupBy("term", *CHUNK_KEY, "kind", "n_tokens")

@@ -529,7 +529,7 @@ def commits_by_day(spark, sf):
 def event_recaps(spark, sf):
     cleaned = R.clean_messages(R.merge_messages(A.event_chunks(spark, sf), CALENDAR))
     placed = R.session_projects(A.event_sessions(spark, sf), A.event_repos(spark, sf))
-    recaps = R.session_recaps(cleaned, placed)
+    recaps = stage(R.session_recaps(cleaned, placed), "recaps")
     commits = R.commits_by_day(G.own_commits(A.event_commits(spark, sf), A.event_repos(spark, sf)), CALENDAR)
     return recaps, commits
 

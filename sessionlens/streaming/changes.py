@@ -13,29 +13,32 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sessionlens import constants as K
+from sessionlens.session import stage
 
 
 def bursts(events: DataFrame, gap_micros: int, cell_micros: int | None = None) -> DataFrame:
     """Distinct ``(key, at)`` instants (microseconds) with the burst they belong to.
 
-    A burst starts where more than ``gap_micros`` passed since the key's previous event.
+    A burst starts where more than ``gap_micros`` passed since the key's previous event, and is named
+    by its first instant. Rows only meet rows of their own time cell; cells are linked through one
+    summary row each.
     """
-    cell_micros = cell_micros or gap_micros * 4096
-    cell = F.floor(F.col("at") / F.lit(cell_micros))
+    cell = F.floor(F.col("at") / F.lit(cell_micros or gap_micros * 4096))
     distinct = events.select("key", F.unix_micros("ts").alias("at")).distinct().withColumn("cell", cell)
     inside = W.partitionBy("key", "cell").orderBy("at")
-    near = distinct.withColumn("before", F.lag("at").over(inside))
-    # The first event of a cell looks at the last event of the key's previous cell: one row per cell.
-    edges = distinct.groupBy("key", "cell").agg(F.min("at").alias("at"), F.max("at").alias("last"))
-    linked = edges.select("key", "cell", F.lag("last").over(W.partitionBy("key").orderBy("cell")).alias("carried"))
-    joined = near.join(linked, ["key", "cell"]).withColumn("before", F.coalesce("before", "carried"))
-    starts = joined.withColumn("start", F.when(F.col("before").isNull() | (F.col("at") - F.col("before") > gap_micros), F.col("at")))
-    local = starts.withColumn("burst", F.last("start", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    # Cells that begin inside a burst take it over from the cells before.
-    opened = starts.groupBy("key", "cell").agg(F.max("start").alias("opened"))
-    inherited = opened.select("key", "cell", F.last("opened", ignorenulls=True).over(
-        W.partitionBy("key").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)).alias("inherited"))
-    return local.join(inherited, ["key", "cell"]).select("key", "at", F.coalesce("burst", "inherited").alias("burst"))
+    cut = F.when(F.col("at") - F.lag("at").over(inside) > gap_micros, F.col("at"))
+    rows = distinct.withColumn("start", cut)
+    cells = rows.groupBy("key", "cell").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.max("start").alias("inner"))
+    along = W.partitionBy("key").orderBy("cell")
+    opens = F.col("carried").isNull() | (F.col("first") - F.col("carried") > gap_micros)
+    linked = (
+        cells.withColumn("carried", F.lag("last").over(along))
+        .withColumn("own", F.when(opens, F.col("first")))
+        .withColumn("inherited", F.last(F.coalesce("inner", "own"), ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)))
+        .select("key", "cell", F.coalesce("own", "inherited").alias("head"))
+    )
+    so_far = F.last("start", ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("inner", so_far).join(linked, ["key", "cell"]).select("key", "at", F.coalesce("inner", "head").alias("burst"))
 
 
 def debounce(events: DataFrame, settle_seconds: float = K.SETTLE_SECONDS, max_wait_seconds: float = K.MAX_WAIT_SECONDS) -> DataFrame:
@@ -45,7 +48,7 @@ def debounce(events: DataFrame, settle_seconds: float = K.SETTLE_SECONDS, max_wa
     ``max_wait``; a change after that starts over.
     """
     settle, longest = int(settle_seconds * 1e6), int(max_wait_seconds * 1e6)
-    cut = bursts(events, settle)
+    cut = stage(bursts(events, settle), "bursts")
     spans = cut.groupBy("key", "burst").agg(F.max("at").alias("last"), F.count("*").alias("changes"))
     short = spans.where(F.col("last") - F.col("burst") <= longest).select(
         "key", F.col("burst").alias("first"), "last", "changes")
@@ -53,18 +56,18 @@ def debounce(events: DataFrame, settle_seconds: float = K.SETTLE_SECONDS, max_wa
     long = cut.join(spans.where(F.col("last") - F.col("burst") > longest).select("key", "burst"), ["key", "burst"])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = key = None
+        place = first = last = None
         changes = 0
         for batch in batches:
-            key, done = batch["key"].iloc[0], []
-            for at in batch["at"]:
-                if first is not None and at - first > longest:
-                    done.append((key, first, last, changes))
+            done = []
+            for key, burst, at in zip(batch["key"], batch["burst"], batch["at"]):
+                if first is not None and ((key, burst) != place or at - first > longest):
+                    done.append((place[0], first, last, changes))
                     first, changes = None, 0
-                first, last, changes = (at if first is None else first), at, changes + 1
-            if done:
-                yield pd.DataFrame(done, columns=["key", "first", "last", "changes"])
-        yield pd.DataFrame([(key, first, last, changes)], columns=["key", "first", "last", "changes"])
+                place, first, last, changes = (key, burst), (at if first is None else first), at, changes + 1
+            yield pd.DataFrame(done, columns=["key", "first", "last", "changes"])
+        if first is not None:
+            yield pd.DataFrame([(place[0], first, last, changes)], columns=["key", "first", "last", "changes"])
 
     folded = _fold(long, fold, "key string, first bigint, last bigint, changes bigint")
     handed = F.least(F.col("last") + settle, F.col("first") + longest)
@@ -77,28 +80,28 @@ def throttle(events: DataFrame, interval_seconds: float) -> DataFrame:
     """``(key, ts)`` to the events that pass: none passed within the interval before."""
     interval = int(interval_seconds * 1e6)
     # A gap of a whole interval always lets the next event pass.
-    cut = bursts(events, interval - 1)
+    cut = stage(bursts(events, interval - 1), "bursts")
     spans = cut.groupBy("key", "burst").agg(F.max("at").alias("last"))
     lead = spans.select("key", F.col("burst").alias("at"))
     long = cut.join(spans.where(F.col("last") - F.col("burst") >= interval).select("key", "burst"), ["key", "burst"])
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        passed = None
+        place = passed = None
         for batch in batches:
             kept = []
-            for at in batch["at"]:
-                if passed is None:
-                    passed = at  # the burst's first event is reported without the fold
+            for key, burst, at in zip(batch["key"], batch["burst"], batch["at"]):
+                if (key, burst) != place:
+                    place, passed = (key, burst), at  # a burst's first event is reported without the fold
                 elif at - passed >= interval:
                     passed = at
-                    kept.append(at)
-            if kept:
-                yield pd.DataFrame({"key": batch["key"].iloc[0], "at": kept})
+                    kept.append((key, at))
+            yield pd.DataFrame(kept, columns=["key", "at"])
 
     folded = _fold(long, fold, "key string, at bigint")
     return lead.unionByName(folded).select("key", F.timestamp_micros("at").alias("ts"))
 
 
 def _fold(long: DataFrame, fold, schema: str) -> DataFrame:
+    """Run ``fold`` over whole bursts, each in order; a partition holds many bursts."""
     ordered = long.repartition("key", "burst").sortWithinPartitions("key", "burst", "at")
-    return ordered.groupBy("key", "burst").applyInPandas(fold, schema)
+    return ordered.select("key", "burst", "at").mapInPandas(fold, schema)
