@@ -372,7 +372,7 @@ SELECT count(*) AS sessions, count(parse_error) AS parse_errors, count(*) FILTER
   (SELECT date_trunc('second', max(ts)) FROM events) AS last_reconcile FROM sessions"""
 ORACLES["activity_window"] = f"""{TABLES}
 SELECT c.session_id, c.ts, c.chunk_no, c.kind, s.title, s.git_branch, md5(c.text) AS digest FROM chunks c JOIN sessions s USING (session_id)
-WHERE s.last_activity >= TIMESTAMP '2024-01-05' AND s.first_activity < TIMESTAMP '2024-01-12' AND c.kind IN (4, 5) AND c.ts >= TIMESTAMP '2024-01-05' AND c.ts < TIMESTAMP '2024-01-12'"""
+WHERE s.last_activity >= TIMESTAMP '2024-01-02' AND s.first_activity < TIMESTAMP '2024-01-09' AND c.kind IN (4, 5) AND c.ts >= TIMESTAMP '2024-01-02' AND c.ts < TIMESTAMP '2024-01-09'"""
 
 # ---------------------------------------------------------------- scalar functions
 

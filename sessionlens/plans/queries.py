@@ -177,7 +177,7 @@ def index_stats(spark, sf):
 @query
 def activity_window(spark, sf):
     built, chunks = _conversation_tables(spark, sf)
-    rows = C.activity(chunks, built, F.lit("2024-01-05").cast("timestamp"), F.lit("2024-01-12").cast("timestamp"))
+    rows = C.activity(chunks, built, F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-09").cast("timestamp"))
     return C.in_reading_order(rows).select("session_id", "ts", "chunk_no", "kind", "title", "git_branch", F.md5("text").alias("digest"))
 
 
