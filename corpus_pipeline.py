@@ -6,20 +6,40 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sessionlens.llm import packing
+from sessionlens.llm import neighbours, packing, prob_minhash, suffix_groups
 from sessionlens.llm.common import read
 from sessionlens.session import stage
 
 CAPACITY = 2048
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose neighbours vote for quality; the rest go."""
+    model = neighbours.fit(docs, read(spark, sf_dir, "labels"))
+    return docs.where(model.score_column(F.col("text")) >= 0.5)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: five-word shingles, similarity 0.8 or more."""
+    return prob_minhash.without_near_copies(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 400 bytes or more that stand elsewhere too; ``n_chars`` follows the text."""
+    return suffix_groups.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all documents with their place in sequences of 2048 tokens: ``ids`` and where they stand."""
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), CAPACITY, end_id=0), CAPACITY)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("near_copies", near_copies),
+    ("repeated_passages", repeated_passages),
     ("best_fit_packing", best_fit_packing),
 ]
 

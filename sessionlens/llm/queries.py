@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import packing, token_files
+from sessionlens.llm import neighbours, packing, prob_minhash, suffix_groups, token_files
 from sessionlens.llm.common import read
 from sessionlens.session import checkpoint_dir
 
@@ -23,13 +23,28 @@ def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
+def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 2048, end_id=0)
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.pack(digests, 2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def prob_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.near_copies(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
+def suffix_groups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_groups.removal_report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": token_files_query,
+    "op4_neighbours": neighbours_query,
     "op6_packing": packing_query,
+    "op7_prob_minhash": prob_minhash_query,
+    "op8_suffix_groups": suffix_groups_query,
 }
