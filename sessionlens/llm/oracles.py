@@ -1,3 +1,32 @@
 """SQL (DuckDB) for those registered queries that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+SQL["op1_tiled_cosine"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), usable AS (
+    SELECT * FROM v
+    WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+        AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(n, r) AS (
+    SELECT vec_id, vec_id FROM v
+    UNION
+    SELECT reach.n, links.b FROM reach JOIN links ON reach.r = links.a
+), component AS (SELECT n, min(r) AS component_id FROM reach GROUP BY n)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN component ON n = v.vec_id
+"""
+
+SQL["op3_arc"] = """
+WITH p AS (
+    SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""

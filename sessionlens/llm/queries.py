@@ -9,13 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import neighbours, packing, prob_minhash, suffix_groups, token_files
+from sessionlens.llm import arc, neighbours, packing, prob_minhash, suffix_groups, tiled_cosine, token_files, winnowing
 from sessionlens.llm.common import read
 from sessionlens.session import checkpoint_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
 
 
+def tiled_cosine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiled_cosine.linked(read(spark, sf_dir, "embeddings"))
+
+
 def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path(BYTE_BPE), end_id=2)
@@ -23,6 +27,14 @@ def token_files_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
 
 
+def arc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
+    arc.write_arc(read(spark, sf_dir, "pages"), f"{path}/arc")
+    arc.write_warc(arc.with_revisits(arc.read_arc(spark, f"{path}/arc")), f"{path}/warc")
+    records = arc.read_warc(spark, f"{path}/warc")
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), F.col("refers_key").alias("refers_to"))
+
+
 def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -41,10 +53,17 @@ def suffix_groups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_groups.removal_report(read(spark, sf_dir, "documents"))
 
 
+def winnowing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.fingerprints(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tiled_cosine": tiled_cosine_query,
     "op2_token_files": token_files_query,
+    "op3_arc": arc_query,
     "op4_neighbours": neighbours_query,
     "op6_packing": packing_query,
     "op7_prob_minhash": prob_minhash_query,
     "op8_suffix_groups": suffix_groups_query,
+    "op10_winnowing": winnowing_query,
 }
