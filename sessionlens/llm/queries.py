@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import arc, neighbours, packing, prob_minhash, suffix_groups, tiled_cosine, token_files, winnowing
+from sessionlens.llm import arc, neighbours, packing, prob_minhash, roles, suffix_groups, tiled_cosine, token_files, winnowing
 from sessionlens.llm.common import read
 from sessionlens.session import checkpoint_dir
 
@@ -39,6 +39,10 @@ def neighbours_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def roles_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roles.repaired(read(spark, sf_dir, "conversations"))
+
+
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(read(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), 2048, end_id=0)
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": token_files_query,
     "op3_arc": arc_query,
     "op4_neighbours": neighbours_query,
+    "op5_roles": roles_query,
     "op6_packing": packing_query,
     "op7_prob_minhash": prob_minhash_query,
     "op8_suffix_groups": suffix_groups_query,
