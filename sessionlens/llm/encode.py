@@ -71,24 +71,22 @@ def byte_letters() -> dict[int, str]:
     return {**{b: chr(b) for b in printable}, **{b: chr(256 + i) for i, b in enumerate(others)}}
 
 
-class Encoder:
-    """``encode(texts)`` gives one flat id array and the offsets of the texts in it."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+class WordStore:
+    """Ids of words that were met before. Subclasses say where words start (``cut``) and what the ids of new words are (``ids_of``)."""
 
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+    def __init__(self) -> None:
         self.forget()
 
+    def cut(self, codes: np.ndarray, text_start: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids, number of ids per word, and a value per word."""
+        raise NotImplementedError
+
     def forget(self) -> None:
         self.keys = [pd.Index(np.zeros(0, np.uint64))]
-        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.starts, self.sizes, self.values = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
 
     def known(self) -> int:
         return sum(map(len, self.keys))
@@ -103,31 +101,26 @@ class Encoder:
             before += len(index)
         return found
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        model, table = self.tokenizer.model, byte_letters()
-        got = [[t.id for t in model.tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(table))] for w in words]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        ids = np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum()))
+        ids, sizes, values = self.ids_of(words)
         self.starts = np.concatenate([self.starts, len(self.ids) + offsets(sizes)[:-1]])
-        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+        self.sizes, self.ids, self.values = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids]), np.concatenate([self.values, values])
         # Each index is over twice as long as the next, so that few are looked up and each key is moved a few times.
         self.keys.append(pd.Index(keys))
         while len(self.keys) > 1 and len(self.keys[-2]) < 2 * len(self.keys[-1]):
             last = self.keys.pop()
             self.keys[-1] = self.keys[-1].append(last)
 
-    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Row of every word of the texts in the store, and the offsets of the texts in this list."""
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         if not len(codes):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         at = offsets(lengths)
         text_start = np.zeros(len(codes), bool)
         text_start[at[:-1][lengths > 0]] = True
-        start = word_starts(codes, text_start)
+        start = self.cut(codes, text_start)
         end = np.append(start[1:], len(codes))
         place, keys = pd.factorize(span_hash(prefix_hash(codes), start, end))
         if self.known() + len(keys) > MOST_WORDS:
@@ -140,11 +133,40 @@ class Encoder:
             known = self.known()
             self.learn(keys[new], [joined[start[i] : end[i]] for i in first[new]])
             row[new] = known + np.arange(len(new))
-        row = row[place]
+        return row[place], np.searchsorted(start, at)
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        row, at = self.places(texts)
         sizes = self.sizes[row]
-        ids = self.ids[ragged_index(self.starts[row], sizes)]
-        word_at = offsets(sizes)
-        return ids, word_at[np.searchsorted(start, at)]
+        return self.ids[ragged_index(self.starts[row], sizes)], offsets(sizes)[at]
+
+
+class Encoder(WordStore):
+    """``encode(texts)`` gives one flat id array and the offsets of the texts in it."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec.get("pre_tokenizer") or {}
+        self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+
+    def cut(self, codes: np.ndarray, text_start: np.ndarray) -> np.ndarray:
+        return word_starts(codes, text_start)
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        model, table = self.tokenizer.model, byte_letters()
+        got = [[t.id for t in model.tokenize(w.encode("utf-8", "surrogatepass").decode("latin-1").translate(table))] for w in words]
+        sizes = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum())), sizes, np.zeros(len(words))
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str], most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
         """Texts are taken in batches of about ``most`` characters, whatever their number."""

@@ -169,6 +169,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_colu
     members = nodes.select("node", F.explode("bands").alias("key"))
     draw = F.min(F.struct(F.xxhash64("key", "node").alias("draw"), "node"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), draw.alias("hub")).where("n > 1").select("key", F.col("hub.node").alias("hub"))
+    # Staged sides leave both ends of a join to be dealt out anew, so that a large bucket's rows may be split among tasks.
+    buckets = stage(buckets, "hubs")
     shared = stage(members.join(buckets, "key").select("key", "node", "hub"), "buckets")
     sketches = nodes.select(F.col("node"), "sketch")
     stars = shared.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
@@ -178,6 +180,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_colu
     joined = stage(components(first), "first-components")
     placed = shared.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key", "n")
+    open_keys = stage(open_keys, "open-buckets")
     rest = placed.join(open_keys, "key").join(sketches, "node")
     pairs = stage(block_pairs(rest.select("key", "node", "component", "sketch", "n")), "rest-pairs").join(stars.select("a", "b"), ["a", "b"], "left_anti")
     second = verified(pairs, nodes, docs, words, threshold, id_column, text_column)
@@ -186,7 +189,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_colu
     of_node = nodes.select("node", "digest", "own").join(final, "node", "left").select("digest", "own", F.coalesce("component", "node").alias("component"))
     same = keyed["digest"].eqNullSafe(of_node["digest"]) & keyed["own"].eqNullSafe(of_node["own"])
     classed = stage(keyed.join(of_node, same).select("row", keyed["doc_id"], keyed["digest"], "component"), "classed")
-    heads = classed.groupBy("component").agg(F.min(order).alias("head"))
+    heads = stage(classed.groupBy("component").agg(F.min(order).alias("head")), "heads")
     return classed.join(heads, "component").select("doc_id", F.col("head.doc_id").alias("class_id"), (F.col("row") == F.col("head.row")).alias("kept"), "digest")
 
 

@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import arc, neighbours, packing, prob_minhash, roles, suffix_groups, tiled_cosine, token_files, winnowing
+from sessionlens.llm import arc, neighbours, packing, pieces, prob_minhash, roles, suffix_groups, tiled_cosine, token_files, winnowing
 from sessionlens.llm.common import read
 from sessionlens.session import checkpoint_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def tiled_cosine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,12 @@ def suffix_groups_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_groups.removal_report(read(spark, sf_dir, "documents"))
 
 
+def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECES)
+    rows = pieces.decoded(pieces.encoded(read(spark, sf_dir, "documents"), model), model)
+    return rows.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def winnowing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -70,5 +77,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_packing": packing_query,
     "op7_prob_minhash": prob_minhash_query,
     "op8_suffix_groups": suffix_groups_query,
+    "op9_pieces": pieces_query,
     "op10_winnowing": winnowing_query,
 }

@@ -278,10 +278,12 @@ def repeated_ranges(docs: DataFrame, length: int = 400, id_column: str = "doc_id
     rows = stage(anchor_rows(docs, length, id_column, text_column), "anchors")
     at = rows.select("row", F.explode(F.arrays_zip("anchor", "context", "first", "place", "last")).alias("o")).select("row", "o.*")
     twice = rows.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # Staged sides leave both ends of a join to be dealt out anew, so that a frequent anchor's rows may be split among tasks.
+    twice = stage(twice, "anchors-of-several")
     at = stage(at.join(twice, "anchor"), "repeated-anchors")
     one = F.min(F.struct("row", "first", "place", "last"))
     contexts = stage(at.groupBy("anchor", "context").agg(F.count("*").alias("n"), one.alias("o")).select("anchor", "context", "n", "o.*"), "contexts")
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = stage(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "anchors-of-several-contexts")
     wanted = contexts.join(several, "anchor").join(rows.select("row", "doc_id", "digest"), "row")
     per_doc = wanted.groupBy("row", "doc_id", "digest").agg(F.collect_list(F.struct("anchor", "context", "kinds", "first", "place", "last")).alias("wanted"))
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.unhex(F.sha2(whole_text(text_column), 256)).alias("sha"), whole_text(text_column).cast("binary").alias("data"))
@@ -303,6 +305,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, id_column: str = "doc_id
     found = stage(compared, "compared").groupBy("anchor", "context").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     known = contexts.join(found, ["anchor", "context"], "left").where("n > 1 or starts is not null")
     known = known.select("anchor", "context", F.when(F.col("n") > 1, F.array(F.col("first") - F.col("place"))).otherwise(F.col("starts")).alias("starts"), F.when(F.col("n") > 1, F.array(F.col("last") - F.col("place") + length)).otherwise(F.col("ends")).alias("ends"))
+    known = stage(known, "known")
     shifted = at.join(known, ["anchor", "context"]).select("row", F.transform("starts", lambda x: x + F.col("place")).alias("starts"), F.transform("ends", lambda x: x + F.col("place")).alias("ends"))
 
     def union(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
