@@ -53,7 +53,7 @@ def docs_of(spark, rows):
 
 
 def test_token_files_round_trip(spark, tmp_path, library):
-    token_files.write_tokens(docs_of(spark, DOCS), f"{tmp_path}/t", PATH, end_id=2, shard_tokens=50)
+    token_files.write_tokens(docs_of(spark, DOCS), f"{tmp_path}/t", PATH, end_id=2, shard_tokens=20)
     got = token_files.read_documents(spark, f"{tmp_path}/t").orderBy("start").collect()
     want = sorted(DOCS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start = 0
