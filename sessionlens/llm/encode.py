@@ -168,7 +168,7 @@ class Encoder(WordStore):
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str], most: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
         """Texts are taken in batches of about ``most`` characters, whatever their number."""
         flat, sizes = [], np.zeros(len(texts), np.int64)
         for part in batches([len(t) for t in texts], most):

@@ -112,7 +112,7 @@ class Model:
         if not len(self.labels):
             return out
         k = min(self.neighbours, len(self.labels))
-        for part in batches([len(t) + 2000 for t in texts], 2_000_000):
+        for part in batches([len(t) + 2000 for t in texts], 1_000_000):
             cosine = self.project(terms(texts[part])) @ self.vectors.T
             near = np.argpartition(cosine, len(self.labels) - k, axis=1)[:, -k:]
             weight = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-3).astype(np.float64) ** SHARPNESS
@@ -137,7 +137,7 @@ def document_frequencies(docs: DataFrame, text_column: str = "text") -> tuple[in
         for frame in frames:
             texts = frame["text"].tolist()
             n += len(texts)
-            for part in batches([len(t) + 2000 for t in texts], 2_000_000):
+            for part in batches([len(t) + 2000 for t in texts], 1_000_000):
                 total += (terms(texts[part]) > 0).sum(axis=0)
         yield pd.DataFrame({"term": np.arange(-1, TERMS), "n": np.concatenate([[n], total])})
 
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, dimensions: in
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for part in batches([len(t) + 2000 for t in frame["text"]], 2_000_000):
+            for part in batches([len(t) + 2000 for t in frame["text"]], 1_000_000):
                 group = frame.iloc[part]
                 yield pd.DataFrame({"_id": group["_id"], "_label": group["_label"], "counts": [c.astype(np.float16).tobytes() for c in terms(group["text"].tolist())]})
 

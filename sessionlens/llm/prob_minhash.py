@@ -6,10 +6,11 @@ with the probability Jaccard similarity of their weighted shingles. A shingle st
 the last register of its text. Bands of registers give candidates, a byte sketch of the signature drops the clear misses, and
 a pair is linked when the exact Jaccard similarity of its distinct shingles reaches the threshold.
 
-Groups of any size stay linear: exact copies are one node; in each bucket of a band every member is compared with the
-bucket's hub (each band draws other hubs), and only members of a bucket that are then still in different components are
-compared with each other, in blocks of sketches. No link is lost to a cap: every pair that shares a bucket is either in one
-component already or is compared.
+Exact copies are one node. In each bucket of a band every member is compared with the bucket's hub (each band draws other
+hubs), first by sketch, which gives clusters of texts that look alike, then exactly, which gives the links of most groups. What
+is apart after that is compared tile by tile: members of a bucket in different clusters by sketch, parts of a cluster by their
+shingles. A part of any size is not compared within itself, tasks hold two tiles, and they return links that join parts, never all pairs.
+No link is lost to a cap: two texts that share a bucket and whose sketches agree are in one cluster, and there in one part or compared.
 
 Null and repeated ids, null and empty texts: a null text is a class of its own; equal texts (empty ones too) are copies; the
 row kept of a class is the one with the smallest id (null last), of equal rows one. Other columns are ignored. An empty table
@@ -18,7 +19,7 @@ gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,14 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.llm.common import components
-from sessionlens.llm.ragged import batches, mix
-from sessionlens.llm.shingles import jaccard, shingles
+from sessionlens.llm.ragged import batches, mix, offsets
+from sessionlens.llm.shingles import shingles
 from sessionlens.session import stage
 
 BANDS, ROWS = 24, 4
 #: Registers of 96 that agree at least. A pair of similarity 0.8 falls short of it about once in ten million.
 LEAST_AGREEING = 56
-TILE = 512
+#: Members of a bucket or cluster that meet in a task at a time.
+TILE, SET_TILE = 512, 256
 
 
 def _uniform(seed: np.ndarray) -> np.ndarray:
@@ -77,7 +79,7 @@ def signed(docs: DataFrame, words: int, id_column: str, text_column: str) -> Dat
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = frame["text"].fillna("").tolist()
-            for part in batches([len(t) for t in texts], 3_000_000):
+            for part in batches([len(t) for t in texts], 1_000_000):
                 group = frame.iloc[part]
                 text, hashes, counts = shingles(texts[part], words)
                 sig = signatures(text, hashes, 1 + np.log(counts), len(group))
@@ -92,69 +94,161 @@ def signed(docs: DataFrame, words: int, id_column: str, text_column: str) -> Dat
     return rows.mapInPandas(sign, "row long, doc_id long, digest binary, bands array<long>, sketch binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, threshold: float, id_column: str, text_column: str) -> DataFrame:
-    """Of the node pairs ``(a, b)``, those whose texts reach the threshold. A hub's many pairs may be split among tasks."""
+def shingle_sets(wanted: DataFrame, docs: DataFrame, words: int, id_column: str, text_column: str) -> DataFrame:
+    """``(node, hashes)`` of the nodes wanted (node, doc_id, digest): the distinct shingles' 64-bit hashes, ascending."""
 
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for part in batches((frame["text_a"].str.len() + frame["text_b"].str.len()).tolist(), 4_000_000):
+            for part in batches(frame["text"].str.len().tolist(), 1_000_000):
                 group = frame.iloc[part]
-                place, texts = pd.factorize(pd.concat([group["text_a"], group["text_b"]]), use_na_sentinel=False)
-                n = len(group)
-                keep = jaccard(list(texts), place[:n], place[n:], words) >= threshold - 1e-12
-                yield group.loc[keep, ["a", "b"]]
+                text, hashes, _ = shingles(group["text"].tolist(), words)
+                at = np.searchsorted(text, np.arange(len(group) + 1))
+                yield pd.DataFrame({"node": group["node"], "hashes": [hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]})
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "digest"), "node")
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.unhex(F.sha2(text_column, 256)).alias("digest"), F.col(text_column).alias("text"))
-    # Of repeated equal rows each gives the text: repeated pairs, no more.
-    texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["digest"] == wanted["digest"])).select("node", "text")
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    with_both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_both.select("a", "b", "text_a", "text_b").mapInPandas(compare, "a long, b long").distinct()
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["digest"] == wanted["digest"])).select("node", "text")
+    # Repeated equal rows give a node several times; one set is enough.
+    return found.mapInPandas(sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two ascending arrays of distinct hashes."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0.0
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both / (len(x) + len(y) - both)
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components whose sketches agree enough. ``members``: key, node, component, sketch, n.
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of the node pairs ``(a, b)``, those whose shingles reach the threshold. A hub's many pairs may be split among tasks."""
 
-    A bucket of n members is cut into tiles; a task compares two tiles at a time. Pairs are emitted only where sketches agree.
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            keep = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= threshold - 1e-12 for x, y in zip(frame["x"], frame["y"], strict=True)]
+            yield frame.loc[np.array(keep, bool), ["a", "b"]]
+
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
+    with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return with_both.select("a", "b", "x", "y").mapInPandas(compare, "a long, b long")
+
+
+class Merges:
+    """Components met so far in a block; ``join`` says whether two of them were apart."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (p := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(p, p)
+            x = p
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.parent[max(a, b)] = min(a, b)
+        return a != b
+
+
+def by_sketch(a: pd.DataFrame, b: pd.DataFrame) -> list[tuple[int, int]]:
+    """Pairs of rows in different components whose sketches agree enough, as far as they join components of this block."""
+    sa, sb = (np.frombuffer(b"".join(x["data"]), np.uint8).reshape(len(x), BANDS * ROWS) for x in (a, b))
+    ca, cb, na, nb = a["component"].tolist(), b["component"].to_numpy(), a["node"].tolist(), b["node"].tolist()
+    merges, out = Merges(), []
+    for i in range(len(a)):
+        for j in np.flatnonzero((cb != ca[i]) & ((sb == sa[i]).sum(axis=1) >= LEAST_AGREEING)).tolist():
+            if merges.join(ca[i], int(cb[j])):
+                out.append((na[i], nb[j]))
+    return out
+
+
+def by_set(a: pd.DataFrame, b: pd.DataFrame, threshold: float) -> list[tuple[int, int]]:
+    """The same for the exact similarity of the rows' shingles."""
+    sets_b = [np.frombuffer(x, np.uint64) for x in b["data"]]
+    size_b, at = np.array([len(x) for x in sets_b]), offsets(np.array([len(x) for x in sets_b]))
+    names, codes = np.unique(np.concatenate(sets_b), return_inverse=True) if len(sets_b) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    mark = np.zeros(len(names) + 1, np.int64)
+    cb, nb = b["component"].tolist(), b["node"].tolist()
+    merges, out = Merges(), []
+    for data, component, node in zip(a["data"], a["component"].tolist(), a["node"].tolist(), strict=True):
+        own = np.frombuffer(data, np.uint64)
+        known = np.searchsorted(names, own)
+        known = known[names[np.minimum(known, len(names) - 1)] == own] if len(names) else known
+        mark[known] = 1
+        both = np.diff(np.concatenate([[0], np.cumsum(mark[codes])])[at])
+        mark[known] = 0
+        near = np.flatnonzero(both >= (threshold - 1e-12) * (len(own) + size_b - both))
+        for j in near.tolist():
+            if both[j] and cb[j] != component and merges.join(component, cb[j]):
+                out.append((node, nb[j]))
+    return out
+
+
+def compared(rows: DataFrame, solve: Callable[[pd.DataFrame, pd.DataFrame], list[tuple[int, int]]], tile: int) -> DataFrame:
+    """Links ``(a, b)`` between rows (key, node, component, data) of one key in different components.
+
+    A component of ``tile`` members or more has tiles of its own, which are not compared with each other; the members of smaller ones
+    share tiles. A task compares two tiles at a time and returns links that join components, no more than there are rows.
     """
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.greatest(tiles, F.lit(1))).cast("int")
-    rows = members.withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    rows = rows.select("key", F.least("tile", "other").alias("low"), F.greatest("tile", "other").alias("high"), "tile", "node", "component", "sketch")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame | None:
-        low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
-        a = group[group["tile"] == low]
-        b = group[group["tile"] == high]
-        sa = np.frombuffer(b"".join(a["sketch"]), np.uint8).reshape(len(a), -1)
-        sb = np.frombuffer(b"".join(b["sketch"]), np.uint8).reshape(len(b), -1)
-        ca, cb, na, nb = a["component"].to_numpy(), b["component"].to_numpy(), a["node"].to_numpy(), b["node"].to_numpy()
-        out = []
-        for i in range(len(a)):
-            good = np.flatnonzero((cb != ca[i]) & ((sb == sa[i]).sum(axis=1) >= LEAST_AGREEING))
-            out.extend((min(na[i], x), max(na[i], x)) for x in nb[good])
-        return pd.DataFrame(out, columns=["a", "b"]) if out else None
+    rows = stage(rows, "blocks")
+    sizes = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
+    sizes = sizes.withColumn("own", F.when(F.col("n") >= tile, F.col("component")))
+    tiles_of = stage(sizes.groupBy("key", "own").agg((F.floor((F.sum("n") - 1) / tile) + 1).cast("int").alias("tiles")), "tile-counts")
+    sizes = stage(sizes.select("key", "component", "own"), "component-sizes")
+    spot = rows.join(sizes, ["key", "component"]).join(tiles_of.withColumnsRenamed({"key": "k", "own": "o"}), (F.col("key") == F.col("k")) & F.col("own").eqNullSafe(F.col("o")))
+    # The members of a small component go to one tile.
+    turn = F.pmod(F.when(F.col("own").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("node")), "tiles")
+    placed = stage(spot.select("key", "node", "component", "data", F.xxhash64("key", "own", turn).alias("tile"), "own"), "tiles")
+    tiles = placed.groupBy("key", "tile").agg(F.first("own").alias("own"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    tiles = stage(tiles, "tile-list")
+    left, right = (tiles.select("key", *[F.col(c).alias(f"{c}{k}") for c in ("tile", "own", "lo", "hi")]) for k in (1, 2))
+    apart = F.when(F.col("tile1") == F.col("tile2"), F.col("lo1") != F.col("hi1")).otherwise(~F.coalesce(F.col("own1") == F.col("own2"), F.lit(False)))
+    pairs = stage(left.join(right, "key").where((F.col("tile1") <= F.col("tile2")) & apart).select("key", "tile1", "tile2"), "tile-pairs")
+    body = placed.select(F.col("key").alias("k"), "node", "component", "data", "tile")
+    first = pairs.join(body, (pairs["key"] == body["k"]) & (pairs["tile1"] == body["tile"])).withColumn("side", F.lit(1))
+    second = pairs.where("tile1 != tile2").join(body, (pairs["key"] == body["k"]) & (pairs["tile2"] == body["tile"])).withColumn("side", F.lit(2))
+    work = first.unionByName(second).select("key", "tile1", "tile2", "side", "node", "component", "data")
 
     def runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held, last = [], None
+
+        def links() -> pd.DataFrame:
+            group = pd.concat(held) if len(held) > 1 else held[0]
+            one, two = group[group["side"] == 1], group[group["side"] == 2]
+            return pd.DataFrame(solve(one, two if len(two) else one), columns=["a", "b"], dtype="int64")
+
         for frame in frames:
-            cut = (frame[["key", "low", "high"]] != frame[["key", "low", "high"]].shift()).any(axis=1).to_numpy()
-            places = np.append(np.flatnonzero(cut), len(frame))
-            if held and len(frame) and (frame.iloc[0][["key", "low", "high"]] != held[-1].iloc[0][["key", "low", "high"]]).any():
-                if (found := compare(pd.concat(held))) is not None:
-                    yield found
-                held = []
-            for s, e in zip(places[:-1], places[1:], strict=True):
-                held.append(frame.iloc[s:e])
-                if e < len(frame):
-                    if (found := compare(pd.concat(held) if len(held) > 1 else held[0])) is not None:
-                        yield found
-                    held = []
-        if held and (found := compare(pd.concat(held))) is not None:
-            yield found
-
-    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high").mapInPandas(runs, "a long, b long").distinct()
+            names = list(zip(frame["key"], frame["tile1"], frame["tile2"], strict=True))
+            start = 0
+            for i, name in enumerate(names):
+                if name != last:
+                    if i > start:
+                        held.append(frame.iloc[start:i])
+                    if held:
+                        yield links()
+                    held, start, last = [], i, name
+            if len(frame) > start:
+                held.append(frame.iloc[start:])
+        if held:
+            yield links()
+
+    order = ("key", "tile1", "tile2", "side")
+    return work.repartition("key", "tile1", "tile2").sortWithinPartitions(*order).mapInPandas(runs, "a long, b long").where("a != b")
+
+
+def joined_components(known: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """Components ``(node, component)`` of nodes that are in some already, after further links between these."""
+    ends = links.join(known.select(F.col("node").alias("a"), F.col("component").alias("x")), "a").join(known.select(F.col("node").alias("b"), F.col("component").alias("y")), "b")
+    more = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")), name).select(F.col("node").alias("component"), F.col("component").alias("further"))
+    return known.join(more, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+
+
+def open_keys(placed: DataFrame, key: str) -> DataFrame:
+    """Keys whose members are in several components."""
+    ends = placed.groupBy(key).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select(key)
+    return stage(ends, "open")
 
 
 def near_copies(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -176,16 +270,23 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, words: int = 5, id_colu
     stars = shared.where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     stars = stars.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
     stars = stage(agreeing(stars), "stars")
-    first = stage(verified(stars, nodes, docs, words, threshold, id_column, text_column), "links")
-    joined = stage(components(first), "first-components")
-    placed = shared.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key", "n")
-    open_keys = stage(open_keys, "open-buckets")
-    rest = placed.join(open_keys, "key").join(sketches, "node")
-    pairs = stage(block_pairs(rest.select("key", "node", "component", "sketch", "n")), "rest-pairs").join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    second = verified(pairs, nodes, docs, words, threshold, id_column, text_column)
-    links = stage(first.unionByName(second), "all-links")
-    final = components(links)
+    # Clusters: members of a bucket that look alike. Hubs join most; what a bucket still has apart is compared by sketch.
+    near = components(stars, "near")
+    known = shared.select("node").distinct().join(near, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    known = stage(known, "near")
+    placed = stage(shared.join(known, "node").select("key", "node", "component"), "placed")
+    rest = placed.join(open_keys(placed, "key"), "key").join(sketches, "node").select("key", "node", "component", F.col("sketch").alias("data"))
+    extra = stage(compared(rest, by_sketch, TILE), "extra")
+    clusters = stage(joined_components(known, extra, "clusters"), "clusters")
+    # Links: hubs' pairs first, then, in clusters that are still apart, all pairs between their parts, tile by tile.
+    pairs = stars.unionByName(extra.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "digest"), "node")
+    sets = stage(shingle_sets(wanted, docs, words, id_column, text_column), "sets")
+    first = components(verified(pairs, sets, threshold), "first")
+    parts = stage(clusters.join(first.withColumnRenamed("component", "part"), "node", "left").select(F.col("component").alias("key"), "node", F.coalesce("part", "node").alias("component")), "parts")
+    rest = parts.join(open_keys(parts, "key"), "key").join(sets.withColumnRenamed("hashes", "data"), "node").select("key", "node", "component", "data")
+    second = compared(rest, lambda a, b: by_set(a, b, threshold), SET_TILE)
+    final = joined_components(parts.select("node", "component"), second, "final")
     of_node = nodes.select("node", "digest", "own").join(final, "node", "left").select("digest", "own", F.coalesce("component", "node").alias("component"))
     same = keyed["digest"].eqNullSafe(of_node["digest"]) & keyed["own"].eqNullSafe(of_node["own"])
     classed = stage(keyed.join(of_node, same).select("row", keyed["doc_id"], keyed["digest"], "component"), "classed")
