@@ -88,6 +88,15 @@ def inflated(content: bytes) -> bytes:
     return b"".join(out)
 
 
+def rejoined(parts: list[str], n: int) -> list[str]:
+    """Fields of a header line with too many blanks: old writers left some in addresses and types, which IP and date stand between."""
+    for k in range(1, len(parts) - n + 2):
+        if re.fullmatch(r"[0-9a-fA-F.:]*[.:][0-9a-fA-F.:]*|-", parts[k]) and re.fullmatch(r"\d{4,14}", parts[k + 1]):
+            behind = len(parts) - (n - 4)
+            return [" ".join(parts[:k]), parts[k], parts[k + 1], " ".join(parts[k + 2 : behind]), *parts[behind:]]
+    return parts
+
+
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """``(header fields, block)`` of every record but the version block."""
     at, version = 0, 0
@@ -114,10 +123,8 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 raise ValueError("an ARC file begins with a version block of version 1 or 2")
             continue
         names = FIELDS[version]
-        # Old writers left blanks in types and addresses; all other fields have none.
         if len(parts) > len(names):
-            extra = len(parts) - len(names)
-            parts = [" ".join(parts[: extra + 1]), *parts[extra + 1 :]]
+            parts = rejoined(parts, len(names))
         if len(parts) != len(names):
             raise ValueError(f"an ARC header line of version {version} has {len(parts)} fields")
         yield dict(zip(names, parts, strict=True)), block

@@ -67,14 +67,16 @@ def best_configuration(values: np.ndarray, most: np.ndarray, capacity: int) -> l
         return []
     worth = values[lengths]
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for room in range(int(lengths[0]), capacity + 1):
-        k = int(np.searchsorted(lengths, room, "right"))
-        total = best[room - lengths[:k]] + worth[:k]
-        i = int(np.argmax(total))
+        k = fitting[room]
+        total = best[room - lengths[:k]]
+        total += worth[:k]
+        i = total.argmax()
         if total[i] > best[room - 1]:
             best[room], choice[room] = total[i], lengths[i]
         else:
-            best[room], choice[room] = best[room - 1], 0
+            best[room] = best[room - 1]
     left, room, out = most.copy(), capacity, []
     while room > 0:
         if not choice[room]:
@@ -95,9 +97,11 @@ def best_configuration(values: np.ndarray, most: np.ndarray, capacity: int) -> l
 def configurations(histogram: dict[int, int], capacity: int, rounds: int = 400, step: float = 0.1) -> list[tuple[tuple[int, ...], int]]:
     """``[(lengths, times)]`` that hold exactly the histogram.
 
-    Multiplicative weights on the covering program: row l is covered by the share of its count that the chosen configurations
-    hold, its weight is ``exp(-eta * share)``, and its price the weight over the count. Ends once all rows are covered evenly or
-    after ``rounds``; what is not held is packed afterwards, so the result is whole in either case.
+    Multiplicative weights on the covering program: a row's share is the part of its count that the chosen configurations hold,
+    its weight starts at count x length and falls by ``exp(-share / step)``, and its price is the weight over the count. A round uses
+    the configuration of most value for ``step`` of its scarcest row. The mean of the prices, each round's scaled so that the best
+    configuration is worth 1, is the dual solution. The primal one is scaled to cover every row it reached, rounded down, and cut
+    to what is left; the rest takes the configurations of most dual value, so the result is whole however far the rounds came.
     """
     need = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
@@ -106,22 +110,18 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = 400,
     if not len(rows):
         return []
     used: dict[tuple[int, ...], float] = {}
-    share = np.zeros(capacity + 1)
-    eta = np.log(len(rows) + 1) / step
+    share, price = np.zeros(capacity + 1), np.zeros(capacity + 1)
     for _ in range(rounds):
-        # A length's own room is its base price; its weight rises where its share lags behind.
-        lag = np.exp(np.clip(-eta * (share[rows] - share[rows].min()), -50, 0))
         values = np.zeros(capacity + 1)
-        values[rows] = rows * (0.5 + lag)
+        values[rows] = rows * np.exp(np.clip((share[rows].min() - share[rows]) / step, -30, 0))
         config = best_configuration(values, need, capacity)
+        price += values / values[config].sum()
         lengths, times = np.unique(config, return_counts=True)
         amount = step * float((need[lengths] / times).min())
         key = tuple(sorted(config, reverse=True))
         used[key] = used.get(key, 0.0) + amount
         share[lengths] += amount * times / need[lengths]
-        if share[rows].min() >= 1:
-            break
-    scale = 1 / max(1.0, share[rows].max())
+    scale = 1 / max(share[share > 0].min(), step)
     left, out = need.copy(), []
     for config, amount in sorted(used.items(), key=lambda x: -x[1]):
         lengths, times = np.unique(config, return_counts=True)
@@ -130,10 +130,8 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = 400,
             out.append((config, whole))
             left[lengths] -= whole * times
     while left.any():
-        # The rest: the fullest sequence there is, as often as the rest has it; long pieces first among equally full ones.
-        rows = np.flatnonzero(left)
-        values = np.zeros(capacity + 1)
-        values[rows] = rows + 1e-6 * rows * rows / capacity
+        # A little more for long pieces: among configurations of equal value the one that leaves short pieces for later.
+        values = np.where(left > 0, price * (1 + 1e-3 * np.arange(capacity + 1) / capacity), 0)
         config = best_configuration(values, left, capacity)
         lengths, times = np.unique(config, return_counts=True)
         whole = int((left[lengths] // times).min())

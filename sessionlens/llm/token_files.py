@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.llm.common import whole_text
 from sessionlens.llm.encode import encoder
-from sessionlens.llm.ragged import offsets
+from sessionlens.llm.ragged import batches, offsets
 
 SHARD = "part int, shard int, first_doc long, n_tokens long, zeros array<long>, planes array<binary>, ones array<binary>, doc_ids array<long>, doc_starts array<long>"
 #: Bits whose ones are counted together.
@@ -150,12 +150,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
         for frame in frames:
             texts = frame["text"].tolist()
-            step = max(1, min(len(texts), 500))
-            for i in range(0, len(texts), step):
-                ids, at = encode(texts[i : i + step])
+            for group in batches([len(t) + 1 for t in texts], min(shard_tokens, 2_000_000)):
+                ids, at = encode(texts[group])
                 if end_id is not None:
                     ids, at = np.insert(ids, at[1:], np.uint32(end_id)), at + np.arange(len(at))
-                held.append((frame["id"].to_numpy(object)[i : i + step], np.diff(at), ids))
+                held.append((frame["id"].to_numpy(object)[group], np.diff(at), ids))
                 if sum(len(h[2]) for h in held) >= shard_tokens:
                     yield flush()
         if held:
