@@ -17,7 +17,7 @@ NOISE_PREFIXES = ("[Request interrupted", "Caveat: The messages below")
 
 # Patterns.
 BLANKS = r"[\p{Z}\p{Cc}]+"
-ENVELOPE = r"(?s)<(?<tag>[a-z][a-z0-9_-]*)(?:\s[^>]*)?>.*?</\k<tag>\s*>"
+TAG_NAME = r"[a-z][a-z0-9_-]*"
 TOKEN = r"[\p{L}\p{N}]+"
 RAW_TOKEN = r"[\p{L}\p{N}\p{M}]+"
 SEARCHABLE = r"[\p{L}\p{Nd}]"
@@ -59,17 +59,56 @@ def truncate_words(text: Column, limit: int) -> Column:
 
 
 def strip_envelopes(text: Column) -> Column:
-    """Drop paired lower-case tags with what they hold. Texts without a closing tag skip the pattern."""
-    return F.when(F.contains(text, F.lit("</")), F.regexp_replace(text, ENVELOPE, " ")).otherwise(text)
+    """Drop paired lower-case tags with what they hold: from an opening tag to the next closing one of its name.
+
+    The text is cut at every ``<`` and the pieces are read once from left to right. Where each name is closed last is looked up,
+    so a tag that is never closed costs nothing, however many there are. Texts without a closing tag are left alone.
+    """
+    pieces = F.split(text, "<")
+
+    def named(piece: Column) -> Column:
+        opens = F.regexp_extract(piece, rf"^({TAG_NAME})(?:\s[^>]*)?>", 1)
+        closes = F.regexp_extract(piece, rf"^/({TAG_NAME})\s*>", 1)
+        return F.struct(piece.alias("piece"), opens.alias("opens"), closes.alias("closes"))
+
+    def closed_last(tags: Column) -> Column:
+        ends = F.filter(F.transform(tags, lambda t, i: F.struct(t["closes"].alias("name"), i.alias("at"))), lambda e: e["name"] != "")
+        names = F.array_distinct(F.transform(ends, lambda e: e["name"]))
+        count, reverse = F.size(tags) - 1, F.reverse(F.transform(tags, lambda t: t["closes"]))
+        return F.map_from_arrays(names, F.transform(names, lambda n: count - (F.array_position(reverse, n).cast("int") - 1)))
+
+    def fold(read: Column) -> Column:
+        # State: the name whose closing tag is awaited ("" for none), and the parts that stay.
+        def step(state: Column, t: Column) -> Column:
+            tag, at, waits = t["tag"], t["at"], state["waits"]
+            ends = (waits != "") & (tag["closes"] == waits)
+            starts = (waits == "") & (tag["opens"] != "") & F.coalesce(F.try_element_at(read["last"], tag["opens"]) > at, F.lit(False))
+            plain = F.when(at == 0, tag["piece"]).otherwise(F.concat(F.lit("<"), tag["piece"]))
+            after = F.substr(tag["piece"], F.instr(tag["piece"], ">") + 1)
+            kept = F.when(ends, after).when(starts, F.lit(" ")).when(waits == "", plain).otherwise(F.lit(""))
+            return F.struct(F.when(ends, F.lit("")).when(starts, tag["opens"]).otherwise(waits).alias("waits"), F.concat(state["parts"], F.array(kept)).alias("parts"))
+
+        start = F.struct(F.lit("").alias("waits"), F.array().cast("array<string>").alias("parts"))
+        tags = F.transform(read["tags"], lambda t, i: F.struct(t.alias("tag"), i.alias("at")))
+        return F.array_join(F.aggregate(tags, start, step, lambda s: s["parts"]), "")
+
+    tags = F.transform(pieces, named)
+    whole = F.transform(F.array(tags), lambda t: F.struct(t.alias("tags"), closed_last(t).alias("last")))
+    return F.when(F.contains(text, F.lit("</")), F.get(F.transform(whole, fold), F.lit(0))).otherwise(text)
 
 
 def clean_prompt(text: Column) -> Column:
     """What a person typed, on one line; NULL when nothing is left or it is a notice."""
-    line = collapse_or_null(strip_envelopes(text))
-    noise = F.lit(False)
-    for prefix in NOISE_PREFIXES:
-        noise = noise | F.startswith(line, F.lit(prefix))
-    return F.when(~noise, line)
+
+    def typed(stripped: Column) -> Column:
+        line = collapse_or_null(stripped)
+        noise = F.lit(False)
+        for prefix in NOISE_PREFIXES:
+            noise = noise | F.startswith(line, F.lit(prefix))
+        return F.when(~noise, line)
+
+    # The stripped text is a value of its own here, so the plan holds its expression once.
+    return F.get(F.transform(F.array(strip_envelopes(text)), typed), F.lit(0))
 
 
 def resolve_title(custom: Column, ai: Column, first_prompt: Column, file_name: Column) -> tuple[Column, Column]:

@@ -561,28 +561,25 @@ week_commits AS (SELECT w.owner, w.focus, w.pos, w.age, c.ts, c.sha, c.subject F
 ])
 
 INSTRUCTIONS = (
-    "'Write a short stand-up update from the activity log below, first person, in bullets:'",
-    "'- Yesterday: the outcomes of the focus day, related work merged, anything committed named.'",
-    "'- Before that: notable work of the earlier days, or nothing.'",
-    "'- Next: threads that look unfinished.'",
-    "'- Blockers: only those the log shows.'",
-    "'Use at most 150 words and only what is in the log.'",
+    "'You read a work journal and say in at most 120 words what a team should hear.'",
+    "'Stay with the journal: no guesses, no praise.'",
+    "'1. Results of the day before, one sentence per project; mention what was committed.'",
+    "'2. Open ends, if the journal shows any.'",
+    "'3. Obstacles, if the journal names any.'",
+    "'Use the older days only to tell what is new.'",
 )
 ORACLES["summary_prompts"] = f"{CONVERSATION_RECAPS}, {DAY_SOURCES}, " + _assemble([
     *[_line("0", str(i), "0", "0", "0", EMPTY, "0", text, "focus_frames") for i, text in enumerate(INSTRUCTIONS)],
-    _line("1", "0", "0", "0", "0", EMPTY, "0", "'<activity>'", "focus_frames"),
-    _line("1", "1", "0", "0", "0", EMPTY, "0", f"'Focus day: ' || {day_label('focus', 'today')}", "focus_frames"),
-    _line("2", "pos", "0", "0", "0", EMPTY, "0", "'Project ' || name || CASE WHEN len(branches) > 0 THEN ' (branches: ' || array_to_string(branches, ', ') || ')' ELSE '' END", "day_projects"),
-    _line("2", "pos", "1", "epoch_us(first_activity)", "0", "session_id", "0", f"'- Session \"' || title || '\", ' || {count_noun('prompt_count', 'prompt')} || ', ' || {span('first_activity', 'last_activity')}", "day_work"),
-    _line("2", "pos", "1", "epoch_us(first_activity)", "0", "session_id", "i", "'  - Asked: ' || asked", "day_prompts"),
-    _line("2", "pos", "1", "epoch_us(first_activity)", "0", "session_id", "1000", "'  - Last reply: ' || outcome", "day_work WHERE outcome IS NOT NULL"),
-    _line("2", "pos", "2", "0", "0", EMPTY, "0", f"'- Plus ' || {count_noun('quick_count', 'quick question')}", "day_projects WHERE quick_count > 0"),
-    _line("2", "pos", "3", "epoch_us(ts)", "0", "sha", "0", "'- Commit ' || sha || ': ' || subject", "day_commits"),
-    _line("3", "age", "0", "0", "0", EMPTY, "0", "''", "early_frames"),
-    _line("3", "age", "1", "0", "0", EMPTY, "0", f"'Earlier day: ' || {short_day('day')}", "early_frames"),
-    _line("3", "age", "2", "earlier_pos", "0", EMPTY, "0", "'- Project ' || name || ': ' || array_to_string(titles, '; ')", "early"),
-    _line("3", "age", "2", "earlier_pos", "epoch_us(ts)", "sha", "1", "'  - Commit ' || sha || ': ' || subject", "early_commits"),
-    _line("4", "0", "0", "0", "0", EMPTY, "0", "'</activity>'", "focus_frames"),
+    _line("1", "-age", "0", "0", "0", EMPTY, "0", f"'## Before: ' || {short_day('day')}", "early_frames"),
+    _line("1", "-age", "1", "earlier_pos", "0", EMPTY, "0", "name || ' | ' || array_to_string(titles, ' / ')", "early"),
+    _line("1", "-age", "1", "earlier_pos", "epoch_us(ts)", "sha", "1", "'  committed | ' || subject || ' | ' || sha", "early_commits"),
+    _line("2", "0", "0", "0", "0", EMPTY, "0", f"'## Journal: ' || {day_label('focus', 'today')}", "focus_frames"),
+    _line("3", "pos", "0", "0", "0", EMPTY, "0", "'### ' || name || CASE WHEN len(branches) > 0 THEN ' on ' || array_to_string(branches, ', ') ELSE '' END", "day_projects"),
+    _line("3", "pos", "1", "epoch_us(ts)", "0", "sha", "0", "'committed | ' || subject || ' | ' || sha", "day_commits"),
+    _line("3", "pos", "2", "epoch_us(first_activity)", "0", "session_id", "0", f"title || ' | ' || {span('first_activity', 'last_activity')} || ' | ' || {count_noun('prompt_count', 'prompt')}", "day_work"),
+    _line("3", "pos", "2", "epoch_us(first_activity)", "0", "session_id", "i", "'  > ' || asked", "day_prompts"),
+    _line("3", "pos", "2", "epoch_us(first_activity)", "0", "session_id", "1000", "'  < ' || outcome", "day_work WHERE outcome IS NOT NULL"),
+    _line("3", "pos", "3", "0", "0", EMPTY, "0", f"{count_noun('quick_count', 'brief exchange')} || ' left out'", "day_projects WHERE quick_count > 0"),
 ])
 
 # ---------------------------------------------------------------- merge

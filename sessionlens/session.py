@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,20 +34,46 @@ def get_spark(app: str = "sessionlens", master: str | None = None, **conf: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a temporary one only where none is set (tests)."""
+    """The shared checkpoint folder the cluster names. A temporary one stands in only where everything runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^-]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: {master} needs a folder that all executors and the driver share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+_SCOPE: ContextVar[str | None] = ContextVar("staging folder", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Results staged inside share a folder, which goes when the block ends, also by an error.
+
+    For work whose results are durable by then: a pass, a batch of a stream. What a query returns unread must be staged outside.
+    """
+    folder = f"{checkpoint_dir(spark)}/staging-{uuid.uuid4().hex}"
+    token = _SCOPE.set(folder)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(token)
+        delete(spark, folder)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a result that several steps read into the shared checkpoint folder and read it back.
 
     Unlike a cached block, the files survive the loss of an executor.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCOPE.get() or checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -39,22 +39,22 @@ def request(spark, day=None, today=TODAY):
     return spark.createDataFrame([("me", today, day)], "owner string, today date, requested date")
 
 
-def asks(session, day, start, n, text="please do step {}"):
+def asks(session, day, start, n, text="water row {}"):
     hour, minute = map(int, start.split(":"))
     return [(session, at(day, f"{hour:02d}:{minute + i:02d}"), 4, text.format(i)) for i in range(n)]
 
 
 WEEK = (
-    asks("s1", "10-02", "10:05", 12) + [("s1", at("10-02", "17:40"), 5, "All paths pass now.")]
-    + asks("s2", "10-02", "11:00", 5) + asks("s3", "10-02", "12:00", 1, "What is None?") + asks("s4", "10-01", "09:00", 3)
+    asks("s1", "10-02", "08:20", 9) + [("s1", at("10-02", "16:15"), 5, "Valves close in time.")]
+    + asks("s2", "10-02", "13:30", 6) + asks("s3", "10-02", "12:00", 1, "Which hose?") + asks("s4", "10-01", "09:00", 3)
 )
-SESSIONS = [("s1", "Path tests", "C:\\git\\finder", "fix/paths"), ("s2", "CI actions", "C:\\git\\finder\\src", "HEAD"), ("s3", "What is None?", "c:\\git\\finder", None), ("s4", "Security policy", "C:\\git\\finder", "main")]
-COMMITS = [("C:\\git\\finder", "824d14a", "Make path tests neutral", at("10-02", "15:00")), ("C:\\git\\finder", "41bc5b2", "Add security policy", at("10-01", "10:00"))]
+SESSIONS = [("s1", "Valve timing", "D:\\farm\\orchard", "wip/valves"), ("s2", "Pump alarms", "D:\\farm\\orchard\\pumps", "HEAD"), ("s3", "Which hose?", "d:\\farm\\orchard", None), ("s4", "Frost alerts", "D:\\farm\\orchard", "main")]
+COMMITS = [("D:\\farm\\orchard", "b7e20f4", "Time valves by soil moisture", at("10-02", "14:10")), ("D:\\farm\\orchard", "0c9d6aa", "Warn before frost", at("10-01", "11:45"))]
 
 
 @pytest.fixture(scope="module")
 def week(spark):
-    cleaned, recaps, projects, commits = build(spark, WEEK, SESSIONS, COMMITS, ["C:\\git\\finder"])
+    cleaned, recaps, projects, commits = build(spark, WEEK, SESSIONS, COMMITS, ["D:\\farm\\orchard"])
     days = R.active_days(cleaned)
     focus = R.focus_days(days, request(spark))
     frames = R.recap_frames(days, focus.select("owner", "today", "focus"))
@@ -74,24 +74,24 @@ def test_day_text(week):
     _, _, frames, recaps, projects, commits = week
     assert text(RT.day_lines(frames, recaps, projects, commits, CALENDAR)) == (
         "**Fri, Oct 2**\n"
-        "- **finder** · `fix/paths` · 3 sessions · 10:05–17:40\n"
-        "  - Path tests (12 prompts)\n"
-        "  - CI actions (5 prompts)\n"
+        "- **orchard** · `wip/valves` · 3 sessions · 08:20–16:15\n"
+        "  - Valve timing (9 prompts)\n"
+        "  - Pump alarms (6 prompts)\n"
         "  - _plus 1 quick question_\n"
         "  - Commits:\n"
-        "    - `824d14a` Make path tests neutral\n"
+        "    - `b7e20f4` Time valves by soil moisture\n"
         "\n"
         "**Earlier**\n"
         "- **Thu, Oct 1**\n"
-        "  - finder: Security policy · 1 commit\n")
+        "  - orchard: Frost alerts · 1 commit\n")
 
 
 def test_plain_and_slack(week):
     _, _, frames, recaps, projects, commits = week
     plain = text(RT.day_lines(frames, recaps, projects, commits, CALENDAR, "plain"))
-    assert plain.startswith("Fri, Oct 2\n- finder · fix/paths · 3 sessions") and "*" not in plain and "`" not in plain
+    assert plain.startswith("Fri, Oct 2\n- orchard · wip/valves · 3 sessions") and "*" not in plain and "`" not in plain
     slack = text(RT.day_lines(frames, recaps, projects, commits, CALENDAR, "slack", with_prompts=True))
-    assert "\n    ◦ Path tests (12 prompts)\n        ▪ \"please do step 0\"\n" in slack or "\n        ▪ \"please do step 10\"\n" in slack
+    assert "\n    ◦ Valve timing (9 prompts)\n        ▪ \"water row 0\"\n" in slack or "\n        ▪ \"water row 8\"\n" in slack
 
 
 def test_week_text(week):
@@ -99,19 +99,19 @@ def test_week_text(week):
     rollup = R.week_rollup(frames, projects)
     assert text(RT.week_lines(frames, rollup, recaps, projects, commits)) == (
         "**Week of Thu, Oct 1 – Fri, Oct 2**\n"
-        "- **finder** · `fix/paths`, `main` · 4 sessions over 2 days · 2 commits\n"
-        "  - Fri, Oct 2: Path tests; CI actions\n"
-        "  - Thu, Oct 1: Security policy\n"
+        "- **orchard** · `wip/valves`, `main` · 4 sessions over 2 days · 2 commits\n"
+        "  - Fri, Oct 2: Valve timing; Pump alarms\n"
+        "  - Thu, Oct 1: Frost alerts\n"
         "  - _plus 1 quick question_\n"
         "  - Commits:\n"
-        "    - `824d14a` Make path tests neutral\n"
-        "    - `41bc5b2` Add security policy\n")
+        "    - `b7e20f4` Time valves by soil moisture\n"
+        "    - `0c9d6aa` Warn before frost\n")
 
 
 def test_summary_and_headings(week):
     _, _, frames, recaps, projects, commits = week
     prompt = text(RT.summary_lines(frames, recaps, projects, commits, CALENDAR))
-    assert "Focus day: Fri, Oct 2\nProject finder (branches: fix/paths)\n" in prompt and "  - Last reply: All paths pass now.\n" in prompt
+    assert "## Journal: Fri, Oct 2\n### orchard on wip/valves\n" in prompt and "  < Valves close in time.\n" in prompt
     row = R.headings(frames, projects).first()
     assert row.focus_heading == "3 days ago · 3 sessions · 1 commit" and row.week_heading == "2 active days · 4 sessions · 2 commits"
 

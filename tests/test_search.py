@@ -35,16 +35,16 @@ def test_split_matches_brute_force(spark):
 
 
 CORPUS = {
-    "both": [(4, "the deposit was rejected by the bank")],
-    "apart": [(4, "the deposit never arrived"), (5, "the transfer was rejected by the bank")],
-    "one": [(4, "the deposit arrived on time")],
-    "key": [(4, "ticket ABC-1234 is open")],
-    "loose": [(4, "abc was mentioned and 123 much later")],
-    "report": [(4, "the reconciliation report")],
-    "accent": [(4, "un depósito pendiente")],
-    "titled": [(1, "settlement")],
-    "chatty": [(5, f"settlement {i}") for i in range(40)],
-    "path": [(2, "C:\\git\\Example main")],
+    "both": [(4, "a ladder stood crooked by the shed")],
+    "apart": [(4, "the ladder is blue"), (5, "this shelf looks crooked to me")],
+    "one": [(4, "a ladder of seven rungs")],
+    "key": [(4, "spool KLM-1234 is empty")],
+    "loose": [(4, "klm came first and 123 came last")],
+    "report": [(4, "an upholstery catalogue")],
+    "accent": [(4, "un almacén cerrado")],
+    "titled": [(1, "varnish")],
+    "chatty": [(5, f"varnish {i}") for i in range(40)],
+    "path": [(2, "D:\\sheds\\North main")],
     "cafe": [(4, "Un CAFE\u0301 noir, s'il vous plaît")],
 }
 
@@ -69,27 +69,27 @@ def ids(rows):
 
 
 def test_search_semantics(spark, corpus):
-    texts = ["deposit rejected", "rejected deposit deposit Depósit", "abc-123", "recon", "deposito", "depósito", "C:\\git\\Example", "widgetless", "cafe", "conciliation", "d r", '"abc']
+    texts = ["ladder crooked", "crooked ladder ladder Láddér", "klm-123", "upholst", "almacen", "almacén", "D:\\sheds\\North", "widgetless", "cafe", "pholstery", "l c", '"klm']
     found = find(spark, corpus, texts)
-    assert ids(found["deposit rejected"]) == ["both", "apart"]
-    assert ids(found["rejected deposit deposit Depósit"]) == ["both", "apart"]
-    assert ids(found["abc-123"]) == ["key"]
-    assert ids(found["recon"]) == ["report"]
-    assert ids(found["deposito"]) == ids(found["depósito"]) == ["accent"]
-    assert ids(found["C:\\git\\Example"]) == ["path"]
-    assert ids(found["widgetless"]) == ids(found["conciliation"]) == []
+    assert ids(found["ladder crooked"]) == ["both", "apart"]
+    assert ids(found["crooked ladder ladder Láddér"]) == ["both", "apart"]
+    assert ids(found["klm-123"]) == ["key"]
+    assert ids(found["upholst"]) == ["report"]
+    assert ids(found["almacen"]) == ids(found["almacén"]) == ["accent"]
+    assert ids(found["D:\\sheds\\North"]) == ["path"]
+    assert ids(found["widgetless"]) == ids(found["pholstery"]) == []
     assert ids(found["cafe"]) == ["cafe"]
-    assert set(ids(found["d r"])) >= {"both", "apart"}
-    assert set(ids(found['"abc'])) == {"key", "loose"}
-    assert found["recon"][0].snippet == "the [reconciliation] report"
-    assert found["abc-123"][0].snippet == "ticket [ABC-1234] is open"
+    assert set(ids(found["l c"])) >= {"both", "apart"}
+    assert set(ids(found['"klm'])) == {"key", "loose"}
+    assert found["upholst"][0].snippet == "an [upholstery] catalogue"
+    assert found["klm-123"][0].snippet == "spool [KLM-1234] is empty"
     assert found["cafe"][0].snippet == "Un [CAFE\u0301] noir, s'il vous plaît"
-    assert found["deposit rejected"][1].matched_kinds == [4, 5]
+    assert found["ladder crooked"][1].matched_kinds == [4, 5]
 
 
 def test_repeat_weight(spark, corpus):
-    assert ids(find(spark, corpus, ["settlement"])["settlement"]) == ["titled", "chatty"]
-    assert ids(find(spark, corpus, ["settlement"], S.Ranking(repeat=1.0))["settlement"]) == ["chatty", "titled"]
+    assert ids(find(spark, corpus, ["varnish"])["varnish"]) == ["titled", "chatty"]
+    assert ids(find(spark, corpus, ["varnish"], S.Ranking(repeat=1.0))["varnish"]) == ["chatty", "titled"]
 
 
 def test_nothing_to_search_for(spark, corpus):
@@ -103,7 +103,7 @@ def test_nothing_to_search_for(spark, corpus):
 
 
 def test_a_batch_equals_single_searches(spark, corpus):
-    texts = ["deposit rejected", "settlement", "the", "abc-123"]
+    texts = ["ladder crooked", "varnish", "the", "klm-123"]
     batch = find(spark, corpus, texts)
     for text in texts[:2]:
         single = find(spark, corpus, [text])[text]
@@ -132,7 +132,7 @@ def test_a_written_index_answers_the_same(spark, corpus, tmp_path):
     _, _, index = corpus
     I.write_index(index, str(tmp_path / "ix"))
     stored = I.read_index(spark, str(tmp_path / "ix"))
-    terms = spark.createDataFrame([("settle", ["settle"]), ("the deposit", ["the", "deposit"])], "term string, tokens array<string>")
+    terms = spark.createDataFrame([("varn", ["varn"]), ("the ladder", ["the", "ladder"])], "term string, tokens array<string>")
     both = [sorted(map(tuple, I.term_hits(terms, ix).collect())) for ix in (index, stored)]
     assert both[0] == both[1] and both[0]
     plan = I.lookup(terms.select("term", F.col("term").alias("token")), stored.postings)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
@@ -141,7 +141,7 @@ def test_a_written_index_answers_the_same(spark, corpus, tmp_path):
 
 def test_sweep_prefers_the_labelled_session(spark, corpus):
     _, sessions, index = corpus
-    queries = spark.createDataFrame([(1, "settlement"), (2, "deposit rejected")], "query_id int, text string")
+    queries = spark.createDataFrame([(1, "varnish"), (2, "ladder crooked")], "query_id int, text string")
     labels = spark.createDataFrame([(1, "titled"), (2, "both")], "query_id int, session_id string")
     settings = spark.createDataFrame([("plain", 2.0, 0.0), ("repeat", 2.0, 1.0)], "setting string, co_occurrence double, repeat double")
     rows = {r.setting: r for r in S.weight_sweep(queries, labels, index, sessions, F.lit("2026-10-05").cast("timestamp"), settings).collect()}
