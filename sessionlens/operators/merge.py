@@ -99,12 +99,14 @@ def pruned_sessions(sessions: DataFrame, live: DataFrame) -> DataFrame:
 def outcomes(plan: DataFrame, tail: DataFrame | None = None) -> DataFrame:
     """Adds what became of each file.
 
-    ``tail`` says what a pass read per session: ``(session_id, readable, has_message, chunks, bytes, parse_error)``.
+    ``tail`` says what a pass read per session: ``(session_id, readable, has_message, chunks, bytes, parse_error)``
+    and, where it looked, ``missing``: files that went between listing and reading.
     """
     joined = plan.join(tail, "session_id", "left") if tail is not None else plan
     outcome = (
         F.when(F.col("plan") == "prune", F.lit("pruned"))
         .when(F.col("plan") == "skip", F.lit("skipped"))
+        .when(F.coalesce("missing", F.lit(False)) if "missing" in joined.columns else F.lit(False), F.lit("missing"))
         .when(~F.coalesce("readable", F.lit(True)), F.lit("failed"))
         .when(F.col("plan") == "full", F.lit("indexed"))
         .when(F.coalesce("has_message", F.lit(False)), F.lit("appended"))

@@ -1,17 +1,19 @@
 """Keeping the tables current with a folder of transcripts.
 
-One pass: list files, compare with what is stored, read only what changed, merge, rewrite the touched
-buckets. A resumed file contributes only the lines behind its stored offset.
+One pass: list files, compare with what is stored, read only what changed, merge, write the touched
+buckets anew, and make them current by one manifest. Of a resumed file only the bytes behind its stored offset are read.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlens import constants as K
 from sessionlens.functions import text as X
 from sessionlens.operators import chunks as C, index as I, merge as M, sessions as S
-from sessionlens.session import stage
+from sessionlens.session import stage, staging
 from sessionlens.sources import sinks, transcripts as R
 
 _PLACE = "struct<seq:bigint,cwd:string,branch:string>"
@@ -24,44 +26,50 @@ SESSION_SCHEMA = (
     "session_id string, owner string, file_path string, file_name string, title string, title_source int, custom_title string, "
     "ai_title string, first_prompt string, folder_display string, folder_key string, folder_source int, git_branch string, "
     "last_prompt string, first_activity timestamp, last_activity timestamp, message_count bigint, file_size bigint, "
-    "mtime timestamp, head_sha256 string, parse_offset bigint, parse_error string, indexed_at timestamp, "
+    "mtime timestamp, head_sha256 string, parse_offset bigint, line_count bigint, parse_error string, indexed_at timestamp, "
     f"state struct<{_STATE}>, bucket int"
 )
+TALLY_SCHEMA = "discovered bigint, indexed bigint, skipped bigint, failed bigint, pruned bigint, chunks_written bigint, bytes_read bigint, parse_errors bigint"
 CHUNK_SCHEMA = "session_id string, owner string, chunk_no bigint, kind int, ts timestamp, text string, bucket int"
-META_SCHEMA = "completed_at timestamp"
+
+
+FORWARD_SCHEMA = "session_id string, chunk_no bigint, kind int, tokens array<string>, n_tokens int, bucket int"
+POSTINGS_SCHEMA = "token string, session_id string, chunk_no bigint, kind int, n_tokens int, tf int, positions array<int>, bucket int"
 
 
 class SessionIndex:
-    """The tables of one index folder."""
+    """The tables of one index folder. A pass changes all of them at once or, if it fails anywhere, none."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = sinks.DEFAULT_BUCKETS):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+        self.tables = sinks.Versions(spark, self.path)
 
     def sessions(self) -> DataFrame:
-        return sinks.read_table(self.spark, f"{self.path}/sessions", SESSION_SCHEMA)
+        return self.tables.read("sessions", SESSION_SCHEMA)
 
     def chunks(self) -> DataFrame:
-        return sinks.read_table(self.spark, f"{self.path}/chunks", CHUNK_SCHEMA)
+        return self.tables.read("chunks", CHUNK_SCHEMA)
 
     def meta(self) -> DataFrame:
-        return sinks.read_table(self.spark, f"{self.path}/meta", META_SCHEMA)
+        done = self.tables.current()["completed_at"]
+        return self.spark.createDataFrame([(done,)] if done else [], "completed_at string").select(F.col("completed_at").cast("timestamp"))
 
     def search_index(self) -> I.Index:
-        read = self.spark.read
-        postings = read.parquet(f"{self.path}/postings").drop("bucket")
-        return I.Index(read.parquet(f"{self.path}/forward").drop("bucket"), postings, I.build_vocabulary(postings))
+        postings = self.tables.read("postings", POSTINGS_SCHEMA).drop("bucket")
+        return I.Index(self.tables.read("forward", FORWARD_SCHEMA).drop("bucket"), postings, I.build_vocabulary(postings))
 
     # ------------------------------------------------------------ one pass
 
     def plan(self, root: str, forced: bool = False) -> DataFrame:
         """Change plan of every known or present file. Hashes are read only where they can matter."""
         stored = self.sessions().select("session_id", F.col("file_size").alias("size"), "mtime", "head_sha256", "parse_offset")
+        lines = self.sessions().select("session_id", F.col("line_count").alias("stored_lines"))
         listed = R.list_files(self.spark, root)
         listed = listed.groupBy("session_id").agg(F.max(F.struct("mtime", "file_path", "file_name", "size")).alias("f")).select(
             "session_id", "f.file_path", "f.file_name", "f.size", "f.mtime")
         first = stage(M.change_plan(stored, listed.withColumn("head_sha256", F.lit(None).cast("string")), forced), "plan")
         heads = R.head_hashes(first.where(F.col("plan").isin("full", "resume")))
-        seen = first.drop("head_sha256").join(heads, "file_path", "left")
+        seen = first.drop("head_sha256").join(heads, "file_path", "left").join(lines, "session_id", "left")
         rewritten = (F.col("plan") == "resume") & F.coalesce(F.upper("stored_head") != F.col("stored_part_sha256"), F.lit(False))
         return seen.withColumns({
             "reason": F.when(rewritten, F.lit("head_changed")).otherwise(F.col("reason")),
@@ -72,21 +80,31 @@ class SessionIndex:
     def reconcile(self, root: str, now, forced: bool = False, owner=None) -> DataFrame:
         """Bring the tables in line with ``root``; returns the tally row.
 
-        ``now`` is the completion time to record, ``owner`` an optional column over ``file_path``.
+        ``now`` is the completion time to record, ``owner`` an optional column over ``file_path``. A file that cannot be read, or
+        that goes while the pass runs, stays as it is stored and is tried again by the next pass.
         """
+        with staging(self.spark):
+            tally = self._pass(root, now, forced, owner).collect()
+        return self.spark.createDataFrame(tally, TALLY_SCHEMA)
+
+    def _pass(self, root: str, now, forced: bool, owner) -> DataFrame:
         spark = self.spark
         plan = stage(self.plan(root, forced), "plan")
-        unreadable = plan.where(~F.coalesce("readable", F.lit(True)))
-        work = plan.where(F.col("plan").isin("full", "resume") & F.coalesce("readable", F.lit(True)))
+        todo = plan.where(F.col("plan").isin("full", "resume") & F.coalesce("readable", F.lit(True)))
+        todo = stage(todo.withColumn("line_count", F.when(F.col("plan") == "resume", F.coalesce("stored_lines", F.lit(0))).otherwise(F.lit(0))), "todo")
+        if plan.where(F.col("plan") == "prune").isEmpty() and todo.isEmpty():
+            self.tables.commit(str(now), [], {})
+            return self._tally(plan, None)
         # Parsed lines are about a fiftieth of the bytes read, and are needed three times.
-        parsed = stage(R.parse_lines(R.read_changed_lines(spark, root, work)), "parsed")
-        ends = R.file_ends(R.block_totals(parsed)).groupBy("file_path").agg(F.max("parse_offset").alias("parse_offset"))
-        lines = R.identify(R.number_lines(parsed), owner)
-        todo = work.select("session_id", "plan", "offset")
-        records = lines.drop("parse_offset").join(todo, "session_id").where(F.col("byte_start") >= F.col("offset"))
-
-        tail = stage(S.session_state(records.drop("plan", "offset"), ("session_id",)), "tail")
-        touched = work.select("session_id", "plan", "file_path", "file_name", "size", "mtime", "head_sha256").join(ends, "file_path", "left")
+        read = stage(R.parse_lines(R.read_tails(todo)), "parsed")
+        problems = stage(read.where(F.col("problem").isNotNull()).groupBy("file_path").agg(F.min(F.col("problem") == "missing").alias("lost")), "problems")
+        work = stage(todo.join(problems, "file_path", "left_anti"), "work")
+        parsed = read.join(problems, "file_path", "left_anti").drop("problem")
+        ends = R.tail_ends(parsed)
+        records = stage(R.identify(R.number_tails(parsed, work), owner).join(work.select("session_id"), "session_id", "left_semi"), "records")
+
+        tail = stage(S.session_state(records, ("session_id",)), "tail")
+        touched = work.select("session_id", "plan", "file_path", "file_name", "size", "mtime", "head_sha256", "offset", "line_count").join(ends, "file_path", "left")
         stored = self.sessions()
         resumed = stored.join(work.where(F.col("plan") == "resume").select("session_id"), "session_id", "left_semi").select("session_id", "state.*")
         merged = M.merge_states(resumed, tail).join(touched, "session_id", "right")
@@ -102,7 +120,8 @@ class SessionIndex:
             F.col("first_prompt.text").alias("first_prompt"), "folder_display", "folder_key", "folder_source", "git_branch",
             X.empty_to_null(F.col("last_prompt.text")).alias("last_prompt"),
             "first_activity", "last_activity", "message_count", F.col("size").alias("file_size"), "mtime", "head_sha256",
-            F.coalesce("parse_offset", F.lit(0)).cast("bigint").alias("parse_offset"), "parse_error", F.lit(now).cast("timestamp").alias("indexed_at"), "state",
+            F.coalesce("parse_offset", "offset").cast("bigint").alias("parse_offset"),
+            (F.col("line_count") + F.coalesce("new_lines", F.lit(0))).cast("bigint").alias("line_count"), "parse_error", F.lit(now).cast("timestamp").alias("indexed_at"), "state",
             sinks.bucket_of(F.col("session_id"), self.buckets).alias("bucket"),
         ), "fresh")
 
@@ -112,38 +131,45 @@ class SessionIndex:
 
         gone = plan.where(F.col("plan") == "prune").select("session_id")
         changed = fresh.select("session_id").unionByName(gone)
-        buckets = stage(changed.select(sinks.bucket_of(F.col("session_id"), self.buckets).alias("bucket")).distinct(), "touched")
-        self._write(fresh, new_chunks, work, gone, buckets)
-
-        spark.range(1).select(F.lit(now).cast("timestamp").alias("completed_at")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta")
-        return self._tally(plan, unreadable, tail, new_chunks, fresh)
-
-    def _write(self, fresh: DataFrame, new_chunks: DataFrame, work: DataFrame, gone: DataFrame, buckets: DataFrame) -> None:
-        """Rewrite the touched buckets of sessions, chunks and postings; nothing when nothing changed."""
-        if buckets.isEmpty():
-            return
-        # One small row per bucket of the layout: the join prunes the bucket folders that are read.
-        old_sessions = self.sessions().join(F.broadcast(buckets), "bucket", "left_semi")
-        old_chunks = self.chunks().join(F.broadcast(buckets), "bucket", "left_semi")
+        # At most one small integer per bucket of the layout.
+        buckets = [r.bucket for r in changed.select(sinks.bucket_of(F.col("session_id"), self.buckets).alias("bucket")).distinct().collect()]
+        self._write(str(now), fresh, new_chunks, work, gone, buckets)
+        return self._tally(plan, problems, new_chunks, fresh)
+
+    def _write(self, now: str, fresh: DataFrame, new_chunks: DataFrame, work: DataFrame, gone: DataFrame, buckets: list[int]) -> None:
+        """Write the touched buckets of all tables anew and make them current together."""
+        pass_id, touched = uuid.uuid4().hex, [str(b) for b in buckets]
+        current = self.tables.current()["tables"]
+
+        def near(table: str, schema: str) -> DataFrame:
+            return self.tables.read_buckets(table, schema, {b: p for b, p in current.get(table, {}).items() if b in touched})
+
         replaced = fresh.select("session_id").unionByName(gone)
-        sessions = old_sessions.join(replaced, "session_id", "left_anti").select(fresh.columns).unionByName(fresh)
+        sessions = near("sessions", SESSION_SCHEMA).join(replaced, "session_id", "left_anti").select(fresh.columns).unionByName(fresh)
         full = work.where(F.col("plan") == "full").select("session_id").unionByName(gone)
+        old_chunks = near("chunks", CHUNK_SCHEMA)
         chunks = M.replace_derived(M.replace_chunks(old_chunks, new_chunks.limit(0), full), new_chunks.select(old_chunks.columns))
-        sinks.overwrite_buckets(sessions, f"{self.path}/sessions", buckets)
-        sinks.overwrite_buckets(chunks, f"{self.path}/chunks", buckets)
-        current = self.chunks().join(F.broadcast(buckets), "bucket", "left_semi")
-        forward = I.forward_index(current)
+        written = {"chunks": self.tables.write("chunks", chunks, pass_id)}
         bucket = sinks.bucket_of(F.col("session_id"), self.buckets).alias("bucket")
-        sinks.overwrite_buckets(forward.select("*", bucket), f"{self.path}/forward", buckets)
-        staged = self.spark.read.parquet(f"{self.path}/forward").join(F.broadcast(buckets), "bucket", "left_semi").drop("bucket")
-        sinks.overwrite_buckets(I.build_postings(staged).select("*", bucket), f"{self.path}/postings", buckets)
-
-    def _tally(self, plan, unreadable, tail, new_chunks, fresh) -> DataFrame:
+        forward = I.forward_index(self.tables.read_buckets("chunks", CHUNK_SCHEMA, written["chunks"]))
+        written["forward"] = self.tables.write("forward", forward.select("*", bucket), pass_id)
+        postings = I.build_postings(self.tables.read_buckets("forward", FORWARD_SCHEMA, written["forward"]).drop("bucket"))
+        written["postings"] = self.tables.write("postings", postings.select("*", bucket), pass_id)
+        written["sessions"] = self.tables.write("sessions", sessions, pass_id)
+        self.tables.commit(now, touched, written)
+
+    def _tally(self, plan: DataFrame, problems: DataFrame | None, new_chunks: DataFrame | None = None, fresh: DataFrame | None = None) -> DataFrame:
+        read = plan.select("session_id", "file_path", F.coalesce("readable", F.lit(True)).alias("opened"), F.coalesce("missing", F.lit(False)).alias("gone"), "offset")
+        if problems is None:
+            read = read.select("session_id", F.col("opened").alias("readable"), F.col("gone").alias("missing"), F.lit(False).alias("has_message"), F.lit(None).cast("bigint").alias("chunks"),
+                               F.lit(None).cast("bigint").alias("bytes"), F.lit(None).cast("string").alias("parse_error"))
+            return M.reconcile_tally(M.outcomes(plan.select("session_id", "plan"), read))
         written = new_chunks.groupBy("session_id").agg(F.count("*").alias("chunks"), F.bool_or(~F.col("kind").isin(K.KIND_TITLE, K.KIND_FOLDER)).alias("has_message"))
         read = (
-            plan.select("session_id", F.coalesce("readable", F.lit(True)).alias("readable"), "offset")
+            read.join(problems, "file_path", "left")
             .join(written, "session_id", "left")
             .join(fresh.select("session_id", "parse_offset", "parse_error"), "session_id", "left")
-            .select("session_id", "readable", "has_message", "chunks", (F.col("parse_offset") - F.col("offset")).alias("bytes"), "parse_error")
+            .select("session_id", (F.col("opened") & F.col("lost").isNull()).alias("readable"), (F.col("gone") | F.coalesce("lost", F.lit(False))).alias("missing"),
+                    "has_message", "chunks", (F.col("parse_offset") - F.col("offset")).alias("bytes"), "parse_error")
         )
         return M.reconcile_tally(M.outcomes(plan.select("session_id", "plan"), read))

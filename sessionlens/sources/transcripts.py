@@ -14,7 +14,8 @@ from sessionlens import constants as K
 SESSION_ID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
 HEAD_BYTES = 4096
 BOM_BYTES = 3
-EXPLICIT_PATH_LIMIT = 10_000
+#: Bytes of a file that one task reads.
+RANGE_BYTES = 128 << 20
 
 
 # ---------------------------------------------------------------- files
@@ -32,21 +33,32 @@ def file_name_of(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]*?)(\.[^./\\]*)?$", 1)
 
 
+def locate(name: str):
+    """File system and plain path of a file or folder name. Only scheme and authority are read as a URI, so names may hold anything."""
+    from pyarrow import fs
+
+    if name.startswith("file:") or "://" not in name:
+        return fs.LocalFileSystem(), "/" + name.removeprefix("file:").lstrip("/")
+    scheme, rest = name.split("://", 1)
+    authority, _, path = rest.partition("/")
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{authority}/")
+    return system, f"{base.rstrip('/')}/{path}"
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Transcripts exactly one folder below the root, empty ones included.
+    """Transcripts exactly one folder below the root, empty ones included; none where there is no such folder.
 
     The folders below the root are listed side by side in tasks; no file is opened.
     """
     base = root.rstrip("/")
+    base = base if base.startswith("file:") or "://" in base else f"file:{base}"
 
     def entries(place: str):
-        """The entries of a folder, each with the name Spark gives it."""
         from pyarrow import fs
 
-        local = place[5:] if place.startswith("file:") else place
-        system, path = fs.FileSystem.from_uri(local if "://" in local else "file://" + local)
-        head = local[: len(local) - len(path)] if "://" in local else "file:"
-        return fs, [(head + e.path, e) for e in system.get_file_info(fs.FileSelector(path, allow_not_found=True))]
+        system, path = locate(place)
+        found = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+        return fs, [(f"{place}/{e.base_name}", e) for e in found]
 
     def folders(batches):
         import pandas as pd
@@ -63,7 +75,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
             for place in batch["place"]:
                 fs, found = entries(place)
                 kept = [(name, e.size, e.mtime.replace(tzinfo=None)) for name, e in found if e.type == fs.FileType.File and name.endswith(".jsonl")]
-                yield pd.DataFrame(kept, columns=["file_path", "size", "mtime"])
+                yield pd.DataFrame(kept, columns=["file_path", "size", "mtime"]).astype({"size": "int64", "mtime": "datetime64[us]"})
 
     tasks = spark.sparkContext.defaultParallelism
     below = spark.createDataFrame([(base,)], "place string").mapInPandas(folders, "place string").repartition(tasks, "place")
@@ -89,11 +101,11 @@ def describe_paths(paths: DataFrame, files: DataFrame, root: str) -> DataFrame:
 
 
 def head_hashes(files: DataFrame) -> DataFrame:
-    """``(file_path, head_sha256, stored_part_sha256, readable)`` from the first 4096 bytes of each file.
+    """``(file_path, head_sha256, stored_part_sha256, readable, missing)`` from the first 4096 bytes of each file.
 
     ``stored_size``, where given, is the size a stored hash was taken at: the second hash covers no
     more than that, so a short file that grew is not mistaken for a rewritten one. Only the head is
-    read. A file that cannot be opened is reported, never fatal.
+    read. A file that cannot be opened is reported, never fatal; one that is gone is told apart.
     """
     stored = F.col("stored_size") if "stored_size" in files.columns else F.lit(None)
     sized = files.select(
@@ -105,29 +117,26 @@ def head_hashes(files: DataFrame) -> DataFrame:
     def read(batches):
         import hashlib
 
-        from pyarrow import fs
-
         def digest(data):
             return hashlib.sha256(data).hexdigest().upper() if data else None
 
         for batch in batches:
-            whole, part, readable = [], [], []
+            whole, part, readable, missing = [], [], [], []
             for path, head_bytes, part_bytes in zip(batch["file_path"], batch["head_bytes"], batch["part_bytes"]):
-                uri = "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file:///") else path
+                head, problem = None, None
                 try:
-                    system, name = fs.FileSystem.from_uri(uri)
+                    system, name = locate(path)
                     with system.open_input_file(name) as stream:
                         head = stream.read(max(head_bytes, part_bytes))
-                    whole.append(digest(head[:head_bytes]))
-                    part.append(digest(head[:part_bytes]))
-                    readable.append(True)
-                except OSError:
-                    whole.append(None)
-                    part.append(None)
-                    readable.append(False)
-            yield batch[["file_path"]].assign(head_sha256=whole, stored_part_sha256=part, readable=readable)
+                except OSError as error:
+                    problem = error
+                whole.append(digest(head[:head_bytes]) if head is not None else None)
+                part.append(digest(head[:part_bytes]) if head is not None else None)
+                readable.append(problem is None)
+                missing.append(isinstance(problem, FileNotFoundError))
+            yield batch[["file_path"]].assign(head_sha256=whole, stored_part_sha256=part, readable=readable, missing=missing)
 
-    return sized.mapInPandas(read, "file_path string, head_sha256 string, stored_part_sha256 string, readable boolean")
+    return sized.mapInPandas(read, "file_path string, head_sha256 string, stored_part_sha256 string, readable boolean, missing boolean")
 
 
 # ---------------------------------------------------------------- lines
@@ -136,8 +145,7 @@ def head_hashes(files: DataFrame) -> DataFrame:
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Raw lines with their split and their order inside it."""
     return (
-        spark.read.option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true")
-        .text(paths, lineSep="\n")
+        spark.read.text(paths, lineSep="\n")
         .select(
             F.col("_metadata.file_path").alias("file_path"),
             F.col("_metadata.file_size").alias("file_size"),
@@ -149,19 +157,66 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
-def read_changed_lines(spark: SparkSession, root: str, work: DataFrame) -> DataFrame:
-    """Lines of the files in ``work``.
+def lines_from(stream, start: int, end: int, first: int, size: int, piece: int = 4 << 20):
+    """``(byte_start, line bytes)`` of the lines that begin in [start, end) and end by ``size``, line feed excluded.
 
-    Up to a fixed number of paths are named to the reader, which then opens nothing else; beyond
-    that the whole folder is scanned and joined, since most of it changed anyway.
+    ``first`` is where reading of the file began: there, and behind every line feed, a line begins.
     """
-    named = [row.file_path for row in work.select("file_path").limit(EXPLICIT_PATH_LIMIT + 1).collect()]
-    if not named:
-        return read_lines(spark, f"{root.rstrip('/')}/*/*.jsonl").where(F.lit(False))
-    if len(named) <= EXPLICIT_PATH_LIMIT:
-        return read_lines(spark, named)
-    everything = read_lines(spark, f"{root.rstrip('/')}/*/*.jsonl")
-    return everything.join(work.select("file_path"), "file_path", "left_semi")
+    at = start if start == first else start - 1
+    stream.seek(at)
+    held, begins = b"", start if start == first else None
+    while True:
+        feed = held.find(b"\n")
+        if feed < 0:
+            data = stream.read(min(piece, size - at))
+            if not data:
+                return
+            at += len(data)
+            held += data
+            continue
+        if begins is not None:
+            if begins >= end:
+                return
+            yield begins, held[:feed]
+        held = held[feed + 1 :]
+        begins = at - len(held)
+
+
+def read_tails(work: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Lines of files from a byte on: ``work`` has (file_path, size, offset), each range of a file is a task's own.
+
+    Only bytes from ``offset`` to the listed ``size`` are read, and a line without its line feed is left for later. A file that cannot
+    be read to its end gives a row with ``problem`` (``missing`` or ``failed``) instead of a line: none of its lines may count.
+    """
+    ranges = work.where(F.col("size") > F.col("offset")).select(
+        "file_path", "size", "offset", F.explode(F.sequence(F.col("offset"), F.col("size") - 1, F.lit(range_bytes).cast("bigint"))).alias("block_start"))
+
+    def read(batches):
+        import pandas as pd
+
+        columns = ["file_path", "block_start", "line_order", "byte_start", "byte_end", "line", "problem"]
+        for batch in batches:
+            for path, size, offset, start in zip(batch["file_path"], batch["size"], batch["offset"], batch["block_start"]):
+                rows, held = [], 0
+                try:
+                    system, name = locate(path)
+                    with system.open_input_file(name) as stream:
+                        if stream.size() < size:
+                            raise OSError("the file is shorter than listed")
+                        for i, (at, line) in enumerate(lines_from(stream, start, min(start + range_bytes, size), offset, size)):
+                            text = line.removeprefix(b"\xef\xbb\xbf") if at == 0 else line
+                            rows.append((path, start, i, at, at + len(line) + 1, text.removesuffix(b"\r").decode("utf-8", "replace"), None))
+                            held += len(line)
+                            if held > 8 << 20:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows, held = [], 0
+                except OSError as error:
+                    rows = [(path, start, -1, start, start, None, "missing" if isinstance(error, FileNotFoundError) else "failed")]
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns)
+
+    schema = "file_path string, block_start bigint, line_order bigint, byte_start bigint, byte_end bigint, line string, problem string"
+    return ranges.repartition("file_path", "block_start").mapInPandas(read, schema)
 
 
 # ---------------------------------------------------------------- records
@@ -280,6 +335,23 @@ def number_lines(parsed: DataFrame) -> DataFrame:
     )
 
 
+def tail_ends(parsed: DataFrame) -> DataFrame:
+    """``(file_path, parse_offset, new_lines)`` of the files that gave lines."""
+    return parsed.groupBy("file_path").agg(F.max("byte_end").alias("parse_offset"), F.count("*").alias("new_lines"))
+
+
+def number_tails(parsed: DataFrame, work: DataFrame) -> DataFrame:
+    """Adds ``seq``: line numbers go on from the ``line_count`` that ``work`` has for a file. Empty lines count and are dropped.
+
+    One row per range is summed up; the lines themselves meet these sums in a join on file and range.
+    """
+    earlier = W.partitionBy("file_path").orderBy("block_start").rowsBetween(W.unboundedPreceding, -1)
+    counts = parsed.groupBy("file_path", "block_start").agg(F.count("*").alias("n"))
+    before = counts.select("file_path", "block_start", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")).join(work.select("file_path", "line_count"), "file_path")
+    placed = parsed.join(before, ["file_path", "block_start"])
+    return placed.withColumn("seq", F.col("line_count") + F.col("before") + F.col("line_order") + 1).where(~F.col("empty")).drop("line_count", "before", "block_start", "line_order", "empty")
+
+
 def identify(records: DataFrame, owner: Column | None = None) -> DataFrame:
     """Adds owner, session id and file name from the path."""
     return records.withColumns(

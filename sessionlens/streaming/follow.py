@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from sessionlens.operators import sessions as S
 from sessionlens.operators.merge import merge_states
 from sessionlens.plans.reconcile import SessionIndex
+from sessionlens.session import stage, staging
 from sessionlens.sources import sinks
 
 
@@ -25,25 +26,30 @@ def _stored(spark: SparkSession, path: str, schema) -> DataFrame:
 def follow_segments(records: DataFrame, path: str, checkpoint: str, buckets: int = sinks.DEFAULT_BUCKETS, **trigger) -> StreamingQuery:
     """Merge a stream of records into the session states at ``path``, each record exactly once.
 
-    Every row carries the batch that last changed it, so a batch that is replayed after a failure
-    leaves the rows it had already reached alone.
+    A stored state says which line it has seen last, so records up to it are left out: a batch that is replayed after a failure changes
+    nothing, and records that come under a new checkpoint are told from those that were merged before it by their numbers alone.
+    Records of a session must come in order of ``seq``, as lines of a growing transcript do.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
+        with staging(batch.sparkSession):
+            _merge(batch)
+
+    def _merge(batch: DataFrame) -> None:
         spark = batch.sparkSession
         bucket = sinks.bucket_of(F.col("session_id"), buckets)
-        tail = S.session_state(batch, ("session_id",))
         columns = ["session_id", *S.STATE_COLUMNS]
-        template = tail.select(*columns, F.lit(0).cast("bigint").alias("batch"), F.lit(0).alias("bucket"))
-        touched = tail.select(bucket.alias("bucket")).distinct()
+        # Staged: the batch is read several times, and a source may not give it twice.
+        records = stage(batch.withColumn("bucket", bucket), "batch")
+        touched = stage(records.select("bucket").distinct(), "touched")
+        schema = S.session_state(records, ("session_id",)).select(*columns, F.lit(0).alias("bucket")).schema
         # At most one row per bucket of the layout.
-        near = _stored(spark, path, template.schema).join(F.broadcast(touched), "bucket", "left_semi")
-        applied = near.where(F.col("batch") >= batch_id).select("session_id")
-        fresh = tail.join(applied, "session_id", "left_anti")
-        changed = near.join(fresh.select("session_id"), "session_id", "left_semi")
-        merged = merge_states(changed, fresh).select(*columns, F.lit(batch_id).cast("bigint").alias("batch"), bucket.alias("bucket"))
-        kept = near.join(fresh.select("session_id"), "session_id", "left_anti")
-        sinks.overwrite_buckets(kept.select(merged.columns).unionByName(merged), path, touched)
+        near = _stored(spark, path, schema).join(F.broadcast(touched), "bucket", "left_semi")
+        seen = near.select("session_id", F.col("last_seq").alias("_seen"))
+        new = records.drop("bucket").join(seen, "session_id", "left").where(F.col("_seen").isNull() | (F.col("seq") > F.col("_seen"))).drop("_seen")
+        tail = stage(S.session_state(new, ("session_id",)), "tail")
+        merged = merge_states(near, tail).select(*columns, bucket.alias("bucket"))
+        sinks.overwrite_buckets(merged, path, touched)
 
     return (
         records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
@@ -80,15 +86,15 @@ def latest_updates(spark: SparkSession, path: str, key: str = "session_id") -> D
     return rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") == 1).drop("_n", "batch")
 
 
-def follow_folder(index: SessionIndex, root: str, now, every_seconds: float = 0.5, passes: int | None = None, full_every: int = 1000) -> None:
+def follow_folder(index: SessionIndex, root: str, now, every_seconds: float = 0.5, passes: int | None = None) -> None:
     """Repeat passes over a folder of growing files. Each pass diffs the snapshot, so lost change
-    notices cannot be missed; every ``full_every`` passes everything is read again.
+    notices cannot be missed, and passes are incremental.
 
     ``now`` is called for the completion time of each pass.
     """
     done = 0
     while passes is None or done < passes:
-        index.reconcile(root, now(), forced=done > 0 and done % full_every == 0)
+        index.reconcile(root, now())
         done += 1
         if passes is None or done < passes:
             time.sleep(every_seconds)

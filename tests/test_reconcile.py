@@ -1,12 +1,15 @@
 """Incremental passes: whatever the order of changes, the tables equal a rebuild from scratch."""
 
+import io
 import os
 import random
 
+import pytest
 import transcripts as t
 from pyspark.sql import functions as F
 
 from sessionlens.plans.reconcile import SessionIndex
+from sessionlens.sources import sinks, transcripts as R
 
 SESSION = ["session_id", "title", "title_source", "folder_display", "folder_source", "git_branch", "last_prompt", "first_activity",
            "last_activity", "message_count", "file_size", "head_sha256", "parse_offset", "parse_error"]
@@ -81,3 +84,96 @@ def test_random_appends_equal_a_rebuild(spark, tmp_path):
     assert tables(index) == rebuilt(spark, root, tmp_path, "fresh")
     forced = index.reconcile(str(root), "2026-03-03 00:00:00", forced=True).first()
     assert forced.indexed == 4 and tables(index) == rebuilt(spark, root, tmp_path, "fresh2")
+
+
+def grown(root):
+    paths = {n: t.write(root, n, t.lines(t.user(f"prompt {n}", n, root=True), t.assistant(f"answer {n}", n + 1))) for n in range(1, 4)}
+    return paths
+
+
+@pytest.mark.parametrize("fails_at", [1, 2, 3, 4, 5])
+def test_a_pass_that_fails_changes_nothing(spark, tmp_path, monkeypatch, fails_at):
+    root, index = tmp_path / "logs", SessionIndex(spark, str(tmp_path / "index"), buckets=2)
+    paths = grown(root)
+    index.reconcile(str(root), "2026-03-02 12:00:00")
+    before = tables(index)
+    t.write(root, 1, t.lines(t.user("one more", 9)), append=True)
+    touch(paths[1], 60)
+    paths[2].unlink()
+    calls = []
+    for name in ("write", "commit"):
+        real = getattr(sinks.Versions, name)
+
+        def failing(self, *args, real=real):
+            calls.append(1)
+            if len(calls) == fails_at:
+                raise OSError("injected")
+            return real(self, *args)
+
+        monkeypatch.setattr(sinks.Versions, name, failing)
+    with pytest.raises(OSError, match="injected"):
+        index.reconcile(str(root), "2026-03-02 13:00:00")
+    monkeypatch.undo()
+    assert tables(index) == before and index.meta().first().completed_at.hour == 12
+    tally = index.reconcile(str(root), "2026-03-02 14:00:00").first()
+    assert (tally.indexed, tally.pruned) == (1, 1) and tables(index) == rebuilt(spark, root, tmp_path, "fresh")
+
+
+def test_folder_names_may_hold_anything(spark, tmp_path):
+    root, index = tmp_path / "my logs %20 [x]", SessionIndex(spark, str(tmp_path / "index"), buckets=2)
+    for n, project in enumerate(["a b", "c%20d", "e[f]", "g{h,i}", "j*k", "l#m", "ñ"], start=1):
+        t.write(root, n, t.lines(t.user(f"prompt {n}", n, root=True)), project=project)
+    assert index.reconcile(str(root), "2026-03-02 12:00:00").first().indexed == 7
+    t.write(root, 3, t.lines(t.user("again", 9)), project="e[f]", append=True)
+    tally = index.reconcile(str(root), "2026-03-02 13:00:00").first()
+    assert (tally.indexed, tally.skipped) == (1, 6) and index.chunks().where("kind = 4").count() == 8
+
+
+def test_empty_root_and_last_file_gone(spark, tmp_path):
+    root, index = tmp_path / "logs", SessionIndex(spark, str(tmp_path / "index"), buckets=2)
+    assert index.reconcile(str(root), "2026-03-02 12:00:00").first().discovered == 0
+    path = t.write(root, 1, t.lines(t.user("prompt", 1, root=True)))
+    index.reconcile(str(root), "2026-03-02 12:00:00")
+    path.unlink()
+    assert index.reconcile(str(root), "2026-03-02 13:00:00").first().pruned == 1
+    assert tables(index) == ([], [], [])
+
+
+def test_files_that_go_or_break_during_a_pass(spark, tmp_path, monkeypatch):
+    root, index = tmp_path / "logs", SessionIndex(spark, str(tmp_path / "index"), buckets=2)
+    paths = grown(root)
+    real = R.head_hashes
+
+    def later(files):
+        hashed = spark.createDataFrame(real(files).collect(), real(files).schema)
+        paths[2].unlink()
+        paths[3].write_text("cut short")
+        return hashed
+
+    monkeypatch.setattr(R, "head_hashes", later)
+    tally = index.reconcile(str(root), "2026-03-02 12:00:00").first()
+    assert (tally.discovered, tally.indexed, tally.skipped, tally.failed) == (3, 1, 1, 1)
+    assert [r.session_id for r in index.sessions().collect()] == [t.session_id(1)]
+    monkeypatch.undo()
+    tally = index.reconcile(str(root), "2026-03-02 13:00:00").first()
+    assert (tally.indexed, tally.skipped) == (1, 1)
+
+
+def test_ranges_give_every_line_once_and_read_the_tail_only():
+    class Counted(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            data = super().read(size)
+            Counted.n += len(data)
+            return data
+
+    rng = random.Random(3)
+    data = b"".join(bytes(rng.choice(b"ab") for _ in range(rng.choice([0, 1, 5, 40]))) + b"\n" for _ in range(200)) + b"unfinished"
+    whole = list(R.lines_from(io.BytesIO(data), 0, len(data), 0, len(data)))
+    assert [line for _, line in whole] == data.split(b"\n")[:-1]
+    for width in (1, 7, 64, 1000):
+        parts = [x for s in range(0, len(data), width) for x in R.lines_from(io.BytesIO(data), s, min(s + width, len(data)), 0, len(data), piece=13)]
+        assert parts == whole
+    offset = whole[150][0]
+    assert list(R.lines_from(Counted(data), offset, len(data), offset, len(data))) == whole[150:] and Counted.n == len(data) - offset

@@ -1,5 +1,6 @@
 """Streams end in the same tables as batches."""
 
+import shutil
 import random
 
 import pandas as pd
@@ -119,10 +120,15 @@ def test_segments_are_merged_once(spark, tmp_path):
         (tmp_path / "segments").mkdir(exist_ok=True)
         next((tmp_path / "in" / str(i)).glob("*.parquet")).rename(tmp_path / "segments" / f"{i}.parquet")
 
-    def stream():
-        return spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/segments")
+    def stream(folder="segments"):
+        return spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{folder}")
 
     states = f"{tmp_path}/states"
+    # Two segments first; what follows comes under another checkpoint, whose batches are numbered from 0 again.
+    (tmp_path / "some").mkdir()
+    for i in range(2):
+        shutil.copy(tmp_path / "segments" / f"{i}.parquet", tmp_path / "some")
+    follow.follow_segments(stream("some"), states, f"{tmp_path}/c0", 4).awaitTermination()
     follow.follow_segments(stream(), states, f"{tmp_path}/c1", 4).awaitTermination()
     columns = ["session_id", *S.STATE_COLUMNS]
     want = sorted(map(str, whole.select(columns).collect()))
