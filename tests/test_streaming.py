@@ -1,7 +1,7 @@
 """Streams end in the same tables as batches."""
 
-import shutil
 import random
+import shutil
 
 import pandas as pd
 import pytest
