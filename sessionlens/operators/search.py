@@ -44,19 +44,20 @@ def relevance(hits: DataFrame, index: Index) -> DataFrame:
     return hits.join(weights, "term").select("term", "session_id", "chunk_no", "kind", score.alias("relevance"))
 
 
-def query_matches(terms: DataFrame, scored_hits: DataFrame) -> DataFrame:
-    """Scored hits once per query that uses the term."""
-    return terms.join(scored_hits, "term")
+def qualified_sessions(terms: DataFrame, hits: DataFrame) -> DataFrame:
+    """``(query_id, session_id)`` where every term of the query was found somewhere in the session.
 
-
-def qualified_sessions(matches: DataFrame) -> DataFrame:
-    """``(query_id, session_id)`` where every term of the query was found somewhere in the session."""
-    return (
-        matches.groupBy("query_id", "session_id", "n_terms")
-        .agg(F.count_distinct("term").alias("found"))
-        .where(F.col("found") == F.col("n_terms"))
-        .select("query_id", "session_id")
-    )
+    Works on distinct (term, session) pairs. Only sessions that hold a query's rarest term are candidates, and only for these are
+    the other terms looked up, so a frequent term in many queries costs no more than the candidates it is checked for.
+    """
+    found = stage(hits.select("term", "session_id").distinct(), "found")
+    counts = found.groupBy("term").agg(F.count("*").alias("sessions"))
+    spread = terms.join(counts, "term", "left").select("query_id", "n_terms", "term", F.coalesce("sessions", F.lit(0)).alias("sessions"))
+    rarest = spread.groupBy("query_id", "n_terms").agg(F.min(F.struct("sessions", "term"))["term"].alias("term"))
+    candidates = rarest.join(found, "term").select("query_id", "session_id", "n_terms")
+    held = candidates.join(terms.select("query_id", "term"), "query_id").join(found, ["term", "session_id"])
+    complete = held.groupBy("query_id", "session_id", "n_terms").agg(F.count("*").alias("n")).where(F.col("n") == F.col("n_terms"))
+    return complete.select("query_id", "session_id")
 
 
 def chunk_scores(matches: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:
@@ -202,8 +203,8 @@ def scored_chunks(queries: DataFrame, index: Index, ranking: Ranking = Ranking()
     terms = query_terms(queries)
     # Hits are read for document frequencies, for qualification and for scoring.
     hits = stage(term_hits(distinct_terms(terms), index), "hits")
-    matches = query_matches(terms, relevance(hits, index))
-    kept = matches.join(qualified_sessions(matches), ["query_id", "session_id"], "left_semi")
+    qualified = stage(qualified_sessions(terms, hits), "qualified")
+    kept = qualified.join(terms, "query_id").join(relevance(hits, index), ["term", "session_id"])
     return chunk_scores(kept, ranking)
 
 

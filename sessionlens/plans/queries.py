@@ -322,12 +322,6 @@ def term_hits(spark, sf):
     return I.term_hits(terms, document_index(spark, sf)).select("term", "session_id", "chunk_no", "kind", "n_tokens", "tf")
 
 
-def _scored(spark, sf):
-    index = document_index(spark, sf)
-    terms = I.query_terms(A.benchmark_queries(spark, sf))
-    return S.query_matches(terms, S.relevance(I.term_hits(I.distinct_terms(terms), index), index))
-
-
 @query
 def bm25(spark, sf):
     index = document_index(spark, sf)
@@ -338,7 +332,8 @@ def bm25(spark, sf):
 
 @query
 def qualified(spark, sf):
-    return S.qualified_sessions(_scored(spark, sf))
+    terms = I.query_terms(A.benchmark_queries(spark, sf))
+    return S.qualified_sessions(terms, stage(I.term_hits(I.distinct_terms(terms), document_index(spark, sf)), "hits"))
 
 
 @query
