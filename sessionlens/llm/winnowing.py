@@ -103,13 +103,19 @@ def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     The edited text has its last third replaced by as many characters of the start of the next text. Rows of one id have the
     same next document; of several texts of that id one follows. Null ids are one id, below all others. Other columns are ignored.
     """
-    order = stage(following(docs, id_column, text_column), "id-order")
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text"))
-    here = rows.join(order, rows["doc_id"].eqNullSafe(order["id"]))
-    starts = here.where(F.xxhash64("text") == F.col("pick")).select("previous_id", F.left("text", F.col("need").cast("int")).alias("start"), hashes(fingerprint(F.col("text"))).alias("next_hashes"))
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumns({"k": F.coalesce(name, F.lit(0)), "none": F.col(name).isNull()})
+
+    # Texts are dealt out by id once: both joins below need the same columns of them, so they use the same exchange.
+    order = keyed(stage(following(docs, id_column, text_column), "id-order"), "id")
+    rows = keyed(docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")), "doc_id").drop("doc_id")
+    here = rows.join(order, ["k", "none"])
+    # A difference, not an equality, which would become a key of the join and need an exchange of its own.
+    picked = here.where(F.xxhash64("text") - F.col("pick") == 0)
+    starts = picked.select("previous_id", F.left("text", F.col("need").cast("int")).alias("start"), hashes(fingerprint(F.col("text"))).alias("next_hashes"))
     # Equal rows of an id give the same start; one is enough.
-    starts = starts.groupBy("previous_id").agg(F.first("start").alias("start"), F.first("next_hashes").alias("next_hashes"))
-    both = rows.join(starts, rows["doc_id"].eqNullSafe(starts["previous_id"]))
+    starts = keyed(starts, "previous_id").groupBy("k", "none").agg(F.first("start").alias("start"), F.first("next_hashes").alias("next_hashes"))
+    both = rows.join(starts, ["k", "none"]).withColumn("doc_id", F.when(~F.col("none"), F.col("k")))
     both = both.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("m", F.floor(F.col("n_chars") / 3).cast("int"))
     edited = F.concat(F.left("text", (F.col("n_chars") - F.col("m")).cast("int")), F.left("start", F.col("m")))
     return both.select("doc_id", "n_chars", "text", edited.alias("edited"), "next_hashes")
