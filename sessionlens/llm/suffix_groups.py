@@ -10,8 +10,10 @@ at the same place in every copy. A task finds the anchors of its texts, each wit
 a hash of all their bytes (its context). Anchors that occur once in the corpus are done. Equal contexts repeat as a whole. Of
 contexts that share an anchor but differ, one copy each is gathered per anchor: a suffix array of their bytes from the anchor on,
 in blocks named in byte order, gives common lengths to the right by range minima; windows with equal bytes left of the anchor
-that are neighbours in that order are compared by them. Anchors with very many contexts are split by window and by the bytes all
-windows of a split share, so no task holds an unbounded group.
+that are neighbours in that order are compared by them. The contexts of anchors with very many are split into blocks of windows. Equal
+blocks are counted and one of each goes on, in groups by the bytes that all windows of the block share. Where such a group still has
+very many, as at the rim of a passage that stands in many texts, single windows are counted instead. Counts are combined before
+they are dealt out, so no task holds an unbounded group.
 
 Bytes are UTF-8. Null text counts as empty. Ids may be null or repeated: each row is a text of its own, so equal rows
 repeat each other. Texts shorter than ``length`` stay as they are. Other columns are kept by ``without_repeats``.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionlens.llm.common import whole_text
@@ -272,6 +274,37 @@ def _compare(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFra
         yield solve(held)
 
 
+def split(held: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts (anchor, context, left, low, high, data) of anchors with very many, in blocks of ``WIDTH`` windows. Gives what is
+    left to ``_compare``, at most ``MANY`` rows of a key, and byte ranges (from the anchor) that counting has found repeated."""
+    def part(j: Column, size: Column) -> Column:
+        return F.substring("data", F.col("left") - j + 1, size)
+
+    block = F.explode(F.sequence(F.floor(F.col("low") / WIDTH).cast("int"), F.floor(F.col("high") / WIDTH).cast("int")))
+    rows = held.withColumn("block", block)
+    rows = rows.withColumn("lo", F.greatest("low", F.col("block") * WIDTH)).withColumn("hi", F.least("high", F.col("block") * WIDTH + WIDTH - 1))
+    # All windows j of a block, [block * WIDTH, ... + WIDTH), hold the bytes from its least j to ``length`` behind its largest j.
+    core = part(F.col("block") * WIDTH, F.col("block") * WIDTH + F.greatest(F.lit(length) - (F.col("block") + 1) * WIDTH + 1, F.lit(GRAM)))
+    sub = part(F.col("hi"), F.col("hi") - F.col("lo") + length)
+    same = ["anchor", "block", "lo", "hi", "core", "sub"]
+    rows = stage(rows.select("anchor", "context", "block", "lo", "hi", F.xxhash64(core).alias("core"), F.xxhash64(sub).alias("sub")), "blocks")
+    subs = stage(rows.groupBy(same).agg(F.count("*").alias("n"), F.min("context").alias("context")), "distinct-blocks")
+    # Equal blocks repeat as a whole.
+    equal = rows.join(stage(subs.where("n > 1").select(same), "equal-blocks"), same).select("anchor", "context", F.col("lo").alias("least"), F.col("hi").alias("most"))
+    # One block of a core has nothing to be compared with.
+    cores = stage(subs.groupBy("anchor", "block", "core").agg(F.count("*").alias("subs")).where("subs > 1"), "cores")
+    open_blocks = stage(subs.join(cores, ["anchor", "block", "core"]).select("anchor", "context", "block", "lo", "hi", "core", "subs"), "open-blocks")
+    bytes_of = open_blocks.join(held.select("anchor", "context", "left", "data"), ["anchor", "context"])
+    compare = bytes_of.where(F.col("subs") <= MANY).select("anchor", "context", F.concat_ws(" ", "anchor", "block", "core").alias("key"), F.col("hi").alias("left"), F.col("lo").alias("low"), F.col("hi").alias("high"), sub.alias("data"))
+    windows = bytes_of.where(F.col("subs") > MANY).withColumn("j", F.explode(F.sequence("lo", "hi")))
+    windows = stage(windows.select("anchor", "context", "j", F.xxhash64(part(F.col("j"), F.lit(length))).alias("window")), "windows")
+    twice = windows.groupBy("anchor", "j", "window").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    single = windows.join(stage(twice, "repeated-windows"), ["anchor", "j", "window"]).select("anchor", "context", F.col("j").alias("least"), F.col("j").alias("most"))
+    # All windows of a context hold its anchor, so together they cover one range.
+    ranges = equal.unionByName(single).groupBy("anchor", "context").agg(F.min("least").cast("long").alias("least"), F.max("most").cast("long").alias("most"))
+    return compare, stage(ranges.select("anchor", "context", F.array(-F.col("most")).alias("starts"), F.array(length - F.col("least")).alias("ends")), "counted")
+
+
 def repeated_ranges(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: ``row, doc_id, digest, n_bytes, starts, ends, n_removed``: byte ranges covered by strings of
     ``length`` bytes that also start elsewhere (arrays are null where there are none)."""
@@ -293,16 +326,15 @@ def repeated_ranges(docs: DataFrame, length: int = 400, id_column: str = "doc_id
     # Equal rows of the source give a context several times; one is enough.
     held = stage(held.withColumn("high", F.col("left")).dropDuplicates(["anchor", "context"]), "context-bytes")
     few = held.where(F.col("kinds") <= MANY).select("anchor", "context", F.col("anchor").cast("string").alias("key"), "left", "low", "high", "data")
-    # Windows j of [block * WIDTH, ... + WIDTH) all hold the bytes from the block's least j to ``length`` behind its largest j.
-    block = F.explode(F.sequence(F.floor(F.col("low") / WIDTH).cast("int"), F.floor(F.col("high") / WIDTH).cast("int")))
-    many = held.where(F.col("kinds") > MANY).withColumn("block", block)
-    many = many.withColumn("lo", F.greatest("low", F.col("block") * WIDTH)).withColumn("hi", F.least("high", F.col("block") * WIDTH + WIDTH - 1))
-    core_size = F.col("block") * WIDTH + F.greatest(F.lit(length) - (F.col("block") + 1) * WIDTH + 1, F.lit(GRAM))
-    core = F.substring("data", F.col("left") - F.col("block") * WIDTH + 1, core_size)
-    sub = F.substring("data", F.col("left") - F.col("hi") + 1, F.col("hi") - F.col("lo") + length)
-    many = many.select("anchor", "context", F.concat_ws(" ", "anchor", "block", F.xxhash64(core)).alias("key"), F.col("hi").alias("left"), F.col("lo").alias("low"), F.col("hi").alias("high"), sub.alias("data"))
-    compared = few.unionByName(many).repartition("key").sortWithinPartitions("key").mapInPandas(lambda f: _compare(f, length), "anchor long, context long, starts array<long>, ends array<long>")
-    found = stage(compared, "compared").groupBy("anchor", "context").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
+    counted = None
+    if several.where(F.col("kinds") > MANY).limit(1).count():
+        blocks, counted = split(held.where(F.col("kinds") > MANY), length)
+        few = few.unionByName(blocks)
+    compared = few.repartition("key").sortWithinPartitions("key").mapInPandas(lambda f: _compare(f, length), "anchor long, context long, starts array<long>, ends array<long>")
+    found = stage(compared, "compared")
+    if counted is not None:
+        found = found.unionByName(counted)
+    found = found.groupBy("anchor", "context").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     known = contexts.join(found, ["anchor", "context"], "left").where("n > 1 or starts is not null")
     known = known.select("anchor", "context", F.when(F.col("n") > 1, F.array(F.col("first") - F.col("place"))).otherwise(F.col("starts")).alias("starts"), F.when(F.col("n") > 1, F.array(F.col("last") - F.col("place") + length)).otherwise(F.col("ends")).alias("ends"))
     known = stage(known, "known")

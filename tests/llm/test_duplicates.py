@@ -166,6 +166,27 @@ def test_repeated_passages(spark, monkeypatch, many):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == repeats(texts, 400)
 
 
+@pytest.mark.parametrize("size", [390, 399, 400, 410, 470])
+def test_passage_in_many_texts_is_no_group_of_its_own(spark, monkeypatch, size):
+    rng = random.Random(size)
+    other = lambda: "".join(rng.choice("abcdefgh ") for _ in range(450))
+    passage = "".join(rng.choice("ijklmnop ") for _ in range(size))
+    rims = [other() for _ in range(3)]
+    texts = [rng.choice([other(), *rims])[rng.randint(0, 9) :] + passage + rng.choice([other(), *rims]) for _ in range(40)]
+    compare = suffix_groups._compare
+
+    def bounded(frames, length):
+        frames = list(frames)
+        most = Counter(k for f in frames for k in f["key"]).most_common(1)
+        assert not most or most[0][1] <= 3, most
+        yield from compare(iter(frames), length)
+
+    monkeypatch.setattr(suffix_groups, "MANY", 3)
+    monkeypatch.setattr(suffix_groups, "_compare", bounded)
+    got = suffix_groups.removal_report(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == repeats(texts, 400)
+
+
 def test_passages_are_cut_out_of_documents(spark):
     texts = passage_texts()
     df = docs_of(spark, [*enumerate(texts), (None, texts[0]), (3, texts[3])])
