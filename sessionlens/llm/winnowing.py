@@ -110,8 +110,8 @@ def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     order = keyed(stage(following(docs, id_column, text_column), "id-order"), "id")
     rows = keyed(docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")), "doc_id").drop("doc_id")
     here = rows.join(order, ["k", "none"])
-    # A difference, not an equality, which would become a key of the join and need an exchange of its own.
-    picked = here.where(F.xxhash64("text") - F.col("pick") == 0)
+    # Bits that differ, not an equality, which would become a key of the join and need an exchange of its own; nothing can overflow.
+    picked = here.where(F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0)
     starts = picked.select("previous_id", F.left("text", F.col("need").cast("int")).alias("start"), hashes(fingerprint(F.col("text"))).alias("next_hashes"))
     # Equal rows of an id give the same start; one is enough.
     starts = keyed(starts, "previous_id").groupBy("k", "none").agg(F.first("start").alias("start"), F.first("next_hashes").alias("next_hashes"))

@@ -245,3 +245,23 @@ def test_edited_texts(spark):
     one = winnowing.fingerprints(docs_of(spark, [(4, "one two three four five six")])).collect()[0]
     assert one.near_next == 1.0
     assert winnowing.fingerprints(docs_of(spark, [])).count() == 0
+
+
+def test_ids_with_many_texts(spark):
+    # The hashes of texts that differ lie far apart: telling them apart must not overflow.
+    several = [" ".join(f"{w}{i}" for w in "abcdefghijkl") for i in range(60)]
+    rows = [(1, "first words of all " * 5), *((8, t) for t in several), *((None, t.upper()) for t in several), (9, "last words of all " * 5)]
+    got = winnowing.fingerprints(docs_of(spark, rows)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _ in rows)
+    texts_of = {}
+    for d, t in rows:
+        texts_of.setdefault(d, []).append(t)
+
+    def edits(own, new):
+        m = len(own) // 3
+        return hashlib.sha256((own[: len(own) - m] + new[:m]).encode()).hexdigest()
+
+    for d, after in {9: 8, 8: 1, 1: None, None: 9}.items():
+        shas = Counter(r.edited_sha256 for r in got if r.doc_id == d)
+        # One text of the next id follows all rows of an id.
+        assert any(shas == Counter(edits(own, new) for own in texts_of[d]) for new in texts_of[after])
