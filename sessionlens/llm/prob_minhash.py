@@ -1,9 +1,10 @@
 """Near copies by ProbMinHash.
 
-Every distinct word shingle of a text is a Poisson process whose rate is the shingle's weight (1 + ln of its count). Its points
-fall on the signature's registers at random; a register keeps the shingle that comes first, so two texts agree in a register
-with the probability Jaccard similarity of their weighted shingles. A shingle stops as soon as its next point lies behind
-the last register of its text. Bands of registers give candidates, a byte sketch of the signature drops the clear misses, and
+Every distinct word shingle of a text is a Poisson process whose rate is the shingle's weight. Its points fall on the
+signature's registers at random; a register keeps the shingle that comes first, so two texts agree in a register with the
+probability Jaccard similarity of their weighted shingles. All weights are 1 here, however often a shingle occurs: then this is
+the Jaccard similarity of the distinct shingles, by which links are defined. A shingle stops as soon as its next point lies
+behind the last register of its text. Bands of registers give candidates, a byte sketch of the signature drops the clear misses, and
 a pair is linked when the exact Jaccard similarity of its distinct shingles reaches the threshold.
 
 Exact copies are one node. In each bucket of a band every member is compared with the bucket's hub (each band draws other
@@ -32,7 +33,7 @@ from sessionlens.llm.shingles import shingles
 from sessionlens.session import stage
 
 BANDS, ROWS = 24, 4
-#: Registers of 96 that agree at least. A pair of similarity 0.8 falls short of it about once in ten million.
+#: Registers of 96 that agree at least. A pair of similarity 0.8 falls short of it about once in three million.
 LEAST_AGREEING = 56
 #: Members of a bucket or cluster that meet in a task at a time.
 TILE, SET_TILE = 512, 256
@@ -81,8 +82,8 @@ def signed(docs: DataFrame, words: int, id_column: str, text_column: str) -> Dat
             texts = frame["text"].fillna("").tolist()
             for part in batches([len(t) for t in texts], 1_000_000):
                 group = frame.iloc[part]
-                text, hashes, counts = shingles(texts[part], words)
-                sig = signatures(text, hashes, 1 + np.log(counts), len(group))
+                text, hashes, _ = shingles(texts[part], words)
+                sig = signatures(text, hashes, np.ones(len(text)), len(group))
                 some = np.zeros(len(group), bool)
                 some[text] = True
                 keys, sketch = band_keys(sig).view(np.int64), (sig >> np.uint64(40)).astype(np.uint8)

@@ -72,6 +72,18 @@ def test_near_copies(spark):
     assert all(n == 1 for c, n in per_class.items() if c is not None)
 
 
+def test_near_copies_whose_repeat_counts_differ(spark):
+    rng = random.Random(3)
+    rows = []
+    for n in range(12):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(300)]
+        # One text repeats its first fifth, the other its last; few distinct shingles are in one only.
+        rows += [(2 * n, " ".join(words[:60] * 60 + words)), (2 * n + 1, " ".join(words + words[-60:] * 60))]
+    assert classes(rows) == [2 * (i // 2) for i in range(len(rows))]
+    got = {r.doc_id: r.class_id for r in prob_minhash.near_copies(docs_of(spark, rows)).collect()}
+    assert got == {d: c for (d, _), c in zip(rows, classes(rows), strict=True)}
+
+
 def test_kept_documents_keep_their_columns(spark):
     rows = near_rows()
     kept = prob_minhash.without_near_copies(docs_of(spark, rows)).collect()
