@@ -22,7 +22,7 @@ repeat each other. Texts shorter than ``length`` stay as they are. Other columns
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -239,6 +239,11 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[places], end[np.append(places[1:], len(start)) - 1] if len(places) else end
 
 
+def lists(items: Iterable[np.ndarray]) -> pd.Series:
+    """A column of arrays. Without rows it stays one: pandas would make it a column of numbers."""
+    return pd.Series(list(items), dtype=object)
+
+
 def _compare(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
     """Rows ordered by key, one per context; gives per context the byte ranges (from the anchor) its repeated windows cover."""
 
@@ -252,7 +257,7 @@ def _compare(frames: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFra
         cut = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else np.zeros(0, np.int64)
         ranges = [merged(-x, length - x) for x in np.split(j, cut[1:])] if len(cut) else []
         of = which[cut]
-        return pd.DataFrame({"anchor": rows["anchor"].to_numpy()[of], "context": rows["context"].to_numpy()[of], "starts": [r[0] for r in ranges], "ends": [r[1] for r in ranges]})
+        return pd.DataFrame({"anchor": rows["anchor"].to_numpy()[of], "context": rows["context"].to_numpy()[of], "starts": lists(r[0] for r in ranges), "ends": lists(r[1] for r in ranges)})
 
     held: list[pd.DataFrame] = []
     total, key = 0, None
@@ -343,7 +348,7 @@ def repeated_ranges(docs: DataFrame, length: int = 400, id_column: str = "doc_id
     def union(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             got = [merged(np.concatenate(s), np.concatenate(e)) for s, e in zip(frame["starts"], frame["ends"], strict=True)]
-            yield pd.DataFrame({"row": frame["row"], "starts": [g[0] for g in got], "ends": [g[1] for g in got], "n_removed": [int((g[1] - g[0]).sum()) for g in got]})
+            yield pd.DataFrame({"row": frame["row"], "starts": lists(g[0] for g in got), "ends": lists(g[1] for g in got), "n_removed": np.array([(g[1] - g[0]).sum() for g in got], np.int64)})
 
     per_row = shifted.groupBy("row").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"))
     spans = per_row.mapInPandas(union, "row long, starts array<long>, ends array<long>, n_removed long")
@@ -355,34 +360,40 @@ def _keep(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join(data[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
 
 
+def _with_ranges(docs: DataFrame, length: int, id_column: str, text_column: str) -> DataFrame:
+    """``doc`` (the row of ``docs``), ``starts`` and ``ends``, null where nothing is removed. Equal rows have equal ranges."""
+    found = repeated_ranges(docs, length, id_column, text_column).where("n_removed > 0")
+    ranges = stage(found.groupBy("doc_id", "digest").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends")), "ranges")
+    texts = docs.select(F.struct("*").alias("doc"), F.col(id_column).cast("long").alias("id"), F.unhex(F.sha2(whole_text(text_column), 256)).alias("sha"))
+    return texts.join(ranges, texts["id"].eqNullSafe(ranges["doc_id"]) & (texts["sha"] == ranges["digest"]), "left").select("doc", "starts", "ends")
+
+
 def removal_report(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (SHA-256 of the bytes that stay). Texts are read again
-    only where a part of them stays."""
-    rows = stage(repeated_ranges(docs, length, id_column, text_column), "ranges")
-    none = hashlib.sha256(b"").hexdigest()
-    plain = rows.where((F.col("n_removed") == 0) | (F.col("n_removed") == F.col("n_bytes")))
-    plain = plain.select("doc_id", "n_bytes", "n_removed", F.coalesce(F.size("starts").cast("long"), F.lit(0)).alias("n_spans"), F.when(F.col("n_removed") == 0, F.lower(F.hex("digest"))).otherwise(F.lit(none)).alias("kept_sha256"))
-    part = rows.where((F.col("n_removed") > 0) & (F.col("n_removed") < F.col("n_bytes")))
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.unhex(F.sha2(whole_text(text_column), 256)).alias("sha"), whole_text(text_column).cast("binary").alias("data"))
-    joined = part.join(texts, texts["id"].eqNullSafe(part["doc_id"]) & (texts["sha"] == part["digest"]))
+    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` (SHA-256 of the bytes that stay) and ``text``, what stays
+    (without the rest of characters that are cut in two)."""
+    rows = _with_ranges(docs.select(F.col(id_column).cast("long").alias("doc_id"), whole_text(text_column).alias("text")), length, "doc_id", "text")
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            sha = [hashlib.sha256(_keep(d, s, e)).hexdigest() for d, s, e in zip(f["data"], f["starts"], f["ends"], strict=True)]
-            yield pd.DataFrame({"row": f["row"], "doc_id": f["doc_id"], "n_bytes": f["n_bytes"], "n_removed": f["n_removed"], "n_spans": f["starts"].str.len().astype("int64"), "kept_sha256": sha})
+    @F.pandas_udf("sha string, text string")
+    def kept(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, s, e in zip(text, starts, ends, strict=True):
+            data = t.encode("utf-8", "surrogatepass") if s is None else _keep(t.encode("utf-8", "surrogatepass"), s, e)
+            out.append((hashlib.sha256(data).hexdigest(), t if s is None else data.decode("utf-8", "ignore")))
+        return pd.DataFrame(out, columns=["sha", "text"], dtype=object)
 
-    cut_rows = joined.select("row", "doc_id", "n_bytes", "n_removed", "starts", "ends", "data").mapInPandas(cut, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return plain.unionByName(cut_rows.drop("row"))
+    removed = F.aggregate(F.zip_with("starts", "ends", lambda s, e: e - s), F.lit(0).cast("long"), lambda a, x: a + x)
+    spans = F.coalesce(F.when(F.col("starts").isNotNull(), F.size("starts").cast("long")), F.lit(0).cast("long"))
+    rows = rows.select("doc.*", F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"), spans.alias("n_spans"), kept("doc.text", "starts", "ends").alias("kept"))
+    return rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "n_removed", "n_spans", F.col("kept.sha").alias("kept_sha256"), F.col("kept.text").alias("text"))
 
 
 def without_repeats(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with the repeated passages cut out of their text. Bytes of a character cut in two go with it; a null text stays null."""
-    rows = stage(repeated_ranges(docs, length, id_column, text_column).where("n_removed > 0").groupBy("doc_id", "digest").agg(F.first("starts").alias("_starts"), F.first("ends").alias("_ends")), "ranges")
-    rows = rows.withColumnsRenamed({"doc_id": "_id", "digest": "_digest"})
-    same = docs[id_column].cast("long").eqNullSafe(rows["_id"]) & (F.unhex(F.sha2(whole_text(text_column), 256)) == rows["_digest"])
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         return pd.Series([t if s is None or t is None else _keep(t.encode("utf-8", "surrogatepass"), s, e).decode("utf-8", "ignore") for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
 
-    return docs.join(rows, same, "left").withColumn(text_column, kept(F.col(text_column), F.col("_starts"), F.col("_ends"))).select(*docs.columns)
+    rows = _with_ranges(docs, length, id_column, text_column)
+    text = kept(F.col("doc").getField(text_column), F.col("starts"), F.col("ends")).alias("kept")
+    return rows.select("doc", text).select(*[F.col("kept").alias(c) if c == text_column else F.col("doc").getField(c).alias(c) for c in docs.columns])

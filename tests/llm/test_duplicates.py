@@ -199,6 +199,29 @@ def test_passage_in_many_texts_is_no_group_of_its_own(spark, monkeypatch, size):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == repeats(texts, 400)
 
 
+@pytest.mark.parametrize("size", [390, 399, 400])
+@pytest.mark.parametrize("tasks", [1, 211])
+def test_shared_bytes_shorter_than_a_repeat(spark, size, tasks):
+    # Anchors meet but nothing of the whole length does: batches without a single range.
+    rng = random.Random(size)
+    other = lambda alphabet: "".join(rng.choice(alphabet) for _ in range(450))
+    passage = "".join(rng.choice("ijklmnop ") for _ in range(size))
+    texts = [other("abcd") + passage + other("abcd"), other("efgh") + passage + other("efgh"), other("qrst")]
+    spark.conf.set("spark.sql.shuffle.partitions", tasks)
+    try:
+        got = suffix_groups.removal_report(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == repeats(texts, 400)
+
+
+def test_texts_that_share_nothing(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(900)) for _ in range(6)]
+    got = suffix_groups.removal_report(docs_of(spark, list(enumerate(texts)))).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.n_spans, r.text) for r in got] == [(0, 0, t) for t in texts]
+
+
 def test_passages_are_cut_out_of_documents(spark):
     texts = passage_texts()
     df = docs_of(spark, [*enumerate(texts), (None, texts[0]), (3, texts[3])])
