@@ -50,17 +50,19 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-_SCOPE: ContextVar[str | None] = ContextVar("staging folder", default=None)
+#: Folders of the staging blocks that are open, the innermost last.
+_SCOPE: ContextVar[tuple[str, ...]] = ContextVar("staging folders", default=())
 
 
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Results staged inside share a folder, which goes when the block ends, also by an error.
 
-    For work whose results are durable by then: a pass, a batch of a stream. What a query returns unread must be staged outside.
+    For work whose results are durable by then: a pass, a batch of a stream. What a query returns unread must be staged outside,
+    or inside with ``outer=True``.
     """
     folder = f"{checkpoint_dir(spark)}/staging-{uuid.uuid4().hex}"
-    token = _SCOPE.set(folder)
+    token = _SCOPE.set((*_SCOPE.get(), folder))
     try:
         yield
     finally:
@@ -68,12 +70,13 @@ def staging(spark: SparkSession) -> Iterator[None]:
         delete(spark, folder)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Write a result that several steps read into the shared checkpoint folder and read it back.
 
-    Unlike a cached block, the files survive the loss of an executor.
+    Unlike a cached block, the files survive the loss of an executor. ``outer`` leaves them to what is around the staging block.
     """
     spark = df.sparkSession
-    path = f"{_SCOPE.get() or checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    scopes = _SCOPE.get()[: -1 if outer else None]
+    path = f"{scopes[-1] if scopes else checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
