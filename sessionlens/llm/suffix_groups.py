@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.llm.common import whole_text
 from sessionlens.llm.ragged import batches, mix, offsets, prefix_hash, span_hash
-from sessionlens.session import stage
+from sessionlens.session import stage, staging
 
 GRAM = 32
 BLOCK = 50
@@ -310,15 +310,8 @@ def split(held: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     return compare, stage(ranges.select("anchor", "context", F.array(-F.col("most")).alias("starts"), F.array(length - F.col("least")).alias("ends")), "counted")
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: ``row, doc_id, digest, n_bytes, starts, ends, n_removed``: byte ranges covered by strings of
-    ``length`` bytes that also start elsewhere (arrays are null where there are none)."""
-    rows = stage(anchor_rows(docs, length, id_column, text_column), "anchors")
-    at = rows.select("row", F.explode(F.arrays_zip("anchor", "context", "first", "place", "last")).alias("o")).select("row", "o.*")
-    twice = rows.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    # Staged sides leave both ends of a join to be dealt out anew, so that a frequent anchor's rows may be split among tasks.
-    twice = stage(twice, "anchors-of-several")
-    at = stage(at.join(twice, "anchor"), "repeated-anchors")
+def _known_ranges(docs: DataFrame, rows: DataFrame, at: DataFrame, length: int, id_column: str, text_column: str) -> DataFrame:
+    """``anchor, context, starts, ends`` (from the anchor) of all contexts with repeated windows; ``at`` holds the anchors that occur more than once."""
     one = F.min(F.struct("row", "first", "place", "last"))
     contexts = stage(at.groupBy("anchor", "context").agg(F.count("*").alias("n"), one.alias("o")).select("anchor", "context", "n", "o.*"), "contexts")
     several = stage(contexts.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1"), "anchors-of-several-contexts")
@@ -341,8 +334,19 @@ def repeated_ranges(docs: DataFrame, length: int = 400, id_column: str = "doc_id
         found = found.unionByName(counted)
     found = found.groupBy("anchor", "context").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
     known = contexts.join(found, ["anchor", "context"], "left").where("n > 1 or starts is not null")
-    known = known.select("anchor", "context", F.when(F.col("n") > 1, F.array(F.col("first") - F.col("place"))).otherwise(F.col("starts")).alias("starts"), F.when(F.col("n") > 1, F.array(F.col("last") - F.col("place") + length)).otherwise(F.col("ends")).alias("ends"))
-    known = stage(known, "known")
+    return known.select("anchor", "context", F.when(F.col("n") > 1, F.array(F.col("first") - F.col("place"))).otherwise(F.col("starts")).alias("starts"), F.when(F.col("n") > 1, F.array(F.col("last") - F.col("place") + length)).otherwise(F.col("ends")).alias("ends"))
+
+
+def repeated_ranges(docs: DataFrame, length: int = 400, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: ``row, doc_id, digest, n_bytes, starts, ends, n_removed``: byte ranges covered by strings of
+    ``length`` bytes that also start elsewhere (arrays are null where there are none)."""
+    rows = stage(anchor_rows(docs, length, id_column, text_column), "anchors")
+    at = rows.select("row", F.explode(F.arrays_zip("anchor", "context", "first", "place", "last")).alias("o")).select("row", "o.*")
+    twice = rows.select(F.explode("anchor").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    with staging(docs.sparkSession):
+        # Staged sides leave both ends of a join to be dealt out anew, so that a frequent anchor's rows may be split among tasks.
+        at = stage(at.join(stage(twice, "anchors-of-several"), "anchor"), "repeated-anchors", outer=True)
+        known = stage(_known_ranges(docs, rows, at, length, id_column, text_column), "known", outer=True)
     shifted = at.join(known, ["anchor", "context"]).select("row", F.transform("starts", lambda x: x + F.col("place")).alias("starts"), F.transform("ends", lambda x: x + F.col("place")).alias("ends"))
 
     def union(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,8 +366,9 @@ def _keep(data: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 def _with_ranges(docs: DataFrame, length: int, id_column: str, text_column: str) -> DataFrame:
     """``doc`` (the row of ``docs``), ``starts`` and ``ends``, null where nothing is removed. Equal rows have equal ranges."""
-    found = repeated_ranges(docs, length, id_column, text_column).where("n_removed > 0")
-    ranges = stage(found.groupBy("doc_id", "digest").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends")), "ranges")
+    with staging(docs.sparkSession):
+        found = repeated_ranges(docs, length, id_column, text_column).where("n_removed > 0")
+        ranges = stage(found.groupBy("doc_id", "digest").agg(F.first("starts").alias("starts"), F.first("ends").alias("ends")), "ranges", outer=True)
     texts = docs.select(F.struct("*").alias("doc"), F.col(id_column).cast("long").alias("id"), F.unhex(F.sha2(whole_text(text_column), 256)).alias("sha"))
     return texts.join(ranges, texts["id"].eqNullSafe(ranges["doc_id"]) & (texts["sha"] == ranges["digest"]), "left").select("doc", "starts", "ends")
 
