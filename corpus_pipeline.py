@@ -13,6 +13,9 @@ from sessionlens.llm.common import read
 from sessionlens.session import stage
 
 CAPACITY = 2048
+#: Bytes of the least passage that is cut. In the tables at hand, documents that share a passage of over 50 words share 200 bytes
+#: (843 of 843 of 9,252 documents without near copies); with 400 bytes it is 642 of them, with 300 835.
+PASSAGE = 200
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +30,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without passages of 400 bytes or more that stand elsewhere too; ``n_chars`` follows the text."""
-    return suffix_groups.without_repeats(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Texts without passages of ``PASSAGE`` bytes or more that stand elsewhere too; ``n_chars`` follows the text."""
+    return suffix_groups.without_repeats(docs, PASSAGE).withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
