@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import arc, neighbours, packing, pieces, prob_minhash, roles, suffix_groups, tiled_cosine, token_files, winnowing
+from sessionlens.llm import arc, hard_negatives, neighbours, packing, pieces, prob_minhash, roles, spelling, suffix_groups, tiled_cosine, token_files, winnowing
 from sessionlens.llm.common import read
 from sessionlens.session import checkpoint_dir
 
@@ -68,6 +68,20 @@ def winnowing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def hard_negatives_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    x = F.col("embedding").cast("array<double>")
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    # One label in seven is wrong, so that hard negatives are told by their scores.
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = F.when(finite, F.transform(x, lambda v: F.floor(v * 256)))
+    return hard_negatives.mine(rows.select(F.col("vec_id").alias("id"), label.alias("label"), vectors.alias("vector"), (F.col("vec_id") % 50 == 0).alias("is_anchor")))
+
+
+def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiled_cosine": tiled_cosine_query,
     "op2_token_files": token_files_query,
@@ -79,4 +93,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_groups": suffix_groups_query,
     "op9_pieces": pieces_query,
     "op10_winnowing": winnowing_query,
+    "op11_hard_negatives": hard_negatives_query,
+    "op12_spelling": spelling_query,
 }
