@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionlens.llm import arc, hard_negatives, neighbours, packing, pieces, prob_minhash, roles, spelling, suffix_groups, tiled_cosine, token_files, winnowing
+from sessionlens.llm import arc, hard_negatives, neighbours, packing, pieces, prob_minhash, roles, spelling, suffix_groups, tiled_cosine, token_files, transducer, winnowing
 from sessionlens.llm.common import read
 from sessionlens.session import checkpoint_dir
 
@@ -82,6 +82,10 @@ def spelling_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path(PIECES)).withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tiled_cosine": tiled_cosine_query,
     "op2_token_files": token_files_query,
@@ -95,4 +99,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_winnowing": winnowing_query,
     "op11_hard_negatives": hard_negatives_query,
     "op12_spelling": spelling_query,
+    "op13_token_counts": token_counts_query,
 }
