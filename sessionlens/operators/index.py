@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,6 +27,12 @@ class Index:
     forward: DataFrame
     postings: DataFrame
     vocabulary: DataFrame
+    #: One row (n_chunks, mean_length) where it is known; else it is counted from ``forward``.
+    size: DataFrame | None = None
+    #: Folders the postings are laid out in, where they have ``token_bucket``.
+    token_buckets: int = 1024
+    #: Leaves out postings that no longer count, after they were looked up.
+    alive: Callable[[DataFrame], DataFrame] | None = None
 
 
 def forward_index(chunks: DataFrame) -> DataFrame:
@@ -69,8 +76,10 @@ def prefix_keys(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("*", F.explode(keys).alias("prefix"))
 
 
-def corpus_size(forward: DataFrame) -> DataFrame:
+def corpus_size(forward: DataFrame | Index) -> DataFrame:
     """One row: number of chunks and their mean length."""
+    if isinstance(forward, Index):
+        return forward.size if forward.size is not None else corpus_size(forward.forward)
     return forward.agg(F.count("*").alias("n_chunks"), F.avg("n_tokens").alias("mean_length"))
 
 
@@ -87,8 +96,8 @@ def build_index(chunks: DataFrame) -> Index:
 TOKEN_BUCKETS = 1024
 
 
-def token_bucket(token: Column) -> Column:
-    return F.pmod(F.xxhash64(token), F.lit(TOKEN_BUCKETS)).cast("int")
+def token_bucket(token: Column, buckets: int = TOKEN_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
 def write_index(index: Index, path: str) -> None:
@@ -104,14 +113,16 @@ def read_index(spark: SparkSession, path: str) -> Index:
     return Index(*[spark.read.parquet(f"{path}/{part}") for part in ("forward", "postings", "vocabulary")])
 
 
-def lookup(tokens: DataFrame, postings: DataFrame) -> DataFrame:
+def lookup(tokens: DataFrame, index: Index) -> DataFrame:
     """Postings of the given tokens. Where postings are laid out by token, the folder is part of the
     join key, which lets the engine skip the folders no token hashes to."""
-    if "token_bucket" not in postings.columns:
-        return postings.join(tokens, "token")
-    # Always true, but the engine derives a folder filter only from a side that is filtered itself.
-    placed = tokens.withColumn("token_bucket", token_bucket(F.col("token"))).where(F.col("token_bucket") >= 0)
-    return postings.join(placed, ["token_bucket", "token"])
+    if "token_bucket" not in index.postings.columns:
+        found = index.postings.join(tokens, "token")
+    else:
+        # Always true, but the engine derives a folder filter only from a side that is filtered itself.
+        placed = tokens.withColumn("token_bucket", token_bucket(F.col("token"), index.token_buckets)).where(F.col("token_bucket") >= 0)
+        found = index.postings.join(placed, ["token_bucket", "token"])
+    return index.alive(found) if index.alive else found
 
 
 # ---------------------------------------------------------------- queries to terms
@@ -163,27 +174,36 @@ def phrase_matches(tokens: Column, phrase: Column) -> Column:
 
 
 def phrase_hits(terms: DataFrame, index: Index) -> DataFrame:
-    """Chunks holding a multi-token term.
+    """Chunks holding a multi-token term, from postings alone.
 
-    The rarest exact token of the phrase selects the candidate chunks; only those are checked.
+    The rarest exact token of the phrase selects the chunks and the places where the phrase may start. The postings of the other
+    tokens, the last one by prefix, are intersected with these: a place counts if each other token stands at its distance from it.
     """
     phrases = terms.where(F.size("tokens") > 1)
-    exact = phrases.select("term", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - 1)).alias("at", "token"))
+    exact = phrases.select("term", F.size("tokens").alias("n"), F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - 1)).alias("at", "token"))
+    last = phrases.select("term", F.array(F.element_at("tokens", -1)).alias("tokens"), (F.size("tokens") - 1).alias("at"))
+    known = stage(exact.join(index.vocabulary, "token").select("term", "n", "at", "token", "df"), "exact-tokens")
     anchors = (
-        exact.join(index.vocabulary, "token")
-        .groupBy("term")
-        .agg(F.count("*").alias("known"), F.min(F.struct("df", "token", "at")).alias("rarest"))
-        .where(F.col("known") == F.size(F.split("term", " ")) - 1)
-        .select("term", F.col("rarest.token").alias("token"), F.col("rarest.at").alias("at"))
-    )
-    candidates = lookup(anchors, index.postings).select(
-        "term", *CHUNK_KEY, F.transform("positions", lambda p: p - F.col("at")).alias("starts"))
-    checked = candidates.join(index.forward, list(CHUNK_KEY)).withColumn("phrase", F.split("term", " "))
-    return (
-        checked.withColumn("tf", F.size(F.filter("starts", lambda i: _phrase_at(F.col("tokens"), F.col("phrase"), i))).cast("bigint"))
-        .where(F.col("tf") > 0)
-        .select("term", *CHUNK_KEY, "kind", "n_tokens", "tf")
+        known.groupBy("term", "n").agg(F.count("*").alias("known"), F.min(F.struct("df", "token", "at")).alias("rarest"))
+        .where(F.col("known") == F.col("n") - 1)
+        .select("term", "n", F.col("rarest.token").alias("token"), F.col("rarest.at").alias("at"))
     )
+    anchors = stage(anchors, "anchors")
+    # The last token's prefix is looked up as a term of its own.
+    endings = last.select(F.col("tokens")[0].alias("ending"), F.col("term").alias("phrase"), "at").join(anchors.select(F.col("term").alias("phrase")), "phrase", "left_semi")
+    expanded = expand_prefixes(endings.select(F.col("ending").alias("term"), F.array("ending").alias("tokens")).distinct(), index.vocabulary)
+    endings = endings.join(expanded.withColumnRenamed("term", "ending"), "ending").select(F.col("phrase").alias("term"), "at", "token")
+    others = known.join(anchors.select("term", F.col("at").alias("anchor_at")), "term").where("at != anchor_at").select("term", "at", "token")
+    wanted = stage(others.unionByName(endings), "other-tokens")
+    starts = F.filter(F.transform("positions", lambda p: p - F.col("at")), lambda p: p >= 0)
+    candidates = lookup(anchors, index).select("term", "n", *CHUNK_KEY, "kind", "n_tokens", starts.alias("starts"))
+    # Read twice below: by the rest of the tokens, and nothing of it is text.
+    candidates = stage(candidates.where(F.size("starts") > 0), "phrase-candidates")
+    meets = lookup(wanted, index).select("term", *CHUNK_KEY, starts.alias("there"))
+    both = candidates.join(meets, ["term", *CHUNK_KEY]).select("term", "n", *CHUNK_KEY, "kind", "n_tokens", F.explode(F.array_intersect("starts", "there")).alias("start"))
+    # A place holds one token, so each other token of the phrase adds one row per start at most.
+    whole = both.groupBy("term", "n", *CHUNK_KEY, "kind", "n_tokens", "start").agg(F.count("*").alias("found")).where(F.col("found") == F.col("n") - 1)
+    return whole.groupBy("term", *CHUNK_KEY, "kind", "n_tokens").agg(F.count("*").alias("tf"))
 
 
 def term_hits(terms: DataFrame, index: Index) -> DataFrame:
@@ -191,7 +211,7 @@ def term_hits(terms: DataFrame, index: Index) -> DataFrame:
     # Staged, so that its size is known when the lookup is planned: a small one is sent to the postings.
     expanded = stage(expand_prefixes(terms, index.vocabulary), "expanded")
     single = (
-        lookup(expanded, index.postings)
+        lookup(expanded, index)
         .groupBy("term", *CHUNK_KEY, "kind", "n_tokens")
         .agg(F.sum("tf").alias("tf"))
     )

@@ -37,7 +37,7 @@ class Ranking:
 
 def relevance(hits: DataFrame, index: Index) -> DataFrame:
     """Adds BM25 relevance to hits. Document frequency counts chunks, prefix expansion included."""
-    size = corpus_size(index.forward)
+    size = corpus_size(index)
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
     weights = frequency.select("term", scoring.idf(size.select("n_chunks").scalar(), F.col("df")).alias("idf"))
     score = scoring.bm25(F.col("tf"), F.col("n_tokens"), size.select("mean_length").scalar(), F.col("idf"))

@@ -1,7 +1,8 @@
 """Keeping the tables current with a folder of transcripts.
 
-One pass: list files, compare with what is stored, read only what changed, merge, write the touched
-buckets anew, and make them current by one manifest. Of a resumed file only the bytes behind its stored offset are read.
+One pass: list files, compare with what is stored, read only what changed, merge, append what is new to every table, note what no longer
+counts, and make all of it current by one manifest. Of a resumed file only the bytes behind its stored offset are read. Nothing that is
+stored is rewritten but small segments, which are merged as they pile up, and tables of which too large a share no longer counts.
 """
 
 from __future__ import annotations
@@ -30,40 +31,83 @@ SESSION_SCHEMA = (
     f"state struct<{_STATE}>, bucket int"
 )
 TALLY_SCHEMA = "discovered bigint, indexed bigint, skipped bigint, failed bigint, pruned bigint, chunks_written bigint, bytes_read bigint, parse_errors bigint"
-CHUNK_SCHEMA = "session_id string, owner string, chunk_no bigint, kind int, ts timestamp, text string, bucket int"
-
-
-FORWARD_SCHEMA = "session_id string, chunk_no bigint, kind int, tokens array<string>, n_tokens int, bucket int"
-POSTINGS_SCHEMA = "token string, session_id string, chunk_no bigint, kind int, n_tokens int, tf int, positions array<int>, bucket int"
+CHUNK_SCHEMA = "session_id string, owner string, chunk_no bigint, kind int, ts timestamp, text string, derived int, bucket int"
+POSTINGS_SCHEMA = "token string, session_id string, chunk_no bigint, kind int, n_tokens int, tf int, positions array<int>, token_bucket int"
+VOCABULARY_SCHEMA = "token string, df bigint, letter_bucket int"
+DEATH_SCHEMA = "session_id string, kind int, died bigint"
+#: Folders of every table, outermost first.
+LAYOUT = {"sessions": ["bucket"], "chunks": ["derived", "bucket"], "postings": ["token_bucket"], "vocabulary": ["letter_bucket"], "deaths": []}
+SCHEMAS = {"sessions": SESSION_SCHEMA, "chunks": CHUNK_SCHEMA, "postings": POSTINGS_SCHEMA, "vocabulary": VOCABULARY_SCHEMA, "deaths": DEATH_SCHEMA}
+#: What a death means that is of no chunk kind: the session's row; all its chunks.
+SESSION_ROW, ALL_CHUNKS = -1, -2
+LETTER_BUCKETS = 16
+#: Share of chunks that no longer count beyond which a pass leaves them out for good.
+MOST_DEAD = 0.25
 
 
 class SessionIndex:
     """The tables of one index folder. A pass changes all of them at once or, if it fails anywhere, none."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = sinks.DEFAULT_BUCKETS):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.tables = sinks.Versions(spark, self.path)
+    def __init__(self, spark: SparkSession, path: str, buckets: int = sinks.DEFAULT_BUCKETS, token_buckets: int | None = None, retention: float = 3600.0, most_dead: float = MOST_DEAD):
+        self.spark, self.path, self.buckets, self.token_buckets, self.most_dead = spark, path.rstrip("/"), buckets, token_buckets or buckets, most_dead
+        self.tables = sinks.Versions(spark, self.path, retention)
+
+    def version(self) -> dict:
+        """What is current now. Reads that are given the same version see the same tables."""
+        return self.tables.current()
+
+    def _read(self, table: str, version: dict) -> DataFrame:
+        return self.tables.read(table, SCHEMAS[table], version["tables"].get(table, []))
+
+    def _deaths(self, version: dict) -> DataFrame | None:
+        """Newest death per session and kind, or None where there are none."""
+        if not version["tables"].get("deaths"):
+            return None
+        return self._read("deaths", version).groupBy("session_id", "kind").agg(F.max("died").alias("died"))
+
+    def _alive(self, rows: DataFrame, deaths: DataFrame | None) -> DataFrame:
+        """Rows (of sessions, or chunks with a kind) that no later pass has replaced."""
+        if deaths is None:
+            return rows
+        d = deaths.select(F.col("session_id").alias("_dead"), F.col("kind").alias("_kind"), "died")
+        meant = d["_kind"] == SESSION_ROW
+        if "kind" in rows.columns:
+            meant = (d["_kind"] == ALL_CHUNKS) | (d["_kind"] == rows["kind"])
+        return rows.join(d, (rows["session_id"] == d["_dead"]) & meant & (rows["born"] < d["died"]), "left_anti")
 
-    def sessions(self) -> DataFrame:
-        return self.tables.read("sessions", SESSION_SCHEMA)
+    def sessions(self, version: dict | None = None) -> DataFrame:
+        version = version or self.version()
+        return self._alive(self._read("sessions", version), self._deaths(version)).drop("born")
 
-    def chunks(self) -> DataFrame:
-        return self.tables.read("chunks", CHUNK_SCHEMA)
+    def chunks(self, version: dict | None = None) -> DataFrame:
+        version = version or self.version()
+        return self._alive(self._read("chunks", version), self._deaths(version)).drop("born", "derived")
 
     def meta(self) -> DataFrame:
-        done = self.tables.current()["completed_at"]
+        done = self.version()["completed_at"]
         return self.spark.createDataFrame([(done,)] if done else [], "completed_at string").select(F.col("completed_at").cast("timestamp"))
 
-    def search_index(self) -> I.Index:
-        postings = self.tables.read("postings", POSTINGS_SCHEMA).drop("bucket")
-        return I.Index(self.tables.read("forward", FORWARD_SCHEMA).drop("bucket"), postings, I.build_vocabulary(postings))
+    def search_index(self, version: dict | None = None) -> I.Index:
+        """The kept index: postings in folders by token, the vocabulary as the sum of the passes' changes, the corpus size as noted."""
+        version = version or self.version()
+        deaths = self._deaths(version)
+        totals = version["totals"]
+        n, tokens = totals.get("chunks", 0), totals.get("tokens", 0)
+        size = self.spark.range(1).select(F.lit(n).cast("bigint").alias("n_chunks"), (F.lit(tokens / n) if n else F.lit(None)).cast("double").alias("mean_length"))
+        vocabulary = self._vocabulary(self._read("vocabulary", version)).select("token", "df")
+        return I.Index(I.forward_index(self.chunks(version)), self._read("postings", version), vocabulary, size, self.token_buckets, lambda found: self._alive(found, deaths))
+
+    @staticmethod
+    def _vocabulary(changes: DataFrame) -> DataFrame:
+        return changes.groupBy("letter_bucket", "token").agg(F.sum("df").alias("df")).where("df != 0")
 
     # ------------------------------------------------------------ one pass
 
-    def plan(self, root: str, forced: bool = False) -> DataFrame:
+    def plan(self, root: str, forced: bool = False, version: dict | None = None) -> DataFrame:
         """Change plan of every known or present file. Hashes are read only where they can matter."""
-        stored = self.sessions().select("session_id", F.col("file_size").alias("size"), "mtime", "head_sha256", "parse_offset")
-        lines = self.sessions().select("session_id", F.col("line_count").alias("stored_lines"))
+        known = self.sessions(version)
+        stored = known.select("session_id", F.col("file_size").alias("size"), "mtime", "head_sha256", "parse_offset")
+        lines = known.select("session_id", F.col("line_count").alias("stored_lines"))
         listed = R.list_files(self.spark, root)
         listed = listed.groupBy("session_id").agg(F.max(F.struct("mtime", "file_path", "file_name", "size")).alias("f")).select(
             "session_id", "f.file_path", "f.file_name", "f.size", "f.mtime")
@@ -77,23 +121,30 @@ class SessionIndex:
             "plan": F.when(rewritten, F.lit("full")).otherwise(F.col("plan")),
         })
 
-    def reconcile(self, root: str, now, forced: bool = False, owner=None) -> DataFrame:
+    def reconcile(self, root: str, now, forced: bool = False, owner=None, attempts: int = 5) -> DataFrame:
         """Bring the tables in line with ``root``; returns the tally row.
 
         ``now`` is the completion time to record, ``owner`` an optional column over ``file_path``. A file that cannot be read, or
-        that goes while the pass runs, stays as it is stored and is tried again by the next pass.
+        that goes while the pass runs, stays as it is stored and is tried again by the next pass. If another pass comes first, this
+        one starts anew from what that one has left, at most ``attempts`` times.
         """
-        with staging(self.spark):
-            tally = self._pass(root, now, forced, owner).collect()
-        return self.spark.createDataFrame(tally, TALLY_SCHEMA)
+        return self.spark.createDataFrame(self._retried(lambda base: self._pass(root, now, forced, owner, base).collect(), attempts), TALLY_SCHEMA)
+
+    def _retried(self, work, attempts: int):
+        for attempt in range(attempts):
+            try:
+                with staging(self.spark):
+                    return work(self.version())
+            except sinks.Conflict:
+                if attempt + 1 == attempts:
+                    raise
 
-    def _pass(self, root: str, now, forced: bool, owner) -> DataFrame:
-        spark = self.spark
-        plan = stage(self.plan(root, forced), "plan")
+    def _pass(self, root: str, now, forced: bool, owner, base: dict) -> DataFrame:
+        plan = stage(self.plan(root, forced, base), "plan")
         todo = plan.where(F.col("plan").isin("full", "resume") & F.coalesce("readable", F.lit(True)))
         todo = stage(todo.withColumn("line_count", F.when(F.col("plan") == "resume", F.coalesce("stored_lines", F.lit(0))).otherwise(F.lit(0))), "todo")
         if plan.where(F.col("plan") == "prune").isEmpty() and todo.isEmpty():
-            self.tables.commit(str(now), [], {})
+            self.tables.commit(base, str(now), base["tables"], base["totals"])
             return self._tally(plan, None)
         # Parsed lines are about a fiftieth of the bytes read, and are needed three times.
         read = stage(R.parse_lines(R.read_tails(todo)), "parsed")
@@ -103,10 +154,49 @@ class SessionIndex:
         ends = R.tail_ends(parsed)
         records = stage(R.identify(R.number_tails(parsed, work), owner).join(work.select("session_id"), "session_id", "left_semi"), "records")
 
-        tail = stage(S.session_state(records, ("session_id",)), "tail")
         touched = work.select("session_id", "plan", "file_path", "file_name", "size", "mtime", "head_sha256", "offset", "line_count").join(ends, "file_path", "left")
-        stored = self.sessions()
-        resumed = stored.join(work.where(F.col("plan") == "resume").select("session_id"), "session_id", "left_semi").select("session_id", "state.*")
+        fresh, new_chunks = self._merged(base, records, touched, now, owner)
+        gone = plan.where(F.col("plan") == "prune").select("session_id")
+        self._write(base, str(now), fresh, new_chunks, work.where(F.col("plan") == "full").select("session_id").unionByName(gone), gone)
+        return self._tally(plan, problems, new_chunks, fresh)
+
+    def add_records(self, records: DataFrame, now, owner=None, attempts: int = 5) -> int:
+        """Append records that come without files, as a stream brings them, to all tables at once; returns how many were new.
+
+        A session's records come in order of ``seq``. Those up to the last one stored are left out, so a batch may come again."""
+        def work(base: dict) -> int:
+            batch = stage(records, "batch")
+            near = self._near("sessions", base, batch.select("session_id"))
+            seen = near.select("session_id", F.col("state.last_seq").alias("_seen"))
+            new = stage(batch.join(seen, "session_id", "left").where(F.col("_seen").isNull() | (F.col("seq") > F.col("_seen"))).drop("_seen"), "new-records")
+            n = new.count()
+            if n:
+                none = {c: F.lit(None).cast(t) for c, t in (("head_sha256", "string"), ("parse_offset", "bigint"))}
+                counts = new.groupBy("session_id").agg(F.max("file_path").alias("file_path"), F.max("file_name").alias("file_name"), F.count("*").alias("new_lines"), F.max("ts").alias("mtime"))
+                known = near.select("session_id", F.col("line_count").alias("line_count"))
+                touched = counts.join(known, "session_id", "left").withColumns({"plan": F.lit("resume"), "offset": F.lit(0).cast("bigint"), "size": F.lit(None).cast("bigint"), "line_count": F.coalesce("line_count", F.lit(0)), **none})
+                own = new if "owner" in new.columns else new.withColumn("owner", owner if owner is not None else F.lit(""))
+                fresh, chunks = self._merged(base, own, touched, now, owner)
+                self._write(base, str(now), fresh, chunks, fresh.select("session_id").limit(0), fresh.select("session_id").limit(0))
+            return n
+
+        return self._retried(work, attempts)
+
+    def _near(self, table: str, version: dict, sessions: DataFrame, **where) -> DataFrame:
+        """Rows of some sessions; only their folders are opened."""
+        rows = self._read(table, version)
+        for column, value in where.items():
+            rows = rows.where(F.col(column) == value)
+        # At most one small integer per bucket of the layout.
+        wanted = sessions.select("session_id").distinct()
+        numbers = [r.b for r in wanted.select(sinks.bucket_of(F.col("session_id"), self.buckets).alias("b")).distinct().collect()]
+        return self._alive(rows.where(F.col("bucket").isin(numbers)).join(wanted, "session_id", "left_semi"), self._deaths(version))
+
+    def _merged(self, base: dict, records: DataFrame, touched: DataFrame, now, owner) -> tuple[DataFrame, DataFrame]:
+        """New session rows and new chunks of records that follow what is stored."""
+        tail = stage(S.session_state(records, ("session_id",)), "tail")
+        touched = stage(touched, "touched")
+        resumed = self._near("sessions", base, touched.where(F.col("plan") == "resume")).select("session_id", "state.*")
         merged = M.merge_states(resumed, tail).join(touched, "session_id", "right")
         merged = merged.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("message_count", "malformed_count")})
         owner_of = owner if owner is not None else F.lit("")
@@ -114,6 +204,7 @@ class SessionIndex:
             "owner": owner_of,
             "state": F.struct(*[F.col(c) for c in S.STATE_COLUMNS]),
         }))
+        bucket = sinks.bucket_of(F.col("session_id"), self.buckets).alias("bucket")
         fresh = stage(done.select(
             "session_id", "owner", "file_path", "file_name", "title", "title_source",
             F.col("custom_title.text").alias("custom_title"), F.col("ai_title.text").alias("ai_title"),
@@ -122,41 +213,82 @@ class SessionIndex:
             "first_activity", "last_activity", "message_count", F.col("size").alias("file_size"), "mtime", "head_sha256",
             F.coalesce("parse_offset", "offset").cast("bigint").alias("parse_offset"),
             (F.col("line_count") + F.coalesce("new_lines", F.lit(0))).cast("bigint").alias("line_count"), "parse_error", F.lit(now).cast("timestamp").alias("indexed_at"), "state",
-            sinks.bucket_of(F.col("session_id"), self.buckets).alias("bucket"),
+            bucket,
         ), "fresh")
+        chunks = C.message_chunks(records).withColumn("derived", F.lit(0)).unionByName(C.derived_chunks(fresh).withColumn("derived", F.lit(1)))
+        return fresh, stage(chunks.withColumn("bucket", bucket), "chunks")
 
-        messages = C.message_chunks(records)
-        derived = C.derived_chunks(fresh)
-        new_chunks = stage(messages.unionByName(derived).withColumn("bucket", sinks.bucket_of(F.col("session_id"), self.buckets)), "chunks")
-
-        gone = plan.where(F.col("plan") == "prune").select("session_id")
-        changed = fresh.select("session_id").unionByName(gone)
-        # At most one small integer per bucket of the layout.
-        buckets = [r.bucket for r in changed.select(sinks.bucket_of(F.col("session_id"), self.buckets).alias("bucket")).distinct().collect()]
-        self._write(str(now), fresh, new_chunks, work, gone, buckets)
-        return self._tally(plan, problems, new_chunks, fresh)
+    def _write(self, base: dict, now: str, fresh: DataFrame, new_chunks: DataFrame, replaced: DataFrame, gone: DataFrame) -> None:
+        """Append a pass to all tables and make it current. ``replaced`` names sessions whose old chunks no longer count."""
+        number = base["number"] + 1
+        known = bool(base["tables"].get("sessions"))
+        totals = {"chunks": 0, "tokens": 0, "dead": 0} | base["totals"]
+        postings = stage(I.build_postings(I.forward_index(new_chunks)).withColumn("token_bucket", I.token_bucket(F.col("token"), self.token_buckets)), "postings")
+        changes = postings.select("token", F.lit(1).alias("df"))
+        come = I.forward_index(new_chunks).agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+        totals["chunks"], totals["tokens"] = totals["chunks"] + come.n, totals["tokens"] + come.tokens
+        tables = {t: list(base["tables"].get(t, [])) for t in SCHEMAS}
+        if known:
+            produced = new_chunks.where("derived = 1").select("session_id", "kind").distinct()
+            replaced = stage(replaced.distinct(), "replaced")
+            deaths = fresh.select("session_id").unionByName(gone).select("session_id", F.lit(SESSION_ROW).alias("kind"))
+            deaths = deaths.unionByName(replaced.select("session_id", F.lit(ALL_CHUNKS).alias("kind"))).unionByName(produced)
+            deaths = stage(deaths.withColumn("died", F.lit(number).cast("bigint")), "deaths")
+            # Titles, folders and last prompts of the touched sessions, and all chunks of the replaced ones, have been counted and go.
+            old = self._near("chunks", base, produced, derived=1).join(produced, ["session_id", "kind"], "left_semi")
+            old = old.unionByName(self._near("chunks", base, replaced)) if not replaced.isEmpty() else old
+            old = stage(I.forward_index(old.dropDuplicates(["session_id", "chunk_no"])), "dead")
+            went = old.agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
+            totals = {"chunks": totals["chunks"] - went.n, "tokens": totals["tokens"] - went.tokens, "dead": totals["dead"] + went.n}
+            changes = changes.unionByName(I.build_postings(old).select("token", F.lit(-1).alias("df")))
+            tables["deaths"] += self.tables.write("deaths", deaths.coalesce(1), number, number, [])
+        letter = F.pmod(F.xxhash64(F.left("token", F.lit(1))), F.lit(LETTER_BUCKETS)).cast("int").alias("letter_bucket")
+        changes = self._vocabulary(changes.select("token", "df", letter))
+        for table, rows in (("sessions", fresh), ("chunks", new_chunks), ("postings", postings), ("vocabulary", changes)):
+            tables[table] += self.tables.write(table, rows, number, number, LAYOUT[table])
+        self.tables.commit(base, now, *self._merge(tables, totals, number))
 
-    def _write(self, now: str, fresh: DataFrame, new_chunks: DataFrame, work: DataFrame, gone: DataFrame, buckets: list[int]) -> None:
-        """Write the touched buckets of all tables anew and make them current together."""
-        pass_id, touched = uuid.uuid4().hex, [str(b) for b in buckets]
-        current = self.tables.current()["tables"]
+    def _merge(self, tables: dict[str, list[dict]], totals: dict, number: int) -> tuple[dict, dict]:
+        """Merge small segments, or all of them where too much no longer counts, and drop deaths that nothing stored can meet."""
+        tables = dict(tables)
+        # The pass's own deaths count here, before they are current.
+        deaths = self._deaths({"tables": tables})
+        whole = totals["dead"] > self.most_dead * max(1, totals["chunks"])
+        for table in SCHEMAS:
+            segments = tables[table]
+            chosen = segments if whole and table in ("sessions", "chunks", "postings") else sinks.to_merge(segments)
+            if not chosen or table == "deaths":
+                continue
+            rows = self.tables.read(table, SCHEMAS[table], chosen)
+            rows = self._vocabulary(rows) if table == "vocabulary" else self._alive(rows, deaths).drop("born")
+            born = max(int(s["pass"][:12]) for s in chosen)
+            kept = [s for s in segments if s not in chosen]
+            merged = self.tables.write(table, rows, born, number, LAYOUT[table])
+            tables[table] = sorted([*kept, *merged], key=lambda s: s["pass"])
+        if whole:
+            totals = totals | {"dead": 0}
+        needed = min((s["clean"] for t in ("sessions", "chunks", "postings") for s in tables[t]), default=number)
+        deaths_left = [s for s in tables["deaths"] if int(s["pass"][:12]) > needed]
+        if chosen := sinks.to_merge(deaths_left):
+            rows = self.tables.read("deaths", DEATH_SCHEMA, chosen).groupBy("session_id", "kind").agg(F.max("died").alias("died"))
+            merged = self.tables.write("deaths", rows.coalesce(1), max(int(s["pass"][:12]) for s in chosen), number, [])
+            deaths_left = [s for s in deaths_left if s not in chosen] + merged
+        tables["deaths"] = deaths_left
+        return tables, totals
 
-        def near(table: str, schema: str) -> DataFrame:
-            return self.tables.read_buckets(table, schema, {b: p for b, p in current.get(table, {}).items() if b in touched})
+    def compact(self, now, attempts: int = 5) -> bool:
+        """Leave out for good what no longer counts; does nothing where there is nothing to leave out."""
+        def work(base: dict) -> bool:
+            if not base["totals"].get("dead"):
+                return False
+            most, self.most_dead = self.most_dead, -1.0
+            try:
+                self.tables.commit(base, str(now), *self._merge({t: base["tables"].get(t, []) for t in SCHEMAS}, base["totals"], base["number"]))
+            finally:
+                self.most_dead = most
+            return True
 
-        replaced = fresh.select("session_id").unionByName(gone)
-        sessions = near("sessions", SESSION_SCHEMA).join(replaced, "session_id", "left_anti").select(fresh.columns).unionByName(fresh)
-        full = work.where(F.col("plan") == "full").select("session_id").unionByName(gone)
-        old_chunks = near("chunks", CHUNK_SCHEMA)
-        chunks = M.replace_derived(M.replace_chunks(old_chunks, new_chunks.limit(0), full), new_chunks.select(old_chunks.columns))
-        written = {"chunks": self.tables.write("chunks", chunks, pass_id)}
-        bucket = sinks.bucket_of(F.col("session_id"), self.buckets).alias("bucket")
-        forward = I.forward_index(self.tables.read_buckets("chunks", CHUNK_SCHEMA, written["chunks"]))
-        written["forward"] = self.tables.write("forward", forward.select("*", bucket), pass_id)
-        postings = I.build_postings(self.tables.read_buckets("forward", FORWARD_SCHEMA, written["forward"]).drop("bucket"))
-        written["postings"] = self.tables.write("postings", postings.select("*", bucket), pass_id)
-        written["sessions"] = self.tables.write("sessions", sessions, pass_id)
-        self.tables.commit(now, touched, written)
+        return self._retried(work, attempts)
 
     def _tally(self, plan: DataFrame, problems: DataFrame | None, new_chunks: DataFrame | None = None, fresh: DataFrame | None = None) -> DataFrame:
         read = plan.select("session_id", "file_path", F.coalesce("readable", F.lit(True)).alias("opened"), F.coalesce("missing", F.lit(False)).alias("gone"), "offset")
