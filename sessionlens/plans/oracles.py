@@ -608,14 +608,40 @@ ORACLES["derived_replace"] = f"""{HALVES}
 SELECT session_id, chunk_no, kind, ts, md5(text) AS digest FROM before_rows b WHERE NOT EXISTS (SELECT 1 FROM after_rows a WHERE a.session_id = b.session_id AND a.kind = b.kind AND a.kind <= 3)
 UNION ALL SELECT session_id, chunk_no, kind, ts, md5(text) FROM after_rows"""
 ORACLES["full_replace"] = f"{TABLES} SELECT session_id, chunk_no, kind, ts, md5(text) AS digest FROM chunks_said"
-OUTCOMES = """
-told AS (SELECT *, CAST(session_id AS BIGINT) AS k, plan IN ('full', 'resume') AS work FROM plans),
-outcomes AS (SELECT plan, CASE plan WHEN 'prune' THEN 'pruned' WHEN 'skip' THEN 'skipped' ELSE CASE WHEN k % 97 = 0 THEN 'failed' WHEN plan = 'full' THEN 'indexed' WHEN k % 3 <> 0 THEN 'appended' ELSE 'title_refreshed' END END AS outcome,
-  CASE WHEN work THEN k % 5 + 1 END AS chunks, CASE WHEN work THEN size - CASE WHEN plan = 'resume' THEN parse_offset ELSE 0 END END AS bytes, work AND k % 50 = 1 AS bad FROM told)"""
-ORACLES["pass_outcomes"] = f"WITH {SNAPSHOTS}, {PLANS}, {OUTCOMES} SELECT plan, outcome, count(*) AS n FROM outcomes GROUP BY 1, 2"
-ORACLES["reconcile_tally"] = f"""WITH {SNAPSHOTS}, {PLANS}, {OUTCOMES}
-SELECT count(*) FILTER (outcome <> 'pruned') AS discovered, count(*) FILTER (outcome IN ('indexed', 'appended', 'title_refreshed')) AS indexed, count(*) FILTER (outcome = 'skipped') AS skipped,
-  count(*) FILTER (outcome = 'failed') AS failed, count(*) FILTER (outcome = 'pruned') AS pruned, CAST(sum(chunks) AS BIGINT) AS chunks_written, CAST(sum(bytes) AS BIGINT) AS bytes_read, count(*) FILTER (bad) AS parse_errors FROM outcomes"""
+#: Records of transcripts: lines of tools and of the program stand after every fourth message of every third conversation. What a second
+#: pass leaves: a tenth of the files goes, a tenth is as it was, the rest is whole.
+PASSES = rf"""{RECORDS}, lines AS (
+  SELECT *, lower(printf('%08X', conv_id)) AS hex8, turn + 1 + CASE WHEN conv_id % 3 = 0 THEN CAST(count(*) FILTER (turn % 4 = 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) ELSE 0 END AS place FROM records),
+named AS (SELECT * REPLACE (hex8 || '-1111-4222-8333-444455556666' AS session_id, place AS seq, '' AS owner) FROM lines),
+early AS (SELECT * FROM named WHERE turn < 4 AND conv_id % 10 NOT IN (7, 9)
+  UNION ALL SELECT * REPLACE ('user' AS type, TRUE AS is_message, FALSE AS is_title, NULL AS title_text, repeat('a draft that goes ', 40) AS spoken) FROM named WHERE turn < 4 AND conv_id % 10 = 7),
+late AS (SELECT * FROM named WHERE conv_id % 10 <> 8 AND (conv_id % 10 <> 6 OR turn < 4)),
+{sessions_of('early', 'early_sessions')}, {chunks_of('early', 'early_sessions', 'early_chunks')},
+{sessions_of('late', 'late_named')}, late_sessions AS (SELECT * REPLACE (CASE WHEN title_source = 4 THEN session_id ELSE title END AS title) FROM late_named), {chunks_of('late', 'late_sessions', 'late_chunks')},
+files AS (SELECT conv_id, session_id, conv_id % 10 AS fate, max(turn) AS last_turn FROM named GROUP BY ALL),
+told AS (
+  SELECT 1 AS pass, session_id, 'full' AS plan, 'indexed' AS outcome FROM files WHERE fate <> 9
+  UNION ALL
+  SELECT 2, session_id, CASE WHEN fate = 8 THEN 'prune' WHEN fate = 6 OR fate < 6 AND last_turn < 4 THEN 'skip' WHEN fate IN (7, 9) THEN 'full' ELSE 'resume' END,
+    CASE WHEN fate = 8 THEN 'pruned' WHEN fate = 6 OR fate < 6 AND last_turn < 4 THEN 'skipped' WHEN fate IN (7, 9) THEN 'indexed'
+      WHEN EXISTS (SELECT 1 FROM named r WHERE r.conv_id = files.conv_id AND turn >= 4 AND is_message AND {not_blank('spoken')}) THEN 'appended' ELSE 'title_refreshed' END
+  FROM files),
+written AS (
+  SELECT 1 AS pass, count(*) AS n FROM early_chunks
+  UNION ALL
+  SELECT 2, count(*) FROM late_chunks c JOIN told USING (session_id) WHERE pass = 2 AND (plan = 'full' OR plan = 'resume' AND (c.kind <= 3 OR c.chunk_no >> 28 >= (
+    SELECT min(seq) FROM named r WHERE r.session_id = c.session_id AND r.turn >= 4))))"""
+ORACLES["pass_outcomes"] = f"WITH {PASSES} SELECT CAST(pass AS INTEGER) AS pass, plan, outcome, count(*) AS n FROM told GROUP BY ALL"
+ORACLES["reconcile_tally"] = f"""WITH {PASSES}
+SELECT CAST(pass AS INTEGER) AS pass, count(*) FILTER (outcome <> 'pruned') AS discovered, count(*) FILTER (outcome IN ('indexed', 'appended', 'title_refreshed')) AS indexed, count(*) FILTER (outcome = 'skipped') AS skipped,
+  CAST(0 AS BIGINT) AS failed, count(*) FILTER (outcome = 'pruned') AS pruned, CAST(any_value(w.n) AS BIGINT) AS chunks_written, CAST(0 AS BIGINT) AS parse_errors FROM told JOIN written w USING (pass) GROUP BY pass"""
+ORACLES["reconcile_sessions"] = f"""WITH {PASSES},
+counted AS (SELECT session_id, max(seq) + max(CASE WHEN conv_id % 3 = 0 AND turn % 4 = 1 AND turn = last_kept THEN 1 ELSE 0 END) AS line_count
+  FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last_kept FROM late) GROUP BY session_id)
+SELECT session_id, title, title_source, folder_display, folder_source, git_branch, last_prompt, first_activity, last_activity, message_count, CAST(line_count AS BIGINT) AS line_count, parse_error FROM late_sessions JOIN counted USING (session_id)"""
+ORACLES["reconcile_chunks"] = f"WITH {PASSES} SELECT session_id, chunk_no, kind, ts, md5(text) AS digest FROM late_chunks"
+ORACLES["reconcile_vocabulary"] = f"""WITH {PASSES}, words AS (SELECT session_id, chunk_no, unnest({tokens('text')}) AS token FROM late_chunks)
+SELECT token, count(DISTINCT session_id || ':' || chunk_no) AS chunks, count(*) AS tf, count(DISTINCT session_id || ':' || chunk_no) AS df FROM words GROUP BY token"""
 
 # ---------------------------------------------------------------- change streams
 

@@ -128,7 +128,11 @@ class SessionIndex:
         that goes while the pass runs, stays as it is stored and is tried again by the next pass. If another pass comes first, this
         one starts anew from what that one has left, at most ``attempts`` times.
         """
-        return self.spark.createDataFrame(self._retried(lambda base: self._pass(root, now, forced, owner, base).collect(), attempts), TALLY_SCHEMA)
+        return M.reconcile_tally(self.outcomes(root, now, forced, owner, attempts))
+
+    def outcomes(self, root: str, now, forced: bool = False, owner=None, attempts: int = 5) -> DataFrame:
+        """A pass as :meth:`reconcile` makes it; returns what became of every file instead of the counts."""
+        return self._retried(lambda base: stage(self._pass(root, now, forced, owner, base), "outcomes", outer=True), attempts)
 
     def _retried(self, work, attempts: int):
         for attempt in range(attempts):
@@ -145,7 +149,7 @@ class SessionIndex:
         todo = stage(todo.withColumn("line_count", F.when(F.col("plan") == "resume", F.coalesce("stored_lines", F.lit(0))).otherwise(F.lit(0))), "todo")
         if plan.where(F.col("plan") == "prune").isEmpty() and todo.isEmpty():
             self.tables.commit(base, str(now), base["tables"], base["totals"])
-            return self._tally(plan, None)
+            return self._outcomes(plan, None)
         # Parsed lines are about a fiftieth of the bytes read, and are needed three times.
         read = stage(R.parse_lines(R.read_tails(todo)), "parsed")
         problems = stage(read.where(F.col("problem").isNotNull()).groupBy("file_path").agg(F.min(F.col("problem") == "missing").alias("lost")), "problems")
@@ -158,7 +162,7 @@ class SessionIndex:
         fresh, new_chunks = self._merged(base, records, touched, now, owner)
         gone = plan.where(F.col("plan") == "prune").select("session_id")
         self._write(base, str(now), fresh, new_chunks, work.where(F.col("plan") == "full").select("session_id").unionByName(gone), gone)
-        return self._tally(plan, problems, new_chunks, fresh)
+        return self._outcomes(plan, problems, new_chunks, fresh)
 
     def add_records(self, records: DataFrame, now, owner=None, attempts: int = 5) -> int:
         """Append records that come without files, as a stream brings them, to all tables at once; returns how many were new.
@@ -290,12 +294,12 @@ class SessionIndex:
 
         return self._retried(work, attempts)
 
-    def _tally(self, plan: DataFrame, problems: DataFrame | None, new_chunks: DataFrame | None = None, fresh: DataFrame | None = None) -> DataFrame:
+    def _outcomes(self, plan: DataFrame, problems: DataFrame | None, new_chunks: DataFrame | None = None, fresh: DataFrame | None = None) -> DataFrame:
         read = plan.select("session_id", "file_path", F.coalesce("readable", F.lit(True)).alias("opened"), F.coalesce("missing", F.lit(False)).alias("gone"), "offset")
         if problems is None:
             read = read.select("session_id", F.col("opened").alias("readable"), F.col("gone").alias("missing"), F.lit(False).alias("has_message"), F.lit(None).cast("bigint").alias("chunks"),
                                F.lit(None).cast("bigint").alias("bytes"), F.lit(None).cast("string").alias("parse_error"))
-            return M.reconcile_tally(M.outcomes(plan.select("session_id", "plan"), read))
+            return M.outcomes(plan.select("session_id", "plan", "reason"), read)
         written = new_chunks.groupBy("session_id").agg(F.count("*").alias("chunks"), F.bool_or(~F.col("kind").isin(K.KIND_TITLE, K.KIND_FOLDER)).alias("has_message"))
         read = (
             read.join(problems, "file_path", "left")
@@ -304,4 +308,4 @@ class SessionIndex:
             .select("session_id", (F.col("opened") & F.col("lost").isNull()).alias("readable"), (F.col("gone") | F.coalesce("lost", F.lit(False))).alias("missing"),
                     "has_message", "chunks", (F.col("parse_offset") - F.col("offset")).alias("bytes"), "parse_error")
         )
-        return M.reconcile_tally(M.outcomes(plan.select("session_id", "plan"), read))
+        return M.outcomes(plan.select("session_id", "plan", "reason"), read)

@@ -84,6 +84,68 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     ).where(F.col("session_id").isNotNull())
 
 
+def transcript_lines(records: DataFrame) -> DataFrame:
+    """``session_id, seq, line``: records as the JSON lines a transcript holds. The inverse of parsing, for the fields that are kept."""
+    content = F.when(F.size("blocks") > 0, F.to_json(F.transform("blocks", lambda b: F.struct(F.lit("text").alias("type"), b.alias("text"))))).otherwise(F.lit("[]"))
+    line = F.to_json(F.struct(
+        "type", "cwd", F.col("git_branch").alias("gitBranch"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+        F.when(F.col("has_parent"), F.lit("parent")).alias("parentUuid"), F.when(F.col("is_meta"), F.lit(True)).alias("isMeta"),
+        F.when(F.col("type") == "custom-title", F.col("title_text")).alias("customTitle"),
+        F.when(F.col("type") == "ai-title", F.col("title_text")).alias("aiTitle"),
+        F.when(F.col("type") == "last-prompt", F.col("title_text")).alias("lastPrompt")))
+    # Content is JSON already: it is put in before the closing brace.
+    said = F.when(F.col("has_message"), F.concat(F.lit(',"message":{"content":'), content, F.lit("}"))).otherwise(F.lit(""))
+    result = F.when(F.col("has_tool_result"), F.lit(',"toolUseResult":{}')).otherwise(F.lit(""))
+    return records.select("session_id", "seq", F.concat(F.substring(line, F.lit(1), F.length(line) - 1), said, result, F.lit("}")).alias("line"))
+
+
+def write_transcripts(lines: DataFrame, root: str, append: bool = False) -> None:
+    """Write ``(session_id, folder, seq, line)`` as one file per session, ``<root>/<folder>/<session_id>.jsonl``, in order of ``seq``.
+
+    Lines stream through the tasks, so a file may be of any length. ``append`` puts them behind what a file holds."""
+    base = root.rstrip("/")
+    base = base if base.startswith("file:") or "://" in base else f"file:{base}"
+
+    def write(frames):
+        import pandas as pd
+
+        place, out = None, None
+        for frame in frames:
+            for folder, session, line in zip(frame["folder"], frame["session_id"], frame["line"], strict=True):
+                if (folder, session) != place:
+                    if out is not None:
+                        out.close()
+                    place = (folder, session)
+                    system, path = locate(f"{base}/{folder}/{session}.jsonl")
+                    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    out = system.open_append_stream(path) if append else system.open_output_stream(path)
+                out.write((line + "\n").encode())
+        if out is not None:
+            out.close()
+        yield pd.DataFrame({"done": [1]})
+
+    ordered = lines.repartition("folder", "session_id").sortWithinPartitions("folder", "session_id", "seq")
+    ordered.select("folder", "session_id", "line").mapInPandas(write, "done int").count()
+
+
+def delete_transcripts(files: DataFrame, root: str) -> None:
+    """Delete the files of ``(session_id, folder)`` below ``root``; those that are not there are passed over."""
+    base = root.rstrip("/")
+    base = base if base.startswith("file:") or "://" in base else f"file:{base}"
+
+    def remove(frames):
+        from pyarrow import fs
+
+        for frame in frames:
+            for folder, session in zip(frame["folder"], frame["session_id"], strict=True):
+                system, path = locate(f"{base}/{folder}/{session}.jsonl")
+                if system.get_file_info(path).type != fs.FileType.NotFound:
+                    system.delete_file(path)
+            yield frame.iloc[:0][["session_id"]]
+
+    files.select("session_id", "folder").mapInPandas(remove, "session_id string").count()
+
+
 def newest_first(files: DataFrame) -> DataFrame:
     return files.orderBy(F.col("mtime").desc(), F.col("file_path"))
 
