@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sessionlens import constants as K
 from sessionlens.functions import text as X
 from sessionlens.operators import chunks as C, index as I, merge as M, sessions as S
-from sessionlens.session import stage, staging
+from sessionlens.session import delete, stage, staging
 from sessionlens.sources import sinks, transcripts as R
 
 _PLACE = "struct<seq:bigint,cwd:string,branch:string>"
@@ -250,11 +250,11 @@ class SessionIndex:
         changes = self._vocabulary(changes.select("token", "df", letter))
         for table, rows in (("sessions", fresh), ("chunks", new_chunks), ("postings", postings), ("vocabulary", changes)):
             tables[table] += self.tables.write(table, rows, number, number, LAYOUT[table])
-        self.tables.commit(base, now, *self._merge(tables, totals, number))
+        self.tables.commit(base, now, *self._merge(base, tables, totals, number))
 
-    def _merge(self, tables: dict[str, list[dict]], totals: dict, number: int) -> tuple[dict, dict]:
+    def _merge(self, base: dict, tables: dict[str, list[dict]], totals: dict, number: int) -> tuple[dict, dict]:
         """Merge small segments, or all of them where too much no longer counts, and drop deaths that nothing stored can meet."""
-        tables = dict(tables)
+        written, tables = tables, dict(tables)
         # The pass's own deaths count here, before they are current.
         deaths = self._deaths({"tables": tables})
         whole = totals["dead"] > self.most_dead * max(1, totals["chunks"])
@@ -277,7 +277,12 @@ class SessionIndex:
             rows = self.tables.read("deaths", DEATH_SCHEMA, chosen).groupBy("session_id", "kind").agg(F.max("died").alias("died"))
             merged = self.tables.write("deaths", rows.coalesce(1), max(int(s["pass"][:12]) for s in chosen), number, [])
             deaths_left = [s for s in deaths_left if s not in chosen] + merged
+        # What this pass wrote and has merged already was never current.
         tables["deaths"] = deaths_left
+        for table, segments in written.items():
+            for s in segments:
+                if s not in tables[table] and s not in base["tables"].get(table, []):
+                    delete(self.spark, f"{self.path}/{table}/pass={s['pass']}")
         return tables, totals
 
     def compact(self, now, attempts: int = 5) -> bool:
@@ -287,7 +292,7 @@ class SessionIndex:
                 return False
             most, self.most_dead = self.most_dead, -1.0
             try:
-                self.tables.commit(base, str(now), *self._merge({t: base["tables"].get(t, []) for t in SCHEMAS}, base["totals"], base["number"]))
+                self.tables.commit(base, str(now), *self._merge(base, {t: base["tables"].get(t, []) for t in SCHEMAS}, base["totals"], base["number"]))
             finally:
                 self.most_dead = most
             return True

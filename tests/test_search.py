@@ -135,7 +135,7 @@ def test_a_written_index_answers_the_same(spark, corpus, tmp_path):
     terms = spark.createDataFrame([("varn", ["varn"]), ("the ladder", ["the", "ladder"])], "term string, tokens array<string>")
     both = [sorted(map(tuple, I.term_hits(terms, ix).collect())) for ix in (index, stored)]
     assert both[0] == both[1] and both[0]
-    plan = I.lookup(terms.select("term", F.col("term").alias("token")), stored.postings)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    plan = I.lookup(terms.select("term", F.col("term").alias("token")), stored)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
     assert "dynamicpruning" in plan
 
 
