@@ -121,18 +121,19 @@ class SessionIndex:
             "plan": F.when(rewritten, F.lit("full")).otherwise(F.col("plan")),
         })
 
-    def reconcile(self, root: str, now, forced: bool = False, owner=None, attempts: int = 5) -> DataFrame:
+    def reconcile(self, root: str, now, forced: bool = False, owner=None, attempts: int = 5, only: DataFrame | None = None) -> DataFrame:
         """Bring the tables in line with ``root``; returns the tally row.
 
         ``now`` is the completion time to record, ``owner`` an optional column over ``file_path``. A file that cannot be read, or
         that goes while the pass runs, stays as it is stored and is tried again by the next pass. If another pass comes first, this
-        one starts anew from what that one has left, at most ``attempts`` times.
+        one starts anew from what that one has left, at most ``attempts`` times. ``only`` names the sessions (session_id) to look at;
+        whatever else has changed waits for a later pass.
         """
-        return M.reconcile_tally(self.outcomes(root, now, forced, owner, attempts))
+        return M.reconcile_tally(self.outcomes(root, now, forced, owner, attempts, only))
 
-    def outcomes(self, root: str, now, forced: bool = False, owner=None, attempts: int = 5) -> DataFrame:
+    def outcomes(self, root: str, now, forced: bool = False, owner=None, attempts: int = 5, only: DataFrame | None = None) -> DataFrame:
         """A pass as :meth:`reconcile` makes it; returns what became of every file instead of the counts."""
-        return self._retried(lambda base: stage(self._pass(root, now, forced, owner, base), "outcomes", outer=True), attempts)
+        return self._retried(lambda base: stage(self._pass(root, now, forced, owner, base, only), "outcomes", outer=True), attempts)
 
     def _retried(self, work, attempts: int):
         for attempt in range(attempts):
@@ -143,8 +144,14 @@ class SessionIndex:
                 if attempt + 1 == attempts:
                     raise
 
-    def _pass(self, root: str, now, forced: bool, owner, base: dict) -> DataFrame:
-        plan = stage(self.plan(root, forced, base), "plan")
+    def _pass(self, root: str, now, forced: bool, owner, base: dict, only: DataFrame | None) -> DataFrame:
+        plan = self.plan(root, forced, base)
+        if only is not None:
+            plan = plan.join(only.select("session_id", F.lit(True).alias("_asked")).distinct(), "session_id", "left")
+            # A file that is new and not asked for is as if it were not there.
+            plan = plan.where(F.col("_asked") | (F.coalesce("reason", F.lit("")) != "never_indexed"))
+            plan = plan.withColumns({"plan": F.when(F.col("_asked"), F.col("plan")).otherwise(F.lit("skip")), "reason": F.when(F.col("_asked"), F.col("reason"))}).drop("_asked")
+        plan = stage(plan, "plan")
         todo = plan.where(F.col("plan").isin("full", "resume") & F.coalesce("readable", F.lit(True)))
         todo = stage(todo.withColumn("line_count", F.when(F.col("plan") == "resume", F.coalesce("stored_lines", F.lit(0))).otherwise(F.lit(0))), "todo")
         if plan.where(F.col("plan") == "prune").isEmpty() and todo.isEmpty():

@@ -1,15 +1,13 @@
 """Change coalescing per key: debounce (quiet or waiting too long) and leading-edge throttle.
 
-The batch forms work in two steps. Events are first cut at quiet gaps: a cut is final whatever came
-before it. Keys are split by time cell for that step, so a hot key is many small groups. Only the
-unbroken bursts are then folded in order, each on its own, as a stream of Arrow batches.
+Both are batch forms over whole tables, and no step sees more of a key than a stretch of time: a hot key's one endless burst is many small
+groups. Events are first cut at quiet gaps, which are final whatever came before. Within a burst the next hand-over follows from the last one
+alone: it is the first event some time after it. So every event gets its successor (from its own time cell and the rim of the next), and
+the ones that are reached from the burst's first event are found by pointer doubling, in as many rounds as the logarithm of the hand-overs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sessionlens import constants as K
@@ -41,6 +39,36 @@ def bursts(events: DataFrame, gap_micros: int, cell_micros: int | None = None) -
     return rows.withColumn("inner", so_far).join(linked, ["key", "cell"]).select("key", "at", F.coalesce("inner", "head").alias("burst"))
 
 
+def successors(events: DataFrame, delay: int, gap: int) -> DataFrame:
+    """``(key, burst, at)`` with ``next``, the burst's first event at least ``delay`` after it (null without one).
+
+    No gap within a burst is longer than ``gap``, so the next event is at most ``delay + gap`` away, and a cell of four times that needs
+    the rim of the cell behind it only."""
+    reach = delay + gap
+    cell = F.floor(F.col("at") / F.lit(4 * reach))
+    own = events.select("key", "burst", "at", cell.alias("cell"))
+    rim = own.where(F.col("at") < F.col("cell") * F.lit(4 * reach) + F.lit(reach + 1)).withColumn("cell", F.col("cell") - 1)
+    seen = own.unionByName(rim).select("key", "burst", "cell", F.col("at").alias("place"), F.lit(False).alias("asks"), F.col("at").alias("event"))
+    asks = own.select("key", "burst", "cell", (F.col("at") + delay).alias("place"), F.lit(True).alias("asks"), F.lit(None).cast("bigint").alias("event"))
+    # From the end back, the last event that was met is the first one at or behind a place: one running value, whatever the cell holds.
+    back = W.partitionBy("key", "burst", "cell").orderBy(F.col("place").desc(), "asks").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = seen.unionByName(asks).withColumn("next", F.last("event", ignorenulls=True).over(back)).where("asks")
+    return met.select("key", "burst", (F.col("place") - delay).alias("at"), "next")
+
+
+def reached(starts: DataFrame, hops: DataFrame) -> DataFrame:
+    """``(key, at)`` of all events that following ``hops`` (key, at, next) leads to from ``starts``, these included.
+
+    Round k adds what is 2**k hops further, and doubles the hops; it ends when no chain is that long."""
+    found = stage(starts.select("key", "at"), "reached")
+    hops = stage(hops.where("next is not null").select("key", "at", "next"), "hops")
+    while hops.limit(1).count():
+        found = stage(found.unionByName(found.join(hops, ["key", "at"]).select("key", F.col("next").alias("at"))), "reached")
+        further = hops.select("key", F.col("at").alias("next"), F.col("next").alias("further"))
+        hops = stage(hops.join(further, ["key", "next"]).select("key", "at", F.col("further").alias("next")), "hops")
+    return found
+
+
 def debounce(events: DataFrame, settle_seconds: float = K.SETTLE_SECONDS, max_wait_seconds: float = K.MAX_WAIT_SECONDS) -> DataFrame:
     """``(key, ts)`` changes to the moments each key is handed over.
 
@@ -52,24 +80,17 @@ def debounce(events: DataFrame, settle_seconds: float = K.SETTLE_SECONDS, max_wa
     spans = cut.groupBy("key", "burst").agg(F.max("at").alias("last"), F.count("*").alias("changes"))
     short = spans.where(F.col("last") - F.col("burst") <= longest).select(
         "key", F.col("burst").alias("first"), "last", "changes")
-    # Bursts that fit into one wait are done; only longer ones need the fold.
-    long = cut.join(spans.where(F.col("last") - F.col("burst") > longest).select("key", "burst"), ["key", "burst"])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = first = last = None
-        changes = 0
-        for batch in batches:
-            done = []
-            for key, burst, at in zip(batch["key"], batch["burst"], batch["at"]):
-                if first is not None and ((key, burst) != place or at - first > longest):
-                    done.append((place[0], first, last, changes))
-                    first, changes = None, 0
-                place, first, last, changes = (key, burst), (at if first is None else first), at, changes + 1
-            yield pd.DataFrame(done, columns=["key", "first", "last", "changes"])
-        if first is not None:
-            yield pd.DataFrame([(place[0], first, last, changes)], columns=["key", "first", "last", "changes"])
-
-    folded = _fold(long, fold, "key string, first bigint, last bigint, changes bigint")
+    # Bursts that fit into one wait are done; only longer ones are handed over in between.
+    heads = spans.where(F.col("last") - F.col("burst") > longest).select("key", "burst")
+    long = stage(cut.join(heads, ["key", "burst"]), "long-bursts")
+    firsts = reached(heads.select("key", F.col("burst").alias("at")), successors(long, longest + 1, settle))
+    # First events lie more than ``longest`` apart, so a cell of that width holds one at most, and an event's own is in its cell or the one before.
+    cell = lambda c: F.floor(F.col(c) / F.lit(longest + 1))
+    first = lambda name: firsts.select("key", F.col("at").alias(name), cell("at").alias("cell"))
+    placed = long.select("key", "at", cell("at").alias("cell")).join(first("here"), ["key", "cell"], "left")
+    placed = placed.join(first("before").withColumn("cell", F.col("cell") + 1), ["key", "cell"], "left")
+    own = F.when(F.col("here") <= F.col("at"), F.col("here")).otherwise(F.col("before"))
+    folded = placed.groupBy("key", own.alias("first")).agg(F.max("at").alias("last"), F.count("*").alias("changes"))
     handed = F.least(F.col("last") + settle, F.col("first") + longest)
     return short.unionByName(folded).select(
         "key", F.timestamp_micros("first").alias("first_seen"), F.timestamp_micros("last").alias("last_seen"),
@@ -82,26 +103,6 @@ def throttle(events: DataFrame, interval_seconds: float) -> DataFrame:
     # A gap of a whole interval always lets the next event pass.
     cut = stage(bursts(events, interval - 1), "bursts")
     spans = cut.groupBy("key", "burst").agg(F.max("at").alias("last"))
-    lead = spans.select("key", F.col("burst").alias("at"))
     long = cut.join(spans.where(F.col("last") - F.col("burst") >= interval).select("key", "burst"), ["key", "burst"])
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = passed = None
-        for batch in batches:
-            kept = []
-            for key, burst, at in zip(batch["key"], batch["burst"], batch["at"]):
-                if (key, burst) != place:
-                    place, passed = (key, burst), at  # a burst's first event is reported without the fold
-                elif at - passed >= interval:
-                    passed = at
-                    kept.append((key, at))
-            yield pd.DataFrame(kept, columns=["key", "at"])
-
-    folded = _fold(long, fold, "key string, at bigint")
-    return lead.unionByName(folded).select("key", F.timestamp_micros("at").alias("ts"))
-
-
-def _fold(long: DataFrame, fold, schema: str) -> DataFrame:
-    """Run ``fold`` over whole bursts, each in order; a partition holds many bursts."""
-    ordered = long.repartition("key", "burst").sortWithinPartitions("key", "burst", "at")
-    return ordered.select("key", "burst", "at").mapInPandas(fold, schema)
+    passed = reached(spans.select("key", F.col("burst").alias("at")), successors(long, interval, interval - 1))
+    return passed.select("key", F.timestamp_micros("at").alias("ts"))

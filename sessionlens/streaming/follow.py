@@ -12,10 +12,11 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from sessionlens import constants as K
 from sessionlens.operators import sessions as S
 from sessionlens.operators.merge import merge_states
 from sessionlens.plans.reconcile import SessionIndex
-from sessionlens.session import stage, staging
+from sessionlens.session import delete, stage, staging
 from sessionlens.sources import sinks
 
 
@@ -57,6 +58,19 @@ def follow_segments(records: DataFrame, path: str, checkpoint: str, buckets: int
     )
 
 
+def follow_index(records: DataFrame, index: SessionIndex, now, checkpoint: str, owner=None, **trigger) -> StreamingQuery:
+    """Append a stream of records to an index: sessions, chunks, postings and vocabulary of a batch become current together, so what
+    was said can be found. A batch that comes again, also under a new checkpoint, changes nothing. ``now`` is called for each batch."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        index.add_records(batch, now(), owner)
+
+    return (
+        records.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
 def running_sessions(records: DataFrame, late: str | None = None) -> DataFrame:
     """Streaming session state: bounds, counts and latest titles, for update mode.
 
@@ -86,15 +100,48 @@ def latest_updates(spark: SparkSession, path: str, key: str = "session_id") -> D
     return rows.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") == 1).drop("_n", "batch")
 
 
-def follow_folder(index: SessionIndex, root: str, now, every_seconds: float = 0.5, passes: int | None = None) -> None:
+def pending_changes(changed: DataFrame, before: DataFrame | None, at: float) -> DataFrame:
+    """``session_id, size, mtime, first_seen, last_seen`` of files that wait to be read, one look after another.
+
+    ``changed`` are the files (session_id, size, mtime) that differ from what is stored now, ``before`` what waited at the last look."""
+    rows = changed.select("session_id", "size", "mtime")
+    if before is None:
+        return rows.withColumns({"first_seen": F.lit(at), "last_seen": F.lit(at)})
+    old = before.select("session_id", F.col("size").alias("_size"), F.col("mtime").alias("_mtime"), "first_seen", "last_seen")
+    same = F.col("size").eqNullSafe(F.col("_size")) & F.col("mtime").eqNullSafe(F.col("_mtime")) & F.col("last_seen").isNotNull()
+    return rows.join(old, "session_id", "left").select(
+        "session_id", "size", "mtime", F.coalesce("first_seen", F.lit(at)).alias("first_seen"), F.when(same, F.col("last_seen")).otherwise(F.lit(at)).alias("last_seen"))
+
+
+def follow_folder(
+    index: SessionIndex, root: str, now, every_seconds: float = 0.5, passes: int | None = None,
+    settle_seconds: float | None = None, max_wait_seconds: float = K.MAX_WAIT_SECONDS, clock=time.time,
+) -> None:
     """Repeat passes over a folder of growing files. Each pass diffs the snapshot, so lost change
     notices cannot be missed, and passes are incremental.
 
-    ``now`` is called for the completion time of each pass.
+    ``now`` is called for the completion time of each pass. With ``settle_seconds`` a changed file is read once it was quiet for longer
+    than that or has waited longer than ``max_wait_seconds``, by the rules of :func:`changes.debounce`; passes without a ready file write nothing.
     """
-    done = 0
+    done, waiting, looks = 0, None, []
     while passes is None or done < passes:
-        index.reconcile(root, now())
+        if settle_seconds is None:
+            index.reconcile(root, now())
+        else:
+            at = clock()
+            with staging(index.spark):
+                changed = index.plan(root).where(F.col("plan") != "skip")
+                waiting = stage(pending_changes(changed, waiting, at), "waiting", outer=True)
+            looks.append(waiting)
+            is_ready = (F.lit(at) - F.col("last_seen") > settle_seconds) | (F.lit(at) - F.col("first_seen") > max_wait_seconds)
+            ready = waiting.where(is_ready)
+            if not ready.isEmpty():
+                index.reconcile(root, now(), only=ready)
+            # Of the looks before only the last one is read again.
+            for old in looks[:-1]:
+                for path in {f.rsplit("/", 1)[0] for f in old.inputFiles()[:1]}:
+                    delete(index.spark, path)
+            del looks[:-1]
         done += 1
         if passes is None or done < passes:
             time.sleep(every_seconds)

@@ -69,6 +69,21 @@ def test_throttle_matches_a_walk(spark, events):
     assert {k: sorted(v) for k, v in got.items()} == {k: passed(v, 5000) for k, v in events.items()}
 
 
+def test_one_endless_burst_needs_no_python_and_no_task_of_its_own(spark):
+    rng, at, instants = random.Random(8), 1_700_000_000_000, []
+    for _ in range(6000):
+        at += rng.randint(1, 1900)
+        instants.append(at)
+    rows = frame(spark, {"hot": instants, "cold": instants[:3]})
+    got = changes.debounce(rows, 2, 20)
+    assert sorted((ms(r.first_seen), ms(r.last_seen), r.changes) for r in got.where("key = 'hot'").collect()) == walk(instants, 2000, 20000)
+    assert sorted(ms(r.ts) for r in changes.throttle(rows, 5).where("key = 'hot'").collect()) == passed(instants, 5000)
+    cut = changes.bursts(rows, 2_000_000)
+    assert cut.select("key", "burst").distinct().count() == 2
+    plan = changes.successors(cut, 20_000_001, 2_000_000)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "hashpartitioning(key" in plan and "cell" in plan
+
+
 def test_bursts_do_not_depend_on_cells(spark, events):
     rows = frame(spark, events)
     small = {tuple(r) for r in changes.bursts(rows, 2_000_000, 3_000_000).collect()}
@@ -150,3 +165,49 @@ def test_following_a_folder(spark, tmp_path):
     t.write(logs, 2, t.lines(t.user("other", 0, root=True)))
     follow.follow_folder(index, str(logs), lambda: "2026-03-03 00:00:00", every_seconds=0, passes=1)
     assert {r.session_id: r.message_count for r in index.sessions().collect()} == {t.session_id(1): 2, t.session_id(2): 1}
+
+
+def test_changed_files_wait_until_they_are_quiet(spark, tmp_path):
+    logs, index = tmp_path / "logs", SessionIndex(spark, str(tmp_path / "index"), buckets=2)
+    clock = iter([0, 1, 4, 5, 8])
+    look = lambda: follow.follow_folder(index, str(logs), lambda: "2026-03-03 00:00:00", 0, 1, 2.0, 20.0, clock.__next__)
+    t.write(logs, 1, t.lines(t.user("hello", 0, root=True)))
+    waiting = follow.pending_changes(index.plan(str(logs)), None, 0.0)
+    again = follow.pending_changes(index.plan(str(logs)), waiting, 3.0).first()
+    assert (again.first_seen, again.last_seen) == (0.0, 0.0)
+    t.write(logs, 1, t.lines(t.user("more", 1)), append=True)
+    grown = follow.pending_changes(index.plan(str(logs)), waiting, 5.0).first()
+    assert (grown.first_seen, grown.last_seen) == (0.0, 5.0)
+    follow.follow_folder(index, str(logs), lambda: "2026-03-03 00:00:00", 0, 2, 2.0, 20.0, clock.__next__)
+    assert index.version()["number"] == 0
+    look()
+    assert index.version()["number"] == 0
+    # Looks that follow each other in one call remember what they saw.
+    times = iter([10, 13])
+    follow.follow_folder(index, str(logs), lambda: "2026-03-03 00:00:00", 0, 2, 2.0, 20.0, times.__next__)
+    assert {r.session_id: r.message_count for r in index.sessions().collect()} == {t.session_id(1): 2}
+    # A file that is not ready is left out of the pass of one that is.
+    t.write(logs, 2, t.lines(t.user("other", 0, root=True)))
+    t.write(logs, 3, t.lines(t.user("third", 0, root=True)))
+    only = spark.createDataFrame([(t.session_id(3),)], "session_id string")
+    assert index.reconcile(str(logs), "2026-03-03 00:00:00", only=only).first().indexed == 1
+    assert {r.session_id for r in index.sessions().collect()} == {t.session_id(1), t.session_id(3)}
+
+
+def test_streamed_segments_can_be_searched(spark, tmp_path):
+    from sessionlens.operators import search as SR
+
+    logs, index = tmp_path / "logs", SessionIndex(spark, str(tmp_path / "index"), buckets=2)
+    t.write(logs, 1, t.lines(*[t.user(f"question {i}", i, root=i == 0) for i in range(4)], t.title("ai-title", "Streamed")))
+    records = R.read_records(spark, f"{logs}/*/*.jsonl").drop("byte_start", "parse_offset", "file_size", "n_bytes")
+    (tmp_path / "segments").mkdir()
+    for i in range(2):
+        records.where((F.col("seq") > 2 * i) & (F.col("seq") <= 2 * i + 3)).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        next((tmp_path / "in" / str(i)).glob("*.parquet")).rename(tmp_path / "segments" / f"{i}.parquet")
+    stream = lambda: spark.readStream.schema(records.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/segments")
+    for checkpoint in ("a", "b"):
+        follow.follow_index(stream(), index, lambda: "2026-03-03 00:00:00", f"{tmp_path}/{checkpoint}").awaitTermination()
+        queries = spark.createDataFrame([(1, "question streamed")], "query_id int, text string")
+        found = SR.search(queries, index.search_index(), index.sessions(), index.chunks(), F.lit("2026-03-03").cast("timestamp")).collect()
+        assert [r.session_id for r in found] == [t.session_id(1)]
+        assert index.chunks().where("kind = 4").count() == 4 and index.sessions().first().message_count == 4
