@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from sessionlens import constants as K
 from sessionlens.functions import text as X, time as T
 
-MAX_SCAN_DAYS = 3650
 SESSION = ("owner", "session_id")
 PROJECT_DAY = ("owner", "day", "project_key")
 
@@ -68,21 +67,26 @@ def adjacent_days(days: DataFrame) -> DataFrame:
     return days.select("owner", "day", F.lag("day").over(order).alias("previous_day"), F.lead("day").over(order).alias("next_day"))
 
 
-def focus_days(days: DataFrame, requests: DataFrame) -> DataFrame:
+def _within(day: Column, end: Column, scan_days: int | None) -> Column:
+    """Whether a day is one of the ``scan_days`` that end with ``end``; without a number all are."""
+    return F.lit(True) if scan_days is None else day >= F.date_sub(end, scan_days - 1)
+
+
+def focus_days(days: DataFrame, requests: DataFrame, scan_days: int | None = None) -> DataFrame:
     """``(owner, today, requested NULL)`` to the day to report and its neighbours.
 
     A requested day is reported even when nothing happened on it; otherwise the latest active day
-    before today is taken.
+    before today is taken. ``scan_days`` is how far back a day is looked for, without limit by default.
     """
     near = days.join(requests, "owner", "right")
-    recent = (F.col("day") < F.col("today")) & (F.col("day") >= F.date_sub("today", MAX_SCAN_DAYS))
+    recent = (F.col("day") < F.col("today")) & _within(F.col("day"), F.date_sub("today", 1), scan_days)
     chosen = near.groupBy("owner", "today", "requested").agg(F.max(F.when(recent, F.col("day"))).alias("latest"))
     focus = chosen.select("owner", "today", F.coalesce("requested", "latest").alias("focus")).where(F.col("focus").isNotNull())
     day = F.col("day")
     return (
         focus.join(days, "owner", "left").groupBy("owner", "today", "focus")
         .agg(
-            F.max(F.when((day < F.col("focus")) & (day >= F.date_sub("focus", MAX_SCAN_DAYS - 1)), day)).alias("previous_day"),
+            F.max(F.when((day < F.col("focus")) & _within(day, F.col("focus"), scan_days), day)).alias("previous_day"),
             F.min(F.when((day > F.col("focus")) & (day <= F.col("today")), day)).alias("next_day"),
             F.coalesce(F.bool_or(day == F.col("focus")), F.lit(False)).alias("is_active"),
         )
@@ -94,7 +98,7 @@ def every_active_day(days: DataFrame) -> DataFrame:
     return days.select("owner", F.date_add("day", 1).alias("today"), F.col("day").alias("focus"))
 
 
-def recap_frames(days: DataFrame, focus: DataFrame, lookback: int = K.LOOKBACK_DAYS) -> DataFrame:
+def recap_frames(days: DataFrame, focus: DataFrame, lookback: int = K.LOOKBACK_DAYS, scan_days: int | None = None) -> DataFrame:
     """``(owner, today, focus, day, age)``: the focus day (age 0) and the ``lookback`` active days before it.
 
     Active days are numbered per owner, so a focus day finds the days before it by number.
@@ -113,7 +117,7 @@ def recap_frames(days: DataFrame, focus: DataFrame, lookback: int = K.LOOKBACK_D
     wanted = placed.select("owner", "today", "focus", "upto", F.explode(F.sequence(F.greatest(F.col("upto") - lookback + 1, F.lit(1)), F.greatest(F.col("upto"), F.lit(1)))).alias("n"))
     earlier = (
         wanted.where((F.col("n") <= F.col("upto")) & (F.lit(lookback) > 0)).join(numbered, ["owner", "n"])
-        .where(F.col("day") >= F.date_sub("focus", MAX_SCAN_DAYS - 1))
+        .where(_within(F.col("day"), F.col("focus"), scan_days))
         .select("owner", "today", "focus", "day", (F.col("upto") - F.col("n") + 1).alias("age"))
     )
     own = focus.select("owner", "today", "focus", F.col("focus").alias("day"), F.lit(0).alias("age"))

@@ -44,19 +44,24 @@ def asks(session, day, start, n, text="water row {}"):
     return [(session, at(day, f"{hour:02d}:{minute + i:02d}"), 4, text.format(i)) for i in range(n)]
 
 
-WEEK = (
-    asks("s1", "10-02", "08:20", 9) + [("s1", at("10-02", "16:15"), 5, "Valves close in time.")]
-    + asks("s2", "10-02", "13:30", 6) + asks("s3", "10-02", "12:00", 1, "Which hose?") + asks("s4", "10-01", "09:00", 3)
+# Five people's worth of questions on three days: a harbour and its tide tables, told on a Wednesday.
+TOLD = dt.date(2026, 6, 17)
+SAID = (
+    asks("berths", "06-16", "10:05", 4, "berth {} is taken") + asks("crane", "06-16", "14:00", 1, "Which crane lifts most?") + asks("fuel", "06-16", "14:30", 2, "fuel price {}")
+    + asks("tables", "06-16", "18:40", 5, "tide of month {}") + [("tables", at("06-16", "18:50"), 5, "All twelve months are read.")]
+    + asks("moon", "06-14", "09:00", 2, "moon phase {}") + asks("fees", "06-12", "11:00", 3, "fee of metre {}")
 )
-SESSIONS = [("s1", "Valve timing", "D:\\farm\\orchard", "wip/valves"), ("s2", "Pump alarms", "D:\\farm\\orchard\\pumps", "HEAD"), ("s3", "Which hose?", "d:\\farm\\orchard", None), ("s4", "Frost alerts", "D:\\farm\\orchard", "main")]
-COMMITS = [("D:\\farm\\orchard", "b7e20f4", "Time valves by soil moisture", at("10-02", "14:10")), ("D:\\farm\\orchard", "0c9d6aa", "Warn before frost", at("10-01", "11:45"))]
+SESSIONS = [("berths", "Berth plan", "/srv/harbour", "berths"), ("crane", "Which crane?", "/srv/harbour/", None), ("fuel", "Fuel?", "/srv/harbour", None),
+            ("tables", "Tide tables", "/srv/tides", "main"), ("moon", "Moon?", "/srv/tides", "main"), ("fees", "Mooring fees", "/srv/harbour", "HEAD")]
+COMMITS = [("/srv/tides", "a1c4e77", "Read tables by month", at("06-16", "19:00")), ("/srv/tides", "b93d020", "Drop the old almanac", at("06-16", "19:30")),
+           ("/srv/harbour", "77f0b1d", "Charge per metre", at("06-12", "12:00"))]
 
 
 @pytest.fixture(scope="module")
 def week(spark):
-    cleaned, recaps, projects, commits = build(spark, WEEK, SESSIONS, COMMITS, ["D:\\farm\\orchard"])
+    cleaned, recaps, projects, commits = build(spark, SAID, SESSIONS, COMMITS, ["/srv/harbour", "/srv/tides"])
     days = R.active_days(cleaned)
-    focus = R.focus_days(days, request(spark))
+    focus = R.focus_days(days, request(spark, today=TOLD))
     frames = R.recap_frames(days, focus.select("owner", "today", "focus"))
     return days, focus, frames, recaps, projects, commits
 
@@ -65,55 +70,49 @@ def text(lines):
     return RT.assemble(lines).first().text
 
 
-def test_monday_reports_friday(week):
+def test_the_latest_day_before_today_is_told(week):
     row = week[1].first()
-    assert str(row.focus) == "2026-10-02" and str(row.previous_day) == "2026-10-01" and row.next_day is None and row.is_active
+    assert (str(row.focus), str(row.previous_day), row.next_day, row.is_active) == ("2026-06-16", "2026-06-14", None, True)
 
 
-def test_day_text(week):
+def test_a_day_with_two_projects(week):
     _, _, frames, recaps, projects, commits = week
-    assert text(RT.day_lines(frames, recaps, projects, commits, CALENDAR)) == (
-        "**Fri, Oct 2**\n"
-        "- **orchard** · `wip/valves` · 3 sessions · 08:20–16:15\n"
-        "  - Valve timing (9 prompts)\n"
-        "  - Pump alarms (6 prompts)\n"
-        "  - _plus 1 quick question_\n"
-        "  - Commits:\n"
-        "    - `b7e20f4` Time valves by soil moisture\n"
-        "\n"
-        "**Earlier**\n"
-        "- **Thu, Oct 1**\n"
-        "  - orchard: Frost alerts · 1 commit\n")
-
-
-def test_plain_and_slack(week):
+    today, earlier = text(RT.day_lines(frames, recaps, projects, commits, CALENDAR)).split("\n\n")
+    harbour, tides = today.split("\n- ")[1:]
+    assert today.startswith("**Yesterday (Tue, Jun 16)**\n")
+    assert harbour.splitlines() == ["**harbour** · `berths` · 3 sessions · 10:05–14:31", "  - Berth plan (4 prompts)", "  - _plus 2 quick questions_"]
+    assert tides.splitlines() == ["**tides** · `main` · 1 session · 18:40–18:50", "  - Tide tables (5 prompts)", "  - Commits:",
+                                  "    - `a1c4e77` Read tables by month", "    - `b93d020` Drop the old almanac"]
+    # A day of quick questions only, and one with a commit.
+    assert earlier.splitlines() == ["**Earlier**", "- **Sun, Jun 14**", "  - tides: 1 quick question", "- **Fri, Jun 12**", "  - harbour: Mooring fees · 1 commit"]
+
+
+def test_a_week_of_three_days(week):
     _, _, frames, recaps, projects, commits = week
-    plain = text(RT.day_lines(frames, recaps, projects, commits, CALENDAR, "plain"))
-    assert plain.startswith("Fri, Oct 2\n- orchard · wip/valves · 3 sessions") and "*" not in plain and "`" not in plain
-    slack = text(RT.day_lines(frames, recaps, projects, commits, CALENDAR, "slack", with_prompts=True))
-    assert "\n    ◦ Valve timing (9 prompts)\n        ▪ \"water row 0\"\n" in slack or "\n        ▪ \"water row 8\"\n" in slack
+    lines = text(RT.week_lines(frames, R.week_rollup(frames, projects), recaps, projects, commits)).splitlines()
+    assert lines[0] == "**Week of Fri, Jun 12 – Tue, Jun 16**"
+    second = lines.index("- **tides** · `main` · 2 sessions over 2 days · 2 commits")
+    assert lines[1:second] == ["- **harbour** · `berths` · 4 sessions over 2 days · 1 commit", "  - Tue, Jun 16: Berth plan", "  - Fri, Jun 12: Mooring fees",
+                               "  - _plus 2 quick questions_", "  - Commits:", "    - `77f0b1d` Charge per metre"]
+    assert lines[second + 1 : second + 3] == ["  - Tue, Jun 16: Tide tables", "  - _plus 1 quick question_"] and len(lines) == second + 6
 
 
-def test_week_text(week):
+def test_other_marks(week):
     _, _, frames, recaps, projects, commits = week
-    rollup = R.week_rollup(frames, projects)
-    assert text(RT.week_lines(frames, rollup, recaps, projects, commits)) == (
-        "**Week of Thu, Oct 1 – Fri, Oct 2**\n"
-        "- **orchard** · `wip/valves`, `main` · 4 sessions over 2 days · 2 commits\n"
-        "  - Fri, Oct 2: Valve timing; Pump alarms\n"
-        "  - Thu, Oct 1: Frost alerts\n"
-        "  - _plus 1 quick question_\n"
-        "  - Commits:\n"
-        "    - `b7e20f4` Time valves by soil moisture\n"
-        "    - `0c9d6aa` Warn before frost\n")
-
-
-def test_summary_and_headings(week):
+    plain = text(RT.day_lines(frames, recaps, projects, commits, CALENDAR, "plain")).splitlines()
+    assert plain[0] == "Yesterday (Tue, Jun 16)" and not any(mark in line for line in plain for mark in "*`_")
+    slack = text(RT.day_lines(frames, recaps, projects, commits, CALENDAR, "slack", with_prompts=True)).splitlines()
+    at_title = slack.index("    ◦ Berth plan (4 prompts)")
+    assert slack[at_title + 1 : at_title + 4] == [f'        ▪ "berth {i} is taken"' for i in range(3)]
+
+
+def test_summary_input_and_headings(week):
     _, _, frames, recaps, projects, commits = week
-    prompt = text(RT.summary_lines(frames, recaps, projects, commits, CALENDAR))
-    assert "## Journal: Fri, Oct 2\n### orchard on wip/valves\n" in prompt and "  < Valves close in time.\n" in prompt
+    lines = text(RT.summary_lines(frames, recaps, projects, commits, CALENDAR)).splitlines()
+    assert "### tides on main" in lines and "  < All twelve months are read." in lines and "2 brief exchanges left out" in lines
+    assert lines.index("## Before: Fri, Jun 12") < lines.index("## Before: Sun, Jun 14") < lines.index("## Journal: Yesterday (Tue, Jun 16)")
     row = R.headings(frames, projects).first()
-    assert row.focus_heading == "3 days ago · 3 sessions · 1 commit" and row.week_heading == "2 active days · 4 sessions · 2 commits"
+    assert (row.focus_heading, row.week_heading) == ("Yesterday · 4 sessions · 2 commits", "3 active days · 6 sessions · 3 commits")
 
 
 def test_lines_sink(spark, week, tmp_path):
@@ -126,11 +125,11 @@ def test_lines_sink(spark, week, tmp_path):
 
 def test_a_requested_empty_day(spark, week):
     days, _, _, recaps, projects, commits = week
-    focus = R.focus_days(days, request(spark, dt.date(2026, 10, 3)))
+    focus = R.focus_days(days, request(spark, dt.date(2026, 6, 15), TOLD))
     row = focus.first()
-    assert str(row.focus) == "2026-10-03" and not row.is_active and str(row.previous_day) == "2026-10-02"
+    assert (str(row.focus), row.is_active, str(row.previous_day), str(row.next_day)) == ("2026-06-15", False, "2026-06-14", "2026-06-16")
     frames = R.recap_frames(days, focus.select("owner", "today", "focus"), 1)
-    assert text(RT.day_lines(frames, recaps, projects, commits, CALENDAR)).startswith("**Sat, Oct 3**\n_No activity on this day._\n\n**Earlier**\n- **Fri, Oct 2**\n")
+    assert text(RT.day_lines(frames, recaps, projects, commits, CALENDAR)).startswith("**Mon, Jun 15**\n_No activity on this day._\n\n**Earlier**\n- **Sun, Jun 14**\n")
     assert RT.summary_lines(frames, recaps, projects, commits, CALENDAR).count() == 0
 
 
@@ -154,6 +153,16 @@ def test_lookback_counts_active_days(spark):
     assert R.recap_frames(days, R.every_active_day(days), 0).count() == 5
 
 
+def test_how_far_back_days_are_looked_for(spark):
+    said = [("s", dt.datetime(y, 3, 1, 15).isoformat(sep=" "), 4, "words") for y in (1999, 2012, 2024)]
+    cleaned, *_ = build(spark, said, [("s", "t", "/x", None)])
+    days = R.active_days(cleaned)
+    ask = request(spark, dt.date(2026, 10, 1))
+    assert str(R.focus_days(days, ask).first().previous_day) == "2024-03-01" and R.focus_days(days, ask, 100).first().previous_day is None
+    focus = R.focus_days(days, ask).select("owner", "today", "focus")
+    assert R.recap_frames(days, focus, 9).count() == 4 and R.recap_frames(days, focus, 9, 6000).count() == 3
+
+
 def test_split_prompts_and_key_prompts(spark):
     said = [("s", at("10-02", "10:00"), 4, "first half"), ("s", at("10-02", "10:00"), 4, "second half"),
             ("s", at("10-02", "10:01"), 4, "Same Words here"), ("s", at("10-02", "10:02"), 4, "same words HERE"),
