@@ -94,14 +94,49 @@ def best_configuration(values: np.ndarray, most: np.ndarray, capacity: int) -> l
     return out
 
 
+def best_fit(left: np.ndarray, bins: list[tuple[tuple[int, ...], int]], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Put ``left[l]`` pieces of every length, the longest first, each into the fullest sequence it fits into, ``bins`` being open.
+
+    Sequences of one content are taken together, so the work depends on the number of lengths, not of pieces."""
+    rooms: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+    for config, times in bins:
+        rooms.setdefault(capacity - sum(config), []).append((config, times))
+    for length in np.flatnonzero(left)[::-1].tolist():
+        count = int(left[length])
+        while count:
+            room = min((r for r in rooms if r >= length), default=None)
+            if room is None:
+                room, group = capacity, ((), count)
+            else:
+                group = rooms[room].pop()
+                if not rooms[room]:
+                    del rooms[room]
+            config, times = group
+            # A sequence that took a piece is the fullest one, and takes the next as well.
+            each = room // length
+            full, rest = min(times, count // each), 0
+            if full < times:
+                rest = min(each, count - full * each)
+            for pieces, n in ((each, full), (rest, 1 if rest else 0)):
+                if n:
+                    rooms.setdefault(room - pieces * length, []).append((config + (length,) * pieces, n))
+            unused = times - full - (1 if rest else 0)
+            if unused and config:
+                rooms.setdefault(room, []).append((config, unused))
+            count -= full * each + rest
+    return [g for groups in rooms.values() for g in groups]
+
+
 def configurations(histogram: dict[int, int], capacity: int, rounds: int = 400, step: float = 0.1) -> list[tuple[tuple[int, ...], int]]:
     """``[(lengths, times)]`` that hold exactly the histogram.
 
     Multiplicative weights on the covering program: a row's share is the part of its count that the chosen configurations hold,
     its weight starts at count x length and falls by ``exp(-share / step)``, and its price is the weight over the count. A round uses
     the configuration of most value for ``step`` of its scarcest row. The mean of the prices, each round's scaled so that the best
-    configuration is worth 1, is the dual solution. The primal one is scaled to cover every row it reached, rounded down, and cut
-    to what is left; the rest takes the configurations of most dual value, so the result is whole however far the rounds came.
+    configuration is worth 1, is the dual solution: its value is a lower bound, and rounds end when the primal one is a sequence away.
+    The primal one is scaled to cover every row it reached, rounded down, and cut to what is left. The rest takes the configurations of
+    most dual value, or goes by best fit into what rounding has left open; the better of the two is taken, and never more sequences than
+    best fit alone needs.
     """
     need = np.zeros(capacity + 1, np.int64)
     for length, count in histogram.items():
@@ -111,7 +146,7 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = 400,
         return []
     used: dict[tuple[int, ...], float] = {}
     share, price = np.zeros(capacity + 1), np.zeros(capacity + 1)
-    for _ in range(rounds):
+    for turn in range(1, rounds + 1):
         values = np.zeros(capacity + 1)
         values[rows] = rows * np.exp(np.clip((share[rows].min() - share[rows]) / step, -30, 0))
         config = best_configuration(values, need, capacity)
@@ -121,6 +156,8 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = 400,
         key = tuple(sorted(config, reverse=True))
         used[key] = used.get(key, 0.0) + amount
         share[lengths] += amount * times / need[lengths]
+        if turn % 20 == 0 and (least := share[rows].min()) > 0 and sum(used.values()) / least <= price @ need / turn * (1 + 1e-4) + 1:
+            break
     scale = 1 / max(share[share > 0].min(), step)
     left, out = need.copy(), []
     for config, amount in sorted(used.items(), key=lambda x: -x[1]):
@@ -129,6 +166,7 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = 400,
         if whole:
             out.append((config, whole))
             left[lengths] -= whole * times
+    fitted, plain = best_fit(left, out, capacity), best_fit(need, [], capacity)
     while left.any():
         # A little more for long pieces: among configurations of equal value the one that leaves short pieces for later.
         values = np.where(left > 0, price * (1 + 1e-3 * np.arange(capacity + 1) / capacity), 0)
@@ -137,7 +175,7 @@ def configurations(histogram: dict[int, int], capacity: int, rounds: int = 400,
         whole = int((left[lengths] // times).min())
         out.append((tuple(sorted(config, reverse=True)), whole))
         left[lengths] -= whole * times
-    return out
+    return min(out, fitted, plain, key=lambda configs: sum(n for _, n in configs))
 
 
 def slots(configs: list[tuple[tuple[int, ...], int]]) -> pd.DataFrame:
