@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding as a max-plus scan.
 
-The encoding of a text is the segmentation of its normalized form into pieces with the greatest sum of scores: the path of most
-weight through the lattice of its pieces. Unigram model files give the scores. Files of the merging kind hold merge ranks instead,
-of which a sum means nothing; there a piece of rank r scores -ln(r + 1), as a word of that rank in a Zipf-distributed
-vocabulary would. Equal sums go to the longer last piece. Characters no piece covers score 10 below the least piece, and become
-byte pieces where the file has them. Decoding joins pieces, turns the blank mark into blanks and drops the one put before the text.
+The encoding of a text is the path of most weight through the lattice of its pieces. Unigram model files give every piece a score, and
+equal sums go to the longer last piece; characters no piece covers score 10 below the least piece. Files of the merging kind decide by
+neighbours: two pieces may follow each other if merging the text of both leaves the boundary between them in place (see
+:mod:`sessionlens.llm.transducer`). A step that may be taken weighs 0 there and any other minus infinity, and one path is left, the
+library's. Characters no piece covers become byte pieces where the file has them. Decoding joins pieces, turns the blank mark into
+blanks and drops the one put before the text.
 
 Between two characters that stand side by side in no piece every path has a boundary, so what lies between such places is solved on
 its own, all new ones of a batch in step, and remembered. A text longer than ``chunk`` is dealt out in chunks to different tasks.
-The state at a chunk's boundary is how far the piece over it reaches into the next chunk; each chunk yields the matrix of best scores
-from state to state, the matrices of a text are multiplied (max, +) in order, and with the states found each chunk is traced back
+The state at a chunk's boundary is how far the piece over it reaches into the next chunk, and in merging files which piece it is; each
+chunk yields the matrix of best weights from state to state, the matrices of a text are multiplied (max, +) in order, and with the states found each chunk is traced back
 independently. A chunk's matrix is small whatever its length; the scan sees one per chunk.
 
 Null text counts as empty and has no id. Null and repeated ids are documents of their own; other columns are ignored.
@@ -17,6 +18,8 @@ Null text counts as empty and has no id. Null and repeated ids are documents of
 
 from __future__ import annotations
 
+import heapq
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,11 +80,12 @@ class Pieces(WordStore):
         n = m.get_piece_size()
         text = [m.id_to_piece(i) for i in range(n)]
         usable = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
-        if is_unigram(path):
-            self.scores = np.array([m.get_score(i) for i in range(n)])
-        else:
-            self.scores = np.zeros(n)
-            self.scores[usable] = -np.log(np.arange(len(usable)) + 2.0)
+        self.scores = np.array([m.get_score(i) for i in range(n)])
+        self.merges = None
+        if not is_unigram(path):
+            from sessionlens.llm.transducer import transducer
+
+            self.merges = transducer(path)
         self.unknown_score = float(self.scores[usable].min()) - 10.0
         self.longest = max(len(text[i]) for i in usable)
         self.bytes_from = next((i for i in range(n) if m.is_byte(i)), None)
@@ -190,7 +194,51 @@ class Pieces(WordStore):
         order = np.lexsort((turn, word))
         return word[order], piece[order], best[sizes, np.arange(len(words))]
 
+    def merged(self, text: str) -> list[str]:
+        """The pieces of a stretch by the file's merges. A long one keeps its possible merges in a heap."""
+        if len(text) <= STEP_LENGTH:
+            return self.merges.merged(text)
+        rank, parts, after, before = self.merges.rank, list(text), list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
+        heap: list[tuple[float, int, int]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if j < len(parts) and (r := rank.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(heap, (r, i, len(parts[i]) + len(parts[j])))
+
+        for i in range(len(parts)):
+            offer(i)
+        while heap:
+            _, i, size = heapq.heappop(heap)
+            j = after[i]
+            # What a merge has changed meanwhile has another length, or is gone.
+            if not parts[i] or j >= len(parts) or len(parts[i]) + len(parts[j]) != size:
+                continue
+            parts[i], parts[j], after[i] = parts[i] + parts[j], "", after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [p for p in parts if p]
+
+    def merged_ids(self, text: str) -> list[int]:
+        out: list[int] = []
+        for part in self.merged(text):
+            known = self.merges.id.get(part)
+            if known is not None:
+                out.append(known)
+            elif self.bytes_from is not None:
+                out.extend(self.bytes_from + b for b in part.encode("utf-8", "surrogatepass"))
+            else:
+                out.append(self.unknown)
+        return out
+
     def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if self.merges:
+            got = [self.merged_ids(w) for w in words]
+            sizes = np.fromiter(map(len, got), np.int64, len(got))
+            return np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum())), sizes, np.zeros(len(words))
         by_length = sorted(range(len(words)), key=lambda i: -len(words[i]))
         values, found = np.zeros(len(words)), []
         short = [i for i in by_length if len(words[i]) <= STEP_LENGTH]
@@ -243,6 +291,14 @@ class Pieces(WordStore):
         out[: len(starts), : len(tail)] = (head + self.score((chunk + ahead)[first:last]))[:, None] + tail
         return out
 
+    def transfer(self, behind: str, chunk: str, ahead: str) -> bytes:
+        """A chunk's transfer matrix as it is sent: all scores, or for merging files the pairs of pieces that go together."""
+        if not self.merges:
+            return b"m" + self.matrix(chunk, ahead).tobytes()
+        found = self.merges.state_map(behind, chunk, ahead)
+        counts = np.array(found["counts"]).reshape(len(found["entries"]), -1)
+        return json.dumps({"entries": found["entries"], "exits": found["exits"], "steps": [x.tolist() for x in np.nonzero(counts >= 0)]}).encode()
+
     def decode(self, ids: np.ndarray) -> str:
         sizes = np.diff(self.raw_at)[ids]
         text = self.raw[ragged_index(self.raw_at[:-1][ids], sizes)].tobytes().decode("utf-8", "replace")
@@ -256,6 +312,25 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
+def scan_pieces(maps: list[dict]) -> list[int]:
+    """How far the pieces over the chunks' boundaries reach (one more than chunks), by maps from piece to piece."""
+    reached, steps = [{e: None for e in maps[0]["entries"]}], []
+    for m in maps:
+        came: dict[int, int] = {}
+        for i, j in zip(*m["steps"], strict=True):
+            if m["entries"][i] in reached[-1]:
+                came.setdefault(m["exits"][j], m["entries"][i])
+        reached.append(came)
+        steps.append(came)
+    # One piece ends with the text; from there the way back is given.
+    state = next(iter(reached[-1]))
+    states = [state]
+    for came in reversed(steps):
+        state = came[state]
+        states.append(state)
+    return [s >> 32 for s in states[::-1]]
+
+
 def scan(matrices: list[np.ndarray]) -> list[int]:
     """States at the chunks' boundaries (one more than chunks) of the best path from 0 to 0; the lowest state of equals."""
     reach = [np.where(np.arange(len(matrices[0])) == 0, 0.0, -np.inf)]
@@ -294,17 +369,20 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, id_column: str = "d
                 if len(at) > 1 and len(whole) - at[-1] < p.longest:
                     at.pop()
                 ends = [*at[1:], len(whole)]
-                yield pd.DataFrame({"row": row, "doc_id": pd.array([doc_id] * len(at), dtype="Int64"), "chunk": range(len(at)), "text": [whole[a:b] for a, b in zip(at, ends, strict=True)], "ahead": [whole[b : b + p.longest - 1] for b in ends]})
+                yield pd.DataFrame({"row": row, "doc_id": pd.array([doc_id] * len(at), dtype="Int64"), "chunk": range(len(at)), "behind": [whole[max(0, a - p.longest) : a] for a in at], "text": [whole[a:b] for a, b in zip(at, ends, strict=True)], "ahead": [whole[b : b + p.longest - 1] for b in ends]})
 
     def matrices(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model)
         for frame in frames:
-            yield pd.DataFrame({"row": frame["row"], "chunk": frame["chunk"], "m": [p.matrix(t, a).tobytes() for t, a in zip(frame["text"], frame["ahead"], strict=True)]})
+            yield pd.DataFrame({"row": frame["row"], "chunk": frame["chunk"], "m": [p.transfer(b, t, a) for b, t, a in zip(frame["behind"], frame["text"], frame["ahead"], strict=True)]})
 
     def states(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
-        wide = int(np.sqrt(len(group["m"].iloc[0]) // 8))
-        found = scan([np.frombuffer(m).reshape(wide, wide) for m in group["m"]])
+        if group["m"].iloc[0][:1] == b"{":
+            found = scan_pieces([json.loads(m) for m in group["m"]])
+        else:
+            wide = int(np.sqrt(len(group["m"].iloc[0]) // 8))
+            found = scan([np.frombuffer(m[1:]).reshape(wide, wide) for m in group["m"]])
         return pd.DataFrame({"row": group["row"], "chunk": group["chunk"], "start": found[:-1], "over": found[1:]})
 
     def trace(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -314,7 +392,7 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, id_column: str = "d
             yield pd.DataFrame({"row": frame["row"], "doc_id": frame["doc_id"], "chunk": frame["chunk"], "ids": [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]})
 
     whole = rows.where(~giant).select("doc_id", "text").mapInPandas(small, ENCODED)
-    chunks = stage(rows.where(giant).mapInPandas(cut, "row long, doc_id long, chunk int, text string, ahead string"), "giant-chunks")
+    chunks = stage(rows.where(giant).mapInPandas(cut, "row long, doc_id long, chunk int, behind string, text string, ahead string"), "giant-chunks")
     spread = chunks.repartition("row", "chunk")
     known = spread.mapInPandas(matrices, "row long, chunk int, m binary").groupBy("row").applyInPandas(states, "row long, chunk int, start int, over int")
     parts = chunks.join(known, ["row", "chunk"]).select("row", "doc_id", "chunk", "text", "ahead", "start", "over").mapInPandas(trace, "row long, doc_id long, chunk int, ids binary")

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import random
 from collections import defaultdict
 
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+import tokenizers
 from pyspark.sql import functions as F
 
 from sessionlens.llm import arc, neighbours, pieces, roles
@@ -157,37 +159,89 @@ def best_sum(p, text):
     return best[-1]
 
 
-def test_pieces_have_the_greatest_sum():
-    p = pieces.pieces(MODEL)
-    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    normal = p.normalize(TEXTS)
-    ids, at = p.encode(normal)
-    for i, t in enumerate(TEXTS):
-        assert abs(p.score(normal[i]) - best_sum(p, normal[i])) < 1e-6
-        mine = ids[at[i] : at[i + 1]]
-        assert p.decode(mine) == t == library.decode(mine.tolist())
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """A unigram file put together by hand: letters and some of their combinations with any scores."""
+    from sentencepiece import sentencepiece_model_pb2 as proto
 
+    rng, model = random.Random(6), proto.ModelProto()
+    model.trainer_spec.model_type = 1
+    model.normalizer_spec.name, model.normalizer_spec.add_dummy_prefix = "identity", True
+    model.normalizer_spec.remove_extra_whitespaces = False
+    for name, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        model.pieces.add(piece=name, score=0.0, type=kind)
+    parts = {*"▁abehlortd=-", "▁a", "er", "or", "the", "hou", "thr", "▁th", "==", "====", "ab", "abab", "ba", "▁▁", "oror"}
+    for piece in sorted(parts):
+        model.pieces.add(piece=piece, score=-rng.uniform(1, 9), type=1)
+    path = tmp_path_factory.mktemp("model") / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    return str(path)
 
-@pytest.mark.parametrize("size", [17, 40, 100])
-def test_chunks_and_states_equal_one_piece(size):
-    p = pieces.pieces(MODEL)
-    for text in p.normalize(["=-" * 150 + "a" * 333 + "日本" * 50, " " * 300, "ab" * 250 + "-" * 100, " ".join(TEXTS)]):
-        at = list(range(0, len(text), size))
-        if len(at) > 1 and len(text) - at[-1] < p.longest:
-            at.pop()
-        ends = [*at[1:], len(text)]
-        states = pieces.scan([p.matrix(text[a:e], text[e : e + p.longest - 1]) for a, e in zip(at, ends, strict=True)])
-        parts = [text[a + s : e + o] for a, e, s, o in zip(at, ends, states[:-1], states[1:], strict=True)]
+
+def lumps(text, size, p):
+    at = list(range(0, len(text), size))
+    if len(at) > 1 and len(text) - at[-1] < p.longest:
+        at.pop()
+    return at, [*at[1:], len(text)]
+
+
+MORE = ["=-" * 150 + "a" * 333 + "日本" * 50, " " * 300, "ab" * 250 + "-" * 100, " ".join(TEXTS)]
+
+
+def test_unigram_pieces_have_the_greatest_sum(unigram):
+    p, library = pieces.Pieces(unigram), sentencepiece.SentencePieceProcessor(model_file=unigram)
+    normal = p.normalize(TEXTS + MORE)
+    ids, at = p.encode(normal)
+    for i, t in enumerate(normal):
+        assert abs(p.score(t) - best_sum(p, t)) < 1e-6
+        known = [c for c in (TEXTS + MORE)[i] if c in " abehlortd=-"]
+        again, ends = p.encode(p.normalize(["".join(known)]))
+        assert again[: ends[1]].tolist() == library.encode("".join(known))
+    for text in normal[len(TEXTS) :]:
+        starts, ends = lumps(text, 40, p)
+        states = pieces.scan([p.matrix(text[a:e], text[e : e + p.longest - 1]) for a, e in zip(starts, ends, strict=True)])
+        parts = [text[a + s : e + o] for a, e, s, o in zip(starts, ends, states[:-1], states[1:], strict=True)]
         assert "".join(parts) == text and abs(sum(map(p.score, parts)) - p.score(text)) < 1e-6
 
 
-def test_pieces_on_tables(spark):
-    rows = [*enumerate(TEXTS), (None, "null id"), (50, None), (51, "long text " * 300), (51, "long text " * 300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS chunk", "3 AS ids")
-    got = pieces.decoded(pieces.encoded(df, MODEL, chunk=100), MODEL).collect()
+def test_merged_pieces_are_the_library_s():
+    p, library = pieces.pieces(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(3)
+    texts = TEXTS + MORE + ["".join(rng.choice(["a", "in", "ing", " ", "the", "\n", "日本", "😀", "=", "er", "<s>"]) for _ in range(rng.randint(1, 200))) for _ in range(200)]
+    ids, at = p.encode(p.normalize(texts))
+    for i, t in enumerate(texts):
+        mine = ids[at[i] : at[i + 1]].tolist()
+        assert mine == library.encode(t) and p.decode(np.array(mine, np.int64)) == t
+    # A long stretch goes by a heap, a short one by passes over it.
+    for t in ("=" * 999, "a" * 500 + "ing" * 200, "ab" * 300):
+        assert p.merged(t) == p.merges.merged(t)
+
+
+@pytest.mark.parametrize("size", [17, 40, 100])
+def test_chunks_and_states_give_the_library_s_boundaries(size):
+    p = pieces.pieces(MODEL)
+    for text in p.normalize(MORE):
+        starts, ends = lumps(text, size, p)
+        states = pieces.scan_pieces([json.loads(p.transfer(text[max(0, a - p.longest) : a], text[a:e], text[e : e + p.longest - 1])) for a, e in zip(starts, ends, strict=True)])
+        parts = [text[a + s : e + o] for a, e, s, o in zip(starts, ends, states[:-1], states[1:], strict=True)]
+        assert "".join(parts) == text and [i for x in parts for i in p.encode([x])[0].tolist()] == p.encode([text])[0].tolist()
+
+
+@pytest.mark.parametrize("kind", ["merges", "unigram"])
+def test_pieces_on_tables(spark, unigram, kind):
+    model = MODEL if kind == "merges" else unigram
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    rows = [*enumerate(TEXTS), (None, "null id"), (50, None), (51, "hello other road " * 300), (51, "hello other road " * 300), (52, "=" * 777)]
+    if kind == "unigram":
+        rows = [(d, "".join(c for c in t or "" if c in " abehlortd=-")) for d, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS chunk", "3 AS ids", "'x' AS behind")
+    got = pieces.decoded(pieces.encoded(df, model, chunk=100), model).collect()
     key = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(((r.doc_id, r.text) for r in got), key=key) == sorted(((d, t or "") for d, t in rows), key=key)
-    assert pieces.encoded(df.limit(0), MODEL).count() == 0
+    if kind == "merges":
+        texts = dict(rows)
+        assert all(np.frombuffer(r.ids, np.uint32).tolist() == library.encode(texts[r.doc_id] or "") for r in got)
+    assert pieces.encoded(df.limit(0), model).count() == 0
 
 
 def test_pipeline(spark):
@@ -205,5 +259,41 @@ def test_pipeline(spark):
     quality = dict(spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality").collect())
     known = [quality[d] for d in set(whole.doc_id) if d in quality]
     assert np.mean(known) > 0.97
+    # The last stage packs the very texts that are left, whole and in order.
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    texts = dict(docs.select("doc_id", "text").collect())
+    for d, rows in whole.sort_values("piece").groupby("doc_id"):
+        held = np.concatenate([np.frombuffer(i, np.uint32) for i in rows.ids])
+        assert held.tolist() == [*library.encode(texts[d] or "", add_special_tokens=False).ids, 0]
     kept = {r.doc_id for r in docs.where(F.length("text") > 0).collect()}
     assert kept <= set(whole.doc_id) and whole.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls, empty texts, equal rows and clashing columns go through every stage; planted passages of 51 words are cut."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(9)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    passage = fresh(51)
+    hosts = [f"{fresh(120)} {passage} {fresh(120)}" for _ in range(6)]
+    odd = [(9000 + i, t) for i, t in enumerate(hosts)] + [(9100, None), (9101, ""), (9102, hosts[0]), (9102, hosts[0]), (None, fresh(90)), (None, None)]
+    extra = spark.createDataFrame(odd, "doc_id long, text string").select("doc_id", "text", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns[2:]])
+    assert docs.columns[:2] == ["doc_id", "text"]
+    mixed = docs.unionByName(extra).selectExpr("*", "1 AS row", "'x' AS digest", "2 AS starts", "3 AS node", "4 AS _row", "5 AS _id")
+    stages = dict(corpus_pipeline.STAGES)
+    cut = stages["repeated_passages"](spark, extra.limit(6).selectExpr("*", "1 AS row", "2 AS _starts"), sf)
+    assert cut.columns == [*docs.columns, "row", "_starts"]
+    assert all(passage[40:-40] not in r.text and r.n_chars == len(r.text) and len(r.text) > 700 for r in cut.collect())
+    for name in ("quality_classifier", "near_copies", "repeated_passages"):
+        mixed = stages[name](spark, mixed, sf)
+        mixed = spark.createDataFrame(mixed.collect(), mixed.schema)
+        assert {"row", "digest", "starts", "node", "_row", "_id"} < set(mixed.columns), name
+    packed = stages["best_fit_packing"](spark, mixed.drop("_row"), sf)
+    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in mixed.collect()}
+    none = docs.limit(0)
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, none, sf).count() == 0, name

@@ -95,15 +95,33 @@ def test_configurations_hold_the_histogram_and_are_few():
             for length in config:
                 held[length] = held.get(length, 0) + times
         assert held == histogram, case
-        # First fit in falling order as a yardstick: the program must not be worse by more than a rounding.
+        # Best fit in falling order as a yardstick.
         rooms = []
         for length in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
-            k = next((i for i, r in enumerate(rooms) if r >= length), None)
+            k = min((i for i, r in enumerate(rooms) if r >= length), key=lambda i: rooms[i], default=None)
             if k is None:
                 rooms.append(capacity - length)
             else:
                 rooms[k] -= length
-        assert sum(t for _, t in got) <= len(rooms) * 1.02 + 2
+        assert sum(t for _, t in got) <= len(rooms)
+        need = np.zeros(capacity + 1, np.int64)
+        need[list(histogram)] = list(histogram.values())
+        assert sum(t for _, t in packing.best_fit(need, [], capacity)) == len(rooms)
+
+
+def test_pieces_of_long_documents_are_the_library_s(spark, library):
+    capacity = 16
+    rows = packing.token_pieces(docs_of(spark, DOCS), PATH, capacity, end_id=0).toPandas()
+    texts = dict(DOCS)
+    for doc_id, text in texts.items():
+        if doc_id is None or sum(d == doc_id for d, _ in DOCS) > 1:
+            continue
+        ids = ids_of(library, text, 0)
+        first = (len(ids) - 1) % capacity + 1
+        cuts = [0, *range(first, len(ids) + 1, capacity)]
+        got = rows[rows.doc_id == doc_id].sort_values("piece")
+        assert got.start.tolist() == cuts[:-1] and got.piece.tolist() == list(range(len(cuts) - 1))
+        assert [bytes(x) for x in got.ids] == [ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def test_pack_refuses_long_pieces_and_skips_empty_ones(spark):
