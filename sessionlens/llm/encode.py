@@ -74,6 +74,8 @@ def byte_letters() -> dict[int, str]:
 class WordStore:
     """Ids of words that were met before. Subclasses say where words start (``cut``) and what the ids of new words are (``ids_of``)."""
 
+    most_words = MOST_WORDS
+
     def __init__(self) -> None:
         self.forget()
 
@@ -123,7 +125,7 @@ class WordStore:
         start = self.cut(codes, text_start)
         end = np.append(start[1:], len(codes))
         place, keys = pd.factorize(span_hash(prefix_hash(codes), start, end))
-        if self.known() + len(keys) > MOST_WORDS:
+        if self.known() + len(keys) > self.most_words:
             self.forget()
         row = self.rows(keys)
         if len(new := np.flatnonzero(row < 0)):

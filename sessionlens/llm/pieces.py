@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +73,9 @@ def is_unigram(path: str) -> bool:
 
 
 class Pieces(WordStore):
+    # Stretches come with their ids and with the state of the scan.
+    most_words = 800_000
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -236,9 +240,12 @@ class Pieces(WordStore):
 
     def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if self.merges:
-            got = [self.merged_ids(w) for w in words]
-            sizes = np.fromiter(map(len, got), np.int64, len(got))
-            return np.fromiter((i for g in got for i in g), np.uint32, int(sizes.sum())), sizes, np.zeros(len(words))
+            flat, sizes = array("I"), np.zeros(len(words), np.int64)
+            for k, word in enumerate(words):
+                ids = self.merged_ids(word)
+                flat.extend(ids)
+                sizes[k] = len(ids)
+            return np.array(flat, np.uint32), sizes, np.zeros(len(words))
         by_length = sorted(range(len(words)), key=lambda i: -len(words[i]))
         values, found = np.zeros(len(words)), []
         short = [i for i in by_length if len(words[i]) <= STEP_LENGTH]
@@ -295,7 +302,7 @@ class Pieces(WordStore):
         """A chunk's transfer matrix as it is sent: all scores, or for merging files the pairs of pieces that go together."""
         if not self.merges:
             return b"m" + self.matrix(chunk, ahead).tobytes()
-        found = self.merges.state_map(behind, chunk, ahead)
+        found = self.merges.state_map(behind, chunk, ahead, counted=False)
         counts = np.array(found["counts"]).reshape(len(found["entries"]), -1)
         return json.dumps({"entries": found["entries"], "exits": found["exits"], "steps": [x.tolist() for x in np.nonzero(counts >= 0)]}).encode()
 

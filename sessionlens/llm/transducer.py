@@ -194,8 +194,10 @@ class Transducer(WordStore):
                     out.append((reach, piece))
         return out
 
-    def state_map(self, behind: str, chunk: str, ahead: str) -> dict:
-        """Tokens between each piece over the chunk's start and each piece over its end (-1 where they do not go together)."""
+    def state_map(self, behind: str, chunk: str, ahead: str, counted: bool = True) -> dict:
+        """Tokens between each piece over the chunk's start and each piece over its end (-1 where they do not go together).
+
+        Without ``counted``, those between certain boundaries are left out: it still says which pieces go together."""
         codes = np.frombuffer((chunk + ahead).encode("utf-32-le", "surrogatepass"), np.uint32)
         safe = self.safe(codes)
         safe = safe[safe < len(chunk)]
@@ -205,7 +207,7 @@ class Transducer(WordStore):
         # Between the first and the last certain boundary all entries go the same way.
         first, last = (int(safe[0]), int(safe[-1])) if len(safe) else (None, 0)
         if first is not None:
-            middle = int(self.counts([(chunk + ahead)[first:last]])[0])
+            middle = int(self.counts([(chunk + ahead)[first:last]])[0]) if counted else 0
             tail = self.ends(chunk[last:], ahead, START)
         for reach, piece in entries:
             if first is None:
