@@ -20,6 +20,14 @@ from sessionlens.session import stage
 from sessionlens.operators.index import Index, corpus_size, distinct_terms, phrase_matches, query_terms, term_hits
 
 SCALE = 9
+#: What a hit tells about its session besides title and time. Session tables that lack one give null.
+HIT_COLUMNS = {"folder_display": "string", "git_branch": "string", "file_path": "string", "message_count": "bigint"}
+
+
+def session_facts(sessions: DataFrame) -> DataFrame:
+    """The columns of sessions that a hit shows."""
+    facts = [F.col(c) if c in sessions.columns else F.lit(None).cast(kind).alias(c) for c, kind in HIT_COLUMNS.items()]
+    return sessions.select("session_id", "title", "last_activity", *facts)
 
 
 @dataclass(frozen=True)
@@ -109,7 +117,7 @@ def rank_sessions(scores: DataFrame, sessions: DataFrame, now: Column, ranking:
     by_score = W.partitionBy("query_id").orderBy(F.col("lexical_score").desc(), F.col("session_id"))
     cut = scores.withColumn("candidate", F.row_number().over(by_score)).where(F.col("candidate") <= ranking.candidates).drop("candidate")
     boosted = (
-        cut.join(sessions.select("session_id", "title", "last_activity"), "session_id")
+        cut.join(session_facts(sessions), "session_id")
         .withColumn("recency", scoring.recency_multiplier(F.col("last_activity"), now, ranking.recency_weight, ranking.recency_decay_days))
         .withColumn("score", F.round(F.col("lexical_score") * F.col("recency"), SCALE))
     )
@@ -175,12 +183,12 @@ def recent_mode(queries: DataFrame, sessions: DataFrame, now: Column, ranking: R
     """Recent sessions for every query there is nothing to search for. The listing (at most
     ``ranking.results`` rows) travels as one array value."""
     newest = (
-        sessions.select("session_id", "title", "last_activity")
+        session_facts(sessions)
         .orderBy(F.col("last_activity").desc_nulls_last(), F.col("session_id")).limit(ranking.results)
         .withColumn("recency", scoring.recency_multiplier(F.col("last_activity"), now, ranking.recency_weight, ranking.recency_decay_days))
     )
     newest_key = F.coalesce(-F.unix_micros("last_activity"), F.lit(2**63 - 1))
-    ordered = F.array_sort(F.collect_list(F.struct(newest_key.alias("k"), "session_id", "title", "last_activity", "recency")))
+    ordered = F.array_sort(F.collect_list(F.struct(newest_key.alias("k"), "session_id", "title", "last_activity", "recency", *HIT_COLUMNS)))
     listing = newest.agg(ordered.alias("listing")).scalar()
     text = F.regexp_replace("text", r"^[\p{Z}\s\x{85}]+|[\p{Z}\s\x{85}]+$", "")
     return (
@@ -188,7 +196,7 @@ def recent_mode(queries: DataFrame, sessions: DataFrame, now: Column, ranking: R
         .select("query_id", (F.length(text) < K.MINIMUM_QUERY_LENGTH).alias("short"), F.posexplode(listing).alias("i", "s"))
         .select(
             "query_id", F.col("s.session_id").alias("session_id"), F.col("s.title").alias("title"),
-            F.col("s.last_activity").alias("last_activity"),
+            F.col("s.last_activity").alias("last_activity"), *[F.col(f"s.{c}").alias(c) for c in HIT_COLUMNS],
             F.lit(0.0).alias("lexical_score"), F.col("s.recency").alias("recency"),
             F.when(F.col("short"), F.col("s.recency")).otherwise(F.lit(0.0)).alias("score"),
             F.lit(0).cast("bigint").alias("match_count"),
@@ -219,6 +227,8 @@ def search(queries: DataFrame, index: Index, sessions: DataFrame, chunks: DataFr
 def weight_sweep(queries: DataFrame, labels: DataFrame, index: Index, sessions: DataFrame, now: Column, settings: DataFrame, ranking: Ranking = Ranking()) -> DataFrame:
     """Mean rank and mean reciprocal rank of the right session per (co_occurrence, repeat) setting.
 
+    Only the ``ranking.candidates`` best sessions of a query are ranked, as in a search; a right answer that is cut does not count.
+
     Hits are scored once; the settings multiply only the small per-chunk score rows.
     ``labels`` holds ``(query_id, session_id)`` of right answers; the best-ranked one counts.
     """
@@ -231,7 +241,9 @@ def weight_sweep(queries: DataFrame, labels: DataFrame, index: Index, sessions:
     keyed = weighted.select("query_id", "session_id", "chunk_no", "kind", "best_term", "weighted",
                             F.col("g.setting").alias("setting"), F.col("g.repeat").alias("repeat"))
     scores = session_scores(keyed, F.col("repeat"), ("setting", "repeat", "query_id", "session_id"))
-    boosted = scores.join(sessions.select("session_id", "last_activity"), "session_id").withColumn(
+    by_score = W.partitionBy("setting", "query_id").orderBy(F.col("lexical_score").desc(), F.col("session_id"))
+    cut = scores.withColumn("candidate", F.row_number().over(by_score)).where(F.col("candidate") <= ranking.candidates)
+    boosted = cut.join(sessions.select("session_id", "last_activity"), "session_id").withColumn(
         "score", F.round(F.col("lexical_score") * scoring.recency_multiplier(F.col("last_activity"), now, ranking.recency_weight, ranking.recency_decay_days), SCALE))
     # A right answer's rank is one more than the number of sessions ahead of it.
     right = boosted.join(labels, ["query_id", "session_id"], "left_semi").groupBy("setting", "query_id").agg(

@@ -189,9 +189,10 @@ firsts AS (SELECT query_id, term, min(i) AS i FROM folded GROUP BY query_id, ter
 terms AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY i) - 1 AS INTEGER) AS term_no, term, CAST(count(*) OVER (PARTITION BY query_id) AS INTEGER) AS n_terms FROM firsts)"""
 HITS = """
 wanted AS (SELECT DISTINCT term, string_split(term, ' ') AS t FROM terms),
+expanded AS MATERIALIZED (SELECT term, token FROM (SELECT DISTINCT token FROM positions) JOIN wanted ON len(t) = 1 AND starts_with(token, term)),
 single AS (
   SELECT term, session_id, chunk_no, kind, n_tokens, CAST(count(*) AS BIGINT) AS tf
-  FROM positions JOIN wanted ON len(t) = 1 AND starts_with(token, term) GROUP BY ALL),
+  FROM positions JOIN expanded USING (token) GROUP BY term, session_id, chunk_no, kind, n_tokens),
 phrased AS (
   SELECT term, a.session_id, a.chunk_no, a.kind, a.n_tokens, CAST(count(*) AS BIGINT) AS tf
   FROM wanted JOIN positions a ON len(t) = 2 AND a.token = t[1]
@@ -223,7 +224,8 @@ per_session AS (
 
 
 DOC_SESSIONS = f"""
-doc_sessions AS (SELECT CAST(doc_id // 4 AS VARCHAR) AS session_id, min(source) AS title, max({month('(doc_id * 37) % 43200')}) AS last_activity FROM documents GROUP BY 1)"""
+doc_sessions AS (SELECT CAST(doc_id // 4 AS VARCHAR) AS session_id, min(source) AS title, max({month('(doc_id * 37) % 43200')}) AS last_activity,
+  '/corpus/' || min(lang) AS folder_display, max(lang) AS git_branch, '/corpus/' || min(doc_id) || '.jsonl' AS file_path, count(*) AS message_count FROM documents GROUP BY 1)"""
 RANKED = f"""
 candidates AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lexical_score DESC, session_id) AS candidate FROM per_session) WHERE candidate <= 200),
 boosted AS (SELECT *, {recency('last_activity', NOW)} AS recency, round(lexical_score * {recency('last_activity', NOW)}, 9) AS score FROM candidates JOIN doc_sessions USING (session_id)),
@@ -418,7 +420,7 @@ ORACLES["qualified"] = f"{SEARCH} SELECT query_id, session_id FROM qualified"
 ORACLES["chunk_scores"] = f"{SEARCH}, {scores()} SELECT query_id, session_id, chunk_no, kind, terms, best_term, round(weighted, 6) AS weighted FROM per_chunk"
 ORACLES["session_scores"] = f"{SEARCH}, {scores()} SELECT query_id, session_id, round(lexical_score, 6) AS lexical_score, match_count, matched_kinds, chunk_no, term FROM per_session"
 ORACLES["search_batch"] = f"""{SEARCH}, {scores()}, {DOC_SESSIONS}, {RANKED}
-SELECT query_id, rank, session_id, title, last_activity, match_count, matched_kinds, FALSE AS is_recent, round(lexical_score, 6) AS lexical_score, round(recency, 6) AS recency, round(score, 6) AS score FROM ranked"""
+SELECT query_id, rank, session_id, title, last_activity, folder_display, git_branch, file_path, message_count, match_count, matched_kinds, FALSE AS is_recent, round(lexical_score, 6) AS lexical_score, round(recency, 6) AS recency, round(score, 6) AS score FROM ranked"""
 ORACLES["snippets"] = rf"""{SEARCH}, {scores()}, {DOC_SESSIONS}, {RANKED},
 best AS (SELECT r.query_id, r.session_id, string_split(r.term, ' ') AS p, regexp_extract_all(c.text, '[\pL\pN\pM]+') AS w, regexp_split_to_array(c.text, '[\pL\pN\pM]+') AS g
   FROM ranked r JOIN chunks c USING (session_id, chunk_no)),
@@ -435,7 +437,7 @@ FROM shown GROUP BY query_id, session_id, start, finish, size, g"""
 ORACLES["search_recent_mode"] = f"""WITH {DOC_SESSIONS},
 listing AS (SELECT *, CAST(row_number() OVER (ORDER BY last_activity DESC NULLS LAST, session_id) AS INTEGER) AS rank FROM doc_sessions),
 q AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 1 THEN 0.0 ELSE 1.0 END AS short FROM benchmark)
-SELECT query_id, session_id, rank, CAST(0.0 AS DOUBLE) AS lexical_score, round({recency('last_activity', NOW)}, 6) AS recency, round(short * {recency('last_activity', NOW)}, 6) AS score, TRUE AS is_recent, CAST(0 AS BIGINT) AS match_count
+SELECT query_id, session_id, rank, CAST(0.0 AS DOUBLE) AS lexical_score, round({recency('last_activity', NOW)}, 6) AS recency, round(short * {recency('last_activity', NOW)}, 6) AS score, TRUE AS is_recent, CAST(0 AS BIGINT) AS match_count, folder_display, git_branch, file_path, message_count
 FROM q, listing WHERE rank <= 30"""
 LABELLED = """
 labelled AS (
@@ -447,7 +449,8 @@ def sweep(settings: str) -> str:
     return f"""{SEARCH}, {LABELLED}, settings(setting, co_occurrence, repeat) AS (VALUES {settings}),
 spread AS (SELECT * FROM matches, settings),
 {scores('co_occurrence', 'any_value(repeat)', 'setting, ', 'spread').replace("GROUP BY setting,  query_id, session_id, chunk_no, kind", "GROUP BY setting, co_occurrence, repeat, query_id, session_id, chunk_no, kind").replace("SELECT setting,  query_id, session_id, chunk_no, kind, count(*) AS terms", "SELECT setting, repeat, query_id, session_id, chunk_no, kind, count(*) AS terms")}, {DOC_SESSIONS},
-placed AS (SELECT setting, query_id, session_id, row_number() OVER (PARTITION BY setting, query_id ORDER BY round(lexical_score * {recency('last_activity', NOW)}, 9) DESC, session_id) AS rank FROM per_session JOIN doc_sessions USING (session_id)),
+placed AS (SELECT setting, query_id, session_id, row_number() OVER (PARTITION BY setting, query_id ORDER BY round(lexical_score * {recency('last_activity', NOW)}, 9) DESC, session_id) AS rank
+  FROM (SELECT *, row_number() OVER (PARTITION BY setting, query_id ORDER BY lexical_score DESC, session_id) AS candidate FROM per_session) JOIN doc_sessions USING (session_id) WHERE candidate <= 200),
 answers AS (SELECT setting, query_id, min(rank) AS rank FROM placed SEMI JOIN labelled USING (query_id, session_id) GROUP BY ALL)
 SELECT setting, count(*) AS queries, round(avg(rank), 6) AS mean_rank, round(avg(1.0 / rank), 6) AS mean_reciprocal_rank FROM answers GROUP BY setting"""
 

@@ -354,7 +354,7 @@ def session_scores(spark, sf):
 def search_batch(spark, sf):
     index = document_index(spark, sf)
     found = S.search(A.benchmark_queries(spark, sf), index, A.document_sessions(spark, sf), document_chunks(spark, sf), now())
-    return found.select("query_id", "rank", "session_id", "title", "last_activity", "match_count", joined("matched_kinds"), "is_recent",
+    return found.select("query_id", "rank", "session_id", "title", "last_activity", *S.HIT_COLUMNS, "match_count", joined("matched_kinds"), "is_recent",
                         *[F.round(c, 6).alias(c) for c in ("lexical_score", "recency", "score")])
 
 
@@ -375,7 +375,7 @@ def short_queries(spark, sf):
 @query
 def search_recent_mode(spark, sf):
     found = S.recent_mode(short_queries(spark, sf), A.document_sessions(spark, sf), now())
-    return found.select("query_id", "session_id", "rank", "lexical_score", F.round("recency", 6).alias("recency"), F.round("score", 6).alias("score"), "is_recent", "match_count")
+    return found.select("query_id", "session_id", "rank", "lexical_score", F.round("recency", 6).alias("recency"), F.round("score", 6).alias("score"), "is_recent", "match_count", *S.HIT_COLUMNS)
 
 
 def relevant_sessions(spark, sf):

@@ -102,6 +102,9 @@ def document_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.min("source").alias("title"),
         F.max(_month_instant((F.col("doc_id") * 37) % MONTH_MINUTES)).alias("last_activity"),
         F.count("*").alias("message_count"),
+        F.concat(F.lit("/corpus/"), F.min("lang")).alias("folder_display"),
+        F.max("lang").alias("git_branch"),
+        F.concat(F.lit("/corpus/"), F.min("doc_id").cast("string"), F.lit(".jsonl")).alias("file_path"),
     )
 
 
