@@ -38,6 +38,7 @@ class WaveletMatrix:
         self.n, self.zeros = n, [int(z) for z in zeros]
         self.planes = [np.frombuffer(p, np.uint8) for p in planes]
         self.ones = [np.frombuffer(o, np.uint32) for o in ones]
+        self._ranks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -61,9 +62,11 @@ class WaveletMatrix:
         plane, block = self.planes[level], at // BLOCK
         if not self.n:
             return np.zeros(at.shape, np.int64)
-        padded = np.concatenate([plane, np.zeros(BLOCK // 8, np.uint8)])
-        counted = np.append(self.ones[level], 0).astype(np.int64)
-        counted[-1] = counted[-2] + int(np.bitwise_count(plane[(len(counted) - 2) * (BLOCK // 8) :]).sum())
+        if level not in self._ranks:
+            # A block behind the end and the count up to it, added once: a rank then looks at one block.
+            total = int(self.ones[level][-1]) + int(np.bitwise_count(plane[(len(self.ones[level]) - 1) * (BLOCK // 8) :]).sum())
+            self._ranks[level] = (np.concatenate([plane, np.zeros(BLOCK // 8, np.uint8)]), np.append(self.ones[level].astype(np.int64), total))
+        padded, counted = self._ranks[level]
         start = np.minimum(block, len(counted) - 1)
         byte = start[..., None] * (BLOCK // 8) + np.arange(BLOCK // 8)
         left = np.clip(at[..., None] - byte * 8, 0, 8)
@@ -161,7 +164,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
             yield flush()
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), whole_text(text_column).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    # Rows of one id (or of none) may be many, and are dealt out by how their texts begin.
+    rows = rows.repartitionByRange("id", F.left("text", F.lit(64))).sortWithinPartitions("id", "text")
     rows.mapInPandas(shards, SHARD).write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(path)
 
 
