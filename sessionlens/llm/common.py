@@ -12,6 +12,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows dealt out by ``columns`` to the session's number of shuffle partitions, which small rows of costly work need too: adaptive
+    execution joins partitions by their bytes alone."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def whole_text(column: str = "text") -> Column:
     """The text as it is; null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import whole_text
+from sessionlens.llm.common import spread, whole_text
 from sessionlens.llm.encode import WordStore
 from sessionlens.llm.ragged import batches, offsets, prefix_hash, ragged_index, span_hash
 from sessionlens.session import stage
@@ -400,8 +400,8 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, id_column: str = "d
 
     whole = rows.where(~giant).select("doc_id", "text").mapInPandas(small, ENCODED)
     chunks = stage(rows.where(giant).mapInPandas(cut, "row long, doc_id long, chunk int, behind string, text string, ahead string"), "giant-chunks")
-    spread = chunks.repartition("row", "chunk")
-    known = spread.mapInPandas(matrices, "row long, chunk int, m binary").groupBy("row").applyInPandas(states, "row long, chunk int, start int, over int")
+    dealt = spread(chunks, "row", "chunk")
+    known = dealt.mapInPandas(matrices, "row long, chunk int, m binary").groupBy("row").applyInPandas(states, "row long, chunk int, start int, over int")
     parts = chunks.join(known, ["row", "chunk"]).select("row", "doc_id", "chunk", "text", "ahead", "start", "over").mapInPandas(trace, "row long, doc_id long, chunk int, ids binary")
     ordered = F.array_sort(F.collect_list(F.struct("chunk", "ids")))
     long = parts.groupBy("row", "doc_id").agg(ordered.alias("p")).select("doc_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"))

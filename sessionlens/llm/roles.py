@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionlens.llm.common import spread
 from sessionlens.session import stage
 
 ROLES = ("system", "user", "assistant")
@@ -173,7 +174,7 @@ def repaired(turns: DataFrame, id_column: str = "conv_id", turn_column: str = "t
     rows = stage(rows, "turns")
 
     def together(df: DataFrame) -> DataFrame:
-        return df.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "seq")
+        return spread(df, "conv_id", "part").sortWithinPartitions("conv_id", "part", "seq")
 
     def matrices(run: pd.DataFrame) -> list[tuple]:
         return [(*_name(run), transfer(run["role"].tolist()))]

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionlens.llm.common import whole_text
+from sessionlens.llm.common import spread, whole_text
 from sessionlens.llm.encode import WordStore
 from sessionlens.llm.pieces import is_unigram
 from sessionlens.llm.ragged import batches
@@ -303,7 +303,7 @@ def token_counts(docs: DataFrame, model: str, chunk: int = CHUNK, id_column: str
         return head.assign(chunk=int(group["chunk"].iloc[0]) // FAN, **{k: pd.Series([v], dtype=object) for k, v in composed(group).items()})
 
     pieces = rows.where(giant).mapInPandas(cut, "row long, doc_id long, n_bytes long, chunk int, behind string, text string, ahead string")
-    level = stage(pieces.repartition("row", "chunk").mapInPandas(maps, MAPS), "state-maps")
+    level = stage(spread(pieces, "row", "chunk").mapInPandas(maps, MAPS), "state-maps")
     while level.where("chunk > 0").limit(1).count():
         level = stage(level.groupBy("row", F.floor(F.col("chunk") / FAN).alias("part")).applyInPandas(compose, MAPS), "state-maps")
     # A text starts at its start, and its last piece ends with it: of the map that is left one cell has a count.
