@@ -358,7 +358,8 @@ ORACLES["malformed_count"] = """SELECT 'unknown' AS type, count(*) AS lines, cou
 ORACLES["session_ids"] = """WITH h AS (SELECT page_id, url, md5(CAST(page_id AS VARCHAR)) AS h FROM pages),
 u AS (SELECT page_id, contains(url, '?') AS bad, h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS id FROM h)
 SELECT page_id, CASE WHEN bad THEN '/logs/x' || id || '.jsonl' ELSE 'C:\\logs\\' || upper(id) || '.jsonl' END AS path, CASE WHEN NOT bad THEN id END AS session_id FROM u""".replace("\\\\", "\\")
-ORACLES["file_heads"] = "SELECT page_id, CASE WHEN length(html) > 0 THEN upper(sha256(encode(html)[1:4096])) END AS head_sha256 FROM pages"
+ORACLES["file_heads"] = """WITH f AS (SELECT page_id, encode(coalesce(html, '') || chr(10)) AS bytes FROM pages)
+SELECT page_id, CAST(octet_length(bytes) AS BIGINT) AS size, upper(sha256(bytes[1:4096])) AS head_sha256, TRUE AS readable FROM f"""
 ORACLES["chunks_split"] = f"WITH RECURSIVE {DOCUMENT_CHUNKS} SELECT session_id, chunk_no, kind, ts, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS digest FROM chunks"
 ORACLES["chunks_derived"] = f"{TABLES} SELECT session_id, chunk_no, kind, ts, text FROM chunks_derived"
 ORACLES["chunks_all"] = f"{TABLES} SELECT session_id, chunk_no, kind, ts, md5(text) AS digest FROM chunks"

@@ -124,9 +124,15 @@ def session_ids(spark, sf):
 
 @query
 def file_heads(spark, sf):
-    """Head fingerprint of each page's bytes; empty content has none."""
-    head = F.substring(F.encode("html", "UTF-8"), 1, transcripts.HEAD_BYTES)
-    return A.table(spark, sf, "pages").select("page_id", F.when(F.length(head) > 0, F.upper(F.sha2(head, 256))).alias("head_sha256"))
+    """Every page as a file that tasks write: listed with its size, and the fingerprint of its first bytes."""
+    folder = f"{checkpoint_dir(spark)}/heads-{uuid.uuid4().hex}"
+    pages = A.table(spark, sf, "pages").select(
+        _session_file(F.col("page_id")).alias("session_id"), F.concat(F.lit("folder "), (F.col("page_id") % 8).cast("string")).alias("folder"), F.lit(1).alias("seq"), F.coalesce("html", F.lit("")).alias("line"))
+    transcripts.write_transcripts(pages, folder)
+    files = stage(transcripts.list_files(spark, folder), "files")
+    heads = transcripts.head_hashes(files).select("file_path", "head_sha256", "readable")
+    page = F.conv(F.substring("session_id", 1, 8), 16, 10).cast("bigint")
+    return files.join(heads, "file_path").select(page.alias("page_id"), F.col("size").cast("bigint").alias("size"), F.upper("head_sha256").alias("head_sha256"), "readable")
 
 
 @query
@@ -299,10 +305,7 @@ def postings(spark, sf):
 
 @query
 def prefix_vocab(spark, sf):
-    # df needs no positions: occurrences are reduced to one row per (token, chunk) and counted.
-    forward = I.forward_index(document_chunks(spark, sf))
-    held = forward.select(F.explode(F.array_distinct("tokens")).alias("token"))
-    vocabulary = held.groupBy("token").agg(F.count("*").alias("df"))
+    vocabulary = I.build_vocabulary(I.build_postings(I.forward_index(document_chunks(spark, sf))))
     return I.prefix_keys(vocabulary).groupBy("prefix").agg(F.count("*").alias("tokens"), F.sum("df").alias("chunks"))
 
 
