@@ -74,7 +74,7 @@ def is_unigram(path: str) -> bool:
 
 class Pieces(WordStore):
     # Stretches come with their ids and with the state of the scan.
-    most_words = 800_000
+    most_words = 500_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -266,7 +266,7 @@ class Pieces(WordStore):
             word = np.insert(word, at, [word[at]] * (len(raw) - 1))
         return np.where(piece < 0, self.unknown, piece).astype(np.uint32), np.bincount(word, minlength=len(words)), values
 
-    def encode(self, texts: list[str], most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of normalized texts and the texts' offsets."""
         flat, sizes = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
         for part in batches([len(t) for t in texts], most):
@@ -361,7 +361,7 @@ def encoded(docs: DataFrame, model: str, chunk: int = CHUNK, id_column: str = "d
     def small(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         p = pieces(model)
         for frame in frames:
-            for part in batches([len(t) for t in frame["text"]], 2_000_000):
+            for part in batches([len(t) for t in frame["text"]], 1_000_000):
                 group = frame.iloc[part]
                 ids, at = p.encode(p.normalize(group["text"].tolist()))
                 yield pd.DataFrame({"doc_id": group["doc_id"], "ids": [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]})

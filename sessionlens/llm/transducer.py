@@ -35,13 +35,16 @@ CHUNK = 32_768
 #: Maps composed at a time.
 FAN = 16
 #: Transitions a worker keeps.
-MOST = 600_000
+MOST = 250_000
 #: What a place may follow besides a piece: the start of a text, a character no piece covers.
 START, UNKNOWN = -1, -2
 _TRANSDUCERS: dict[str, "Transducer"] = {}
 
 
 class Transducer(WordStore):
+    # Stretches stand beside the states in a worker's memory.
+    most_words = 600_000
+
     def __init__(self, path: str):
         import sentencepiece
 
@@ -174,7 +177,7 @@ class Transducer(WordStore):
         """Only counts are kept, as the words' values."""
         return np.zeros(0, np.uint32), np.zeros(len(words), np.int64), np.array([self.run(w)[0] for w in words], np.float64)
 
-    def counts(self, texts: list[str], most: int = 2_000_000) -> np.ndarray:
+    def counts(self, texts: list[str], most: int = 1_000_000) -> np.ndarray:
         """Tokens of normalized texts."""
         out = np.zeros(len(texts), np.int64)
         for part in batches([len(t) for t in texts], most):
@@ -276,7 +279,7 @@ def token_counts(docs: DataFrame, model: str, chunk: int = CHUNK, id_column: str
     def small(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = transducer(model)
         for frame in frames:
-            for part in batches([len(x) for x in frame["text"]], 2_000_000):
+            for part in batches([len(x) for x in frame["text"]], 1_000_000):
                 group = frame.iloc[part]
                 yield pd.DataFrame({"doc_id": group["doc_id"], "n_bytes": group["n_bytes"], "n_tokens": t.counts(t.normalize(group["text"].tolist()))})
 
