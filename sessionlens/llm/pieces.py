@@ -22,6 +22,7 @@ import heapq
 import json
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -74,7 +75,7 @@ def is_unigram(path: str) -> bool:
 
 class Pieces(WordStore):
     # Stretches come with their ids and with the state of the scan.
-    most_words = 500_000
+    most_words = 300_000
 
     def __init__(self, path: str):
         import sentencepiece
@@ -85,11 +86,7 @@ class Pieces(WordStore):
         text = [m.id_to_piece(i) for i in range(n)]
         usable = [i for i in range(n) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))]
         self.scores = np.array([m.get_score(i) for i in range(n)])
-        self.merges = None
-        if not is_unigram(path):
-            from sessionlens.llm.transducer import transducer
-
-            self.merges = transducer(path)
+        self.path, self.merging = path, not is_unigram(path)
         self.unknown_score = float(self.scores[usable].min()) - 10.0
         self.longest = max(len(text[i]) for i in usable)
         self.bytes_from = next((i for i in range(n) if m.is_byte(i)), None)
@@ -106,6 +103,13 @@ class Pieces(WordStore):
         raw = [bytes([i - self.bytes_from]) if m.is_byte(i) else b"" if m.is_control(i) else " ⁇ ".encode() if m.is_unknown(i) else text[i].replace(MARK, " ").encode() for i in range(n)]
         self.raw, self.raw_at = np.frombuffer(b"".join(raw), np.uint8), offsets(np.array([len(r) for r in raw]))
 
+    @cached_property
+    def merges(self):
+        """The file's merges and what may follow what; workers that only decode never load them."""
+        from sessionlens.llm.transducer import transducer
+
+        return transducer(self.path)
+
     def normalize(self, texts: list[str]) -> list[str]:
         return [self.model.normalize(t) for t in texts]
 
@@ -239,7 +243,7 @@ class Pieces(WordStore):
         return out
 
     def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if self.merges:
+        if self.merging:
             flat, sizes = array("I"), np.zeros(len(words), np.int64)
             for k, word in enumerate(words):
                 ids = self.merged_ids(word)
@@ -300,7 +304,7 @@ class Pieces(WordStore):
 
     def transfer(self, behind: str, chunk: str, ahead: str) -> bytes:
         """A chunk's transfer matrix as it is sent: all scores, or for merging files the pairs of pieces that go together."""
-        if not self.merges:
+        if not self.merging:
             return b"m" + self.matrix(chunk, ahead).tobytes()
         found = self.merges.state_map(behind, chunk, ahead, counted=False)
         counts = np.array(found["counts"]).reshape(len(found["entries"]), -1)
