@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from sessionlens import constants as K
 from sessionlens.functions import text as X, time as T
+from sessionlens.session import stage
 
 SESSION = ("owner", "session_id")
 PROJECT_DAY = ("owner", "day", "project_key")
@@ -77,22 +78,35 @@ def focus_days(days: DataFrame, requests: DataFrame, scan_days: int | None = Non
 
     A requested day is reported even when nothing happened on it; otherwise the latest active day
     before today is taken. ``scan_days`` is how far back a day is looked for, without limit by default.
+
+    Requests stand among the active days of their owner as marks, and look at the nearest day before and after them, so
+    many requests of an owner with many days cost their sum, not their product.
     """
-    near = days.join(requests, "owner", "right")
-    recent = (F.col("day") < F.col("today")) & _within(F.col("day"), F.date_sub("today", 1), scan_days)
-    chosen = near.groupBy("owner", "today", "requested").agg(F.max(F.when(recent, F.col("day"))).alias("latest"))
-    focus = chosen.select("owner", "today", F.coalesce("requested", "latest").alias("focus")).where(F.col("focus").isNotNull())
-    day = F.col("day")
-    return (
-        focus.join(days, "owner", "left").groupBy("owner", "today", "focus")
-        .agg(
-            F.max(F.when((day < F.col("focus")) & _within(day, F.col("focus"), scan_days), day)).alias("previous_day"),
-            F.min(F.when((day > F.col("focus")) & (day <= F.col("today")), day)).alias("next_day"),
-            F.coalesce(F.bool_or(day == F.col("focus")), F.lit(False)).alias("is_active"),
-        )
+    latest = _beside(days, requests.withColumn("mark", F.col("today")))
+    recent = F.when(_within(F.col("before"), F.date_sub("today", 1), scan_days), F.col("before"))
+    focus = latest.select("owner", "today", F.coalesce("requested", recent).alias("focus")).where(F.col("focus").isNotNull()).distinct()
+    placed = _beside(days, focus.withColumn("mark", F.col("focus")))
+    return placed.select(
+        "owner", "today", "focus",
+        F.when(_within(F.col("before"), F.col("focus"), scan_days), F.col("before")).alias("previous_day"),
+        F.when(F.col("after") <= F.col("today"), F.col("after")).alias("next_day"),
+        F.coalesce(F.col("here") == F.col("mark"), F.lit(False)).alias("is_active"),
     )
 
 
+def _beside(days: DataFrame, marks: DataFrame) -> DataFrame:
+    """Marks (owner, mark, ...) with the nearest active days: ``before`` and ``after`` are other days, ``here`` is the last one up to the mark."""
+    carried = F.struct(*[F.col(c) for c in marks.columns if c != "owner"])
+    empty = F.lit(None).cast(marks.select(carried.alias("m")).schema["m"].dataType)
+    rows = marks.select("owner", F.col("mark").alias("at"), carried.alias("m"), F.lit(None).cast("date").alias("day")).unionByName(
+        days.select("owner", F.col("day").alias("at"), empty.alias("m"), "day"))
+    # A range counts all rows of one date alike; days are numbers there.
+    order = W.partitionBy("owner").orderBy(F.unix_date("at"))
+    upto, below, above = order.rangeBetween(W.unboundedPreceding, 0), order.rangeBetween(W.unboundedPreceding, -1), order.rangeBetween(1, W.unboundedFollowing)
+    found = rows.select("owner", "m", F.max("day").over(upto).alias("here"), F.max("day").over(below).alias("before"), F.min("day").over(above).alias("after"))
+    return found.where(F.col("m").isNotNull()).select("owner", "m.*", "here", "before", "after")
+
+
 def every_active_day(days: DataFrame) -> DataFrame:
     """Each active day as a focus of its own, told on the day after."""
     return days.select("owner", F.date_add("day", 1).alias("today"), F.col("day").alias("focus"))
@@ -127,39 +141,46 @@ def recap_frames(days: DataFrame, focus: DataFrame, lookback: int = K.LOOKBACK_D
 # ---------------------------------------------------------------- sessions
 
 
-def key_prompts(cleaned: DataFrame) -> DataFrame:
+def told_messages(cleaned: DataFrame) -> DataFrame:
+    """Messages as recaps tell them: ``told`` is the shortened prompt or reply, ``size`` the length of a prompt (NULL for what is none),
+    and ``same`` 128 bits of its lower-case form, by which prompts are told apart.
+
+    Staged: cleaning is costly and several steps read the result, of which a row is a few hundred bytes however long its text.
+    """
+    is_prompt = F.col("kind") == K.KIND_USER_PROMPT
+    lines = cleaned.withColumn("_line", F.when(is_prompt, F.col("prompt")).otherwise(X.collapse(F.col("text"))))
+    told = F.when(is_prompt, X.truncate_words(F.col("_line"), K.KEY_PROMPT_LENGTH)).otherwise(X.truncate_words(F.col("_line"), K.OUTCOME_LENGTH))
+    return stage(lines.select(
+        "owner", "day", "session_id", "ts", "chunk_no", "kind", F.length("prompt").alias("size"),
+        F.unhex(F.md5(F.lower("prompt").cast("binary"))).alias("same"), told.alias("told")), "told")
+
+
+def key_prompts(told: DataFrame) -> DataFrame:
     """The three longest distinct prompts of a session's day, in the order they were typed."""
-    prompts = cleaned.where(F.col("prompt").isNotNull())
-    first = prompts.groupBy("owner", "day", "session_id", F.lower("prompt").alias("same")).agg(
-        F.min(F.struct("ts", "chunk_no", "prompt")).alias("p")
-    )
-    short = first.select(
-        "owner", "day", "session_id", F.col("p.ts").alias("ts"), F.col("p.chunk_no").alias("chunk_no"),
-        F.length("p.prompt").alias("size"), X.truncate_words(F.col("p.prompt"), K.KEY_PROMPT_LENGTH).alias("prompt"),
-    )
-    longest = W.partitionBy("owner", "day", "session_id").orderBy(F.col("size").desc(), "ts", "chunk_no")
-    top = short.withColumn("n", F.row_number().over(longest)).where(F.col("n") <= K.KEY_PROMPT_COUNT)
-    told = F.array_sort(F.collect_list(F.struct("ts", "chunk_no", "prompt")))
-    return top.groupBy("owner", "day", "session_id").agg(F.transform(told, lambda p: p["prompt"]).alias("key_prompts"))
+    first = told.where(F.col("size").isNotNull()).groupBy("owner", "day", "session_id", "same").agg(
+        F.min(F.struct("ts", "chunk_no", "size", "told")).alias("p"))
+    longest = W.partitionBy("owner", "day", "session_id").orderBy(F.col("p.size").desc(), "p.ts", "p.chunk_no")
+    top = first.withColumn("n", F.row_number().over(longest)).where(F.col("n") <= K.KEY_PROMPT_COUNT)
+    in_order = F.array_sort(F.collect_list("p"))
+    return top.groupBy("owner", "day", "session_id").agg(F.transform(in_order, lambda p: p["told"]).alias("key_prompts"))
 
 
-def session_days(cleaned: DataFrame) -> DataFrame:
+def session_days(told: DataFrame) -> DataFrame:
     """Counts, bounds and outcome per (owner, day, session); only days with a typed prompt.
 
     ``first_activity``/``last_activity`` cover all messages, ``first_prompt_at``/``last_prompt_at`` the
     recorded prompts: the focus day is told by the former, earlier days by the latter.
     """
     is_prompt = F.col("kind") == K.KIND_USER_PROMPT
-    reply = F.struct("ts", "chunk_no", X.truncate_words(X.collapse(F.col("text")), K.OUTCOME_LENGTH).alias("text"))
     return (
-        cleaned.groupBy("owner", "day", "session_id")
+        told.groupBy("owner", "day", "session_id")
         .agg(
-            F.count("prompt").alias("prompt_count"),
+            F.count("size").alias("prompt_count"),
             F.min("ts").alias("first_activity"),
             F.max("ts").alias("last_activity"),
             F.min(F.when(is_prompt, F.col("ts"))).alias("first_prompt_at"),
             F.max(F.when(is_prompt, F.col("ts"))).alias("last_prompt_at"),
-            F.max(F.when(~is_prompt, reply))["text"].alias("outcome"),
+            F.max(F.when(~is_prompt, F.struct("ts", "chunk_no", "told")))["told"].alias("outcome"),
         )
         .where(F.col("prompt_count") > 0)
         .withColumns({"outcome": X.empty_to_null(F.col("outcome")), "is_quick": F.col("prompt_count") <= K.QUICK_PROMPT_LIMIT})
@@ -194,9 +215,10 @@ def session_projects(sessions: DataFrame, repos: DataFrame) -> DataFrame:
 
 def session_recaps(cleaned: DataFrame, projects_of_sessions: DataFrame) -> DataFrame:
     """The account of each session's day."""
+    told = told_messages(cleaned)
     return (
-        session_days(cleaned)
-        .join(key_prompts(cleaned), ["owner", "day", "session_id"])
+        session_days(told)
+        .join(key_prompts(told), ["owner", "day", "session_id"])
         .join(projects_of_sessions, list(SESSION))
     )
 
@@ -216,30 +238,33 @@ def _ordered(items: Column, name: str) -> Column:
 
 def project_recaps(recaps: DataFrame, commits: DataFrame) -> DataFrame:
     """One row per (owner, day, project), positioned within the day: busiest first."""
-    totals = recaps.groupBy(*PROJECT_DAY).agg(
-        F.min(F.struct("session_id", "path"))["path"].alias("path"),
+    # Per branch first, so what is collected per project is its branches, not its sessions.
+    by_branch = recaps.groupBy(*PROJECT_DAY, "branch").agg(
+        F.min(F.struct("session_id", "path")).alias("path"),
         F.count("*").alias("session_count"),
         F.count_if("is_quick").alias("quick_count"),
         F.sum("prompt_count").alias("prompt_count"),
         F.min("first_activity").alias("first_activity"),
         F.max("last_activity").alias("last_activity"),
         F.max("last_prompt_at").alias("last_prompt_at"),
+        F.min(F.struct("first_activity", "session_id")).alias("o"),
     )
-    # Distinct branches first, so what is collected per project is its branches, not its sessions.
-    branches = (
-        recaps.where(F.col("branch").isNotNull()).groupBy(*PROJECT_DAY, "branch")
-        .agg(F.min(F.struct("first_activity", "session_id")).alias("o"))
-        .groupBy(*PROJECT_DAY).agg(_ordered(F.struct("o", "branch"), "branch").alias("branches"))
+    totals = by_branch.groupBy(*PROJECT_DAY).agg(
+        F.min("path")["path"].alias("path"),
+        *[F.sum(c).alias(c) for c in ("session_count", "quick_count", "prompt_count")],
+        F.min("first_activity").alias("first_activity"),
+        F.max("last_activity").alias("last_activity"),
+        F.max("last_prompt_at").alias("last_prompt_at"),
+        _ordered(F.when(F.col("branch").isNotNull(), F.struct("o", "branch")), "branch").alias("branches"),
     )
     counted = commits.groupBy(*PROJECT_DAY).agg(F.count("*").alias("commit_count"))
     day = W.partitionBy("owner", "day")
     busiest = day.orderBy(F.col("prompt_count").desc(), F.col("last_activity").desc(), "project_key")
     earlier = day.orderBy(F.col("prompt_count").desc(), F.col("last_prompt_at").desc(), "project_key")
     return (
-        totals.join(branches, list(PROJECT_DAY), "left").join(counted, list(PROJECT_DAY), "left")
+        totals.join(counted, list(PROJECT_DAY), "left")
         .withColumns({
             "name": X.base_name(F.col("path")),
-            "branches": F.coalesce("branches", F.array().cast("array<string>")),
             "commit_count": F.coalesce("commit_count", F.lit(0)),
             "pos": F.row_number().over(busiest),
             "earlier_pos": F.row_number().over(earlier),
@@ -260,6 +285,8 @@ def week_rollup(frames: DataFrame, projects: DataFrame) -> DataFrame:
     """Projects over the focus day and the active days before it, busiest first."""
     week = ["owner", "today", "focus", "project_key"]
     entries = frames.join(projects, ["owner", "day"])
+    # At most one list of branches per day of the frame is collected, and the newest day names a branch first.
+    lists = F.transform(F.array_sort(F.collect_list(F.struct("age", "branches"))), lambda d: d["branches"])
     totals = entries.groupBy(*week).agg(
         F.max(F.struct("day", "name", "path")).alias("latest"),
         F.count("*").alias("active_days"),
@@ -267,20 +294,15 @@ def week_rollup(frames: DataFrame, projects: DataFrame) -> DataFrame:
         F.sum("quick_count").alias("quick_count"),
         F.sum("prompt_count").alias("prompt_count"),
         F.sum("commit_count").alias("commit_count"),
-    )
-    named = entries.select(*week, "age", F.posexplode("branches").alias("i", "branch"))
-    branches = (
-        named.groupBy(*week, "branch").agg(F.min(F.struct("age", "i")).alias("o"))
-        .groupBy(*week).agg(_ordered(F.struct("o", "branch"), "branch").alias("branches"))
+        F.array_distinct(F.flatten(lists)).alias("branches"),
     )
     order = W.partitionBy("owner", "today", "focus").orderBy(F.col("prompt_count").desc(), F.col("latest.day").desc(), "project_key")
     return (
-        totals.join(branches, week, "left")
-        .withColumn("pos", F.row_number().over(order))
+        totals.withColumn("pos", F.row_number().over(order))
         .select(
             *week, F.col("latest.name").alias("name"), F.col("latest.path").alias("path"), F.col("latest.day").alias("last_day"),
             "active_days", "session_count", "quick_count", "prompt_count", "commit_count",
-            F.coalesce("branches", F.array().cast("array<string>")).alias("branches"), "pos",
+            "branches", "pos",
         )
     )
 

@@ -472,13 +472,13 @@ def focus_day(spark, sf):
 @query
 def key_prompts(spark, sf):
     cleaned = R.clean_messages(R.merge_messages(A.event_chunks(spark, sf), CALENDAR))
-    return R.key_prompts(cleaned).select("owner", "day", "session_id", F.array_join("key_prompts", " | ").alias("key_prompts"))
+    return R.key_prompts(R.told_messages(cleaned)).select("owner", "day", "session_id", F.array_join("key_prompts", " | ").alias("key_prompts"))
 
 
 @query
 def session_recap(spark, sf):
     cleaned = R.clean_messages(R.merge_messages(A.event_chunks(spark, sf), CALENDAR))
-    return R.session_days(cleaned)
+    return R.session_days(R.told_messages(cleaned))
 
 
 @query
@@ -527,7 +527,7 @@ def commits_by_day(spark, sf):
 
 def event_recaps(spark, sf):
     cleaned = R.clean_messages(R.merge_messages(A.event_chunks(spark, sf), CALENDAR))
-    placed = R.session_projects(A.event_sessions(spark, sf), A.event_repos(spark, sf))
+    placed = stage(R.session_projects(A.event_sessions(spark, sf), A.event_repos(spark, sf)), "placed")
     recaps = stage(R.session_recaps(cleaned, placed), "recaps")
     commits = R.commits_by_day(G.own_commits(A.event_commits(spark, sf), A.event_repos(spark, sf)), CALENDAR)
     return recaps, commits
@@ -547,7 +547,7 @@ def project_recap(spark, sf):
 @query
 def conversation_projects(spark, sf):
     _, _, recaps, commits = conversation_day(spark, sf)
-    return _project_columns(R.project_recaps(recaps, commits))
+    return _project_columns(R.project_recaps(stage(recaps, "recaps"), commits))
 
 
 @query
