@@ -213,9 +213,46 @@ def session_projects(sessions: DataFrame, repos: DataFrame) -> DataFrame:
     )
 
 
+def in_days(chunks: DataFrame, days: DataFrame, calendar: Calendar) -> DataFrame:
+    """Chunks of the given (owner, day) only.
+
+    The first and last instant of all days, two numbers, are filters of the scan, so files, row groups and pages of other
+    times are not read where the table is ordered by time; what is left is matched by owner and day.
+    """
+    def instant(day: Column) -> Column:
+        return F.unix_micros(T.day_start_instant(day, calendar.zone, calendar.day_start))
+
+    span = days.agg(F.min(instant(F.col("day"))).alias("first"), F.max(instant(F.date_add("day", 1))).alias("end")).first()
+    if span.first is None:
+        return chunks.limit(0)
+    near = chunks.where((F.col("ts") >= F.timestamp_micros(F.lit(span.first))) & (F.col("ts") < F.timestamp_micros(F.lit(span.end))))
+    return near.withColumn("day", calendar.day_of(F.col("ts"))).join(days.select("owner", "day").distinct(), ["owner", "day"], "left_semi").drop("day")
+
+
+def focused(chunks: DataFrame, requests: DataFrame, calendar: Calendar, lookback: int = K.LOOKBACK_DAYS, scan_days: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Focus days, frames and told messages for requests (owner, today, requested): prompts tell which days were active, and replies
+    are read for focus days alone.
+
+    A focus day is told by all messages of the day, the days before it by their prompts, of which those of one instant are one
+    message whatever was replied between them. A day that is the focus of one request is read with its replies for all.
+    """
+    prompts = told_messages(clean_messages(merge_messages(chunks.where(F.col("kind") == K.KIND_USER_PROMPT), calendar)))
+    days = prompts.where(F.col("size").isNotNull()).select("owner", "day").distinct()
+    focus = stage(focus_days(days, requests, scan_days), "focus")
+    frames = stage(recap_frames(days, focus.select("owner", "today", "focus"), lookback, scan_days), "frames")
+    at = focus.select("owner", F.col("focus").alias("day")).distinct()
+    own = told_messages(clean_messages(merge_messages(in_days(chunks, at, calendar), calendar)))
+    # Earlier days of a frame only.
+    earlier = frames.select("owner", "day").distinct().join(at, ["owner", "day"], "left_anti")
+    return focus, frames, own.unionByName(prompts.join(earlier, ["owner", "day"], "left_semi").select(own.columns))
+
+
 def session_recaps(cleaned: DataFrame, projects_of_sessions: DataFrame) -> DataFrame:
     """The account of each session's day."""
-    told = told_messages(cleaned)
+    return recaps_of(told_messages(cleaned), projects_of_sessions)
+
+
+def recaps_of(told: DataFrame, projects_of_sessions: DataFrame) -> DataFrame:
     return (
         session_days(told)
         .join(key_prompts(told), ["owner", "day", "session_id"])

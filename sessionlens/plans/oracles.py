@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 MONTH = "TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * ({})"
 NOW = "TIMESTAMP '2024-01-31 12:00:00'"
 EMPTY = "''"
@@ -471,6 +473,17 @@ chosen AS (SELECT owner, today, coalesce(requested, (SELECT max(day) FROM active
 SELECT owner, today, focus, (SELECT max(day) FROM active a WHERE a.owner = c.owner AND a.day < c.focus) AS previous_day,
   (SELECT min(day) FROM active a WHERE a.owner = c.owner AND a.day > c.focus AND a.day <= c.today) AS next_day,
   EXISTS (SELECT 1 FROM active a WHERE a.owner = c.owner AND a.day = c.focus) AS is_active FROM chosen c WHERE focus IS NOT NULL"""
+ASKED = """
+asked AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS owner, DATE '2024-01-31' AS today, CASE WHEN user_id % 2 = 0 THEN DATE '2024-01-10' + CAST(user_id % 15 AS INTEGER) END AS requested FROM events),
+chosen AS (SELECT * FROM (SELECT owner, today, coalesce(requested, (SELECT max(day) FROM active a WHERE a.owner = q.owner AND a.day < q.today)) AS focus FROM asked q) WHERE focus IS NOT NULL)"""
+FOCUS_MESSAGES = re.sub(r"\b(flagged|runs|messages|cleaned|active)\b", r"focus_\1", messages_of("focus_chunks"))
+ORACLES["focus_recap"] = f"""WITH {EVENT_CHUNKS}, prompt_chunks AS (SELECT * FROM event_chunks WHERE kind = 4), {messages_of('prompt_chunks')}, {ASKED},
+asked_frames AS (
+  SELECT owner, focus, focus AS day, 0 AS age FROM chosen UNION ALL
+  SELECT owner, focus, day, CAST(age AS INTEGER) FROM (SELECT c.owner, c.focus, a.day, row_number() OVER (PARTITION BY c.owner, c.focus ORDER BY a.day DESC) AS age FROM chosen c JOIN active a ON a.owner = c.owner AND a.day < c.focus) WHERE age <= 4),
+focus_chunks AS (SELECT e.* FROM event_chunks e WHERE EXISTS (SELECT 1 FROM chosen c WHERE c.owner = e.owner AND c.focus = {working_day('e.ts')})), {FOCUS_MESSAGES},
+told AS (SELECT * FROM focus_cleaned UNION ALL SELECT * FROM cleaned c WHERE NOT EXISTS (SELECT 1 FROM chosen f WHERE f.owner = c.owner AND f.focus = c.day)), {SESSION_DAYS.replace('FROM cleaned', 'FROM told')}
+SELECT owner, focus, day, age, session_id, prompt_count, first_activity, last_activity, first_prompt_at, last_prompt_at, outcome, is_quick FROM asked_frames JOIN session_days USING (owner, day)"""
 ORACLES["key_prompts"] = f"{EVENT_MESSAGES}, {KEY_PROMPTS} SELECT owner, day, session_id, array_to_string(key_prompts, ' | ') AS key_prompts FROM key_prompts"
 ORACLES["session_recap"] = f"{EVENT_MESSAGES}, {SESSION_DAYS} SELECT * FROM session_days"
 PLAIN = collapse("replace(replace(coalesce(outcome, key_prompts[1]), '**', ''), '`', '')")

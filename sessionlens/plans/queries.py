@@ -458,15 +458,26 @@ def lookback_days(spark, sf):
     return R.recap_frames(days, R.every_active_day(days)).select("owner", "focus", "day", F.col("age").cast("int").alias("age"))
 
 
-@query
-def focus_day(spark, sf):
+def _asked_days(spark, sf):
     """For each user: even ids ask for a day (active or not), odd ids for the latest before today."""
-    days = R.active_days(R.clean_messages(R.merge_messages(A.event_chunks(spark, sf), CALENDAR)))
     users = A.table(spark, sf, "events").select("user_id").distinct()
-    asked = users.select(
+    return users.select(
         F.col("user_id").cast("string").alias("owner"), F.lit("2024-01-31").cast("date").alias("today"),
         F.when(F.col("user_id") % 2 == 0, F.date_add(F.lit("2024-01-10").cast("date"), (F.col("user_id") % 15).cast("int"))).alias("requested"))
-    return R.focus_days(days, asked)
+
+
+@query
+def focus_day(spark, sf):
+    days = R.active_days(R.clean_messages(R.merge_messages(A.event_chunks(spark, sf), CALENDAR)))
+    return R.focus_days(days, _asked_days(spark, sf))
+
+
+@query
+def focus_recap(spark, sf):
+    """What each user asked for: the focus day with replies, the days before it by their prompts."""
+    _, frames, told = R.focused(A.event_chunks(spark, sf), _asked_days(spark, sf), CALENDAR)
+    return frames.join(R.session_days(told), ["owner", "day"]).select(
+        "owner", "focus", "day", F.col("age").cast("int").alias("age"), "session_id", "prompt_count", "first_activity", "last_activity", "first_prompt_at", "last_prompt_at", "outcome", "is_quick")
 
 
 @query

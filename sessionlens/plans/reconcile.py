@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlens import constants as K
 from sessionlens.functions import text as X
-from sessionlens.operators import chunks as C, index as I, merge as M, sessions as S
+from sessionlens.operators import chunks as C, index as I, merge as M, recap, sessions as S
 from sessionlens.session import delete, stage, staging
 from sessionlens.sources import sinks, transcripts as R
 
@@ -37,6 +37,8 @@ VOCABULARY_SCHEMA = "token string, df bigint, letter_bucket int"
 DEATH_SCHEMA = "session_id string, kind int, died bigint"
 #: Folders of every table, outermost first.
 LAYOUT = {"sessions": ["bucket"], "chunks": ["derived", "bucket"], "postings": ["token_bucket"], "vocabulary": ["letter_bucket"], "deaths": []}
+#: How the rows of a file are ordered, where it matters to those who read it.
+ORDER = {"chunks": ["ts"]}
 SCHEMAS = {"sessions": SESSION_SCHEMA, "chunks": CHUNK_SCHEMA, "postings": POSTINGS_SCHEMA, "vocabulary": VOCABULARY_SCHEMA, "deaths": DEATH_SCHEMA}
 #: What a death means that is of no chunk kind: the session's row; all its chunks.
 SESSION_ROW, ALL_CHUNKS = -1, -2
@@ -97,6 +99,14 @@ class SessionIndex:
         vocabulary = self._vocabulary(self._read("vocabulary", version)).select("token", "df")
         return I.Index(I.forward_index(self.chunks(version)), self._read("postings", version), vocabulary, size, self.token_buckets, lambda found: self._alive(found, deaths))
 
+    def recaps(self, requests: DataFrame, repos: DataFrame, calendar: recap.Calendar, version: dict | None = None, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Focus days, frames and session recaps for requests (owner, today, requested). Chunks are ordered by time in their files, and
+        replies are read for the focus days only."""
+        version = version or self.version()
+        said = self._alive(self._read("chunks", version).where("derived = 0"), self._deaths(version)).drop("born", "derived")
+        focus, frames, told = recap.focused(said, requests, calendar, **options)
+        return focus, frames, recap.recaps_of(told, recap.session_projects(self.sessions(version), repos))
+
     @staticmethod
     def _vocabulary(changes: DataFrame) -> DataFrame:
         return changes.groupBy("letter_bucket", "token").agg(F.sum("df").alias("df")).where("df != 0")
@@ -256,7 +266,7 @@ class SessionIndex:
         letter = F.pmod(F.xxhash64(F.left("token", F.lit(1))), F.lit(LETTER_BUCKETS)).cast("int").alias("letter_bucket")
         changes = self._vocabulary(changes.select("token", "df", letter))
         for table, rows in (("sessions", fresh), ("chunks", new_chunks), ("postings", postings), ("vocabulary", changes)):
-            tables[table] += self.tables.write(table, rows, number, number, LAYOUT[table])
+            tables[table] += self.tables.write(table, rows, number, number, LAYOUT[table], ORDER.get(table, ()))
         self.tables.commit(base, now, *self._merge(base, tables, totals, number))
 
     def _merge(self, base: dict, tables: dict[str, list[dict]], totals: dict, number: int) -> tuple[dict, dict]:
@@ -274,7 +284,7 @@ class SessionIndex:
             rows = self._vocabulary(rows) if table == "vocabulary" else self._alive(rows, deaths).drop("born")
             born = max(int(s["pass"][:12]) for s in chosen)
             kept = [s for s in segments if s not in chosen]
-            merged = self.tables.write(table, rows, born, number, LAYOUT[table])
+            merged = self.tables.write(table, rows, born, number, LAYOUT[table], ORDER.get(table, ()))
             tables[table] = sorted([*kept, *merged], key=lambda s: s["pass"])
         if whole:
             totals = totals | {"dead": 0}

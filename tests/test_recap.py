@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionlens.functions import text as X
 from sessionlens.operators import recap as R, recap_text as RT
+from sessionlens.session import stage
 from sessionlens.sources import commits as G
 
 CALENDAR = R.Calendar("-03:00")
@@ -30,9 +31,9 @@ def build(spark, said, sessions, commits=(), repos=()):
     log = spark.createDataFrame([("me", *c) for c in commits], "owner string, repo_root string, sha string, subject string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     roots = spark.createDataFrame([("me", r) for r in repos], "owner string, root string")
     cleaned = R.clean_messages(R.merge_messages(chunks, CALENDAR))
-    recaps = R.session_recaps(cleaned, R.session_projects(table, roots))
-    daily = R.commits_by_day(log, CALENDAR)
-    return cleaned, recaps, R.project_recaps(recaps, daily), daily
+    recaps = stage(R.session_recaps(cleaned, R.session_projects(table, roots)), "recaps")
+    daily = stage(R.commits_by_day(log, CALENDAR), "commits")
+    return cleaned, recaps, stage(R.project_recaps(recaps, daily), "projects"), daily
 
 
 def request(spark, day=None, today=TODAY):
@@ -60,9 +61,9 @@ COMMITS = [("/srv/tides", "a1c4e77", "Read tables by month", at("06-16", "19:00"
 @pytest.fixture(scope="module")
 def week(spark):
     cleaned, recaps, projects, commits = build(spark, SAID, SESSIONS, COMMITS, ["/srv/harbour", "/srv/tides"])
-    days = R.active_days(cleaned)
-    focus = R.focus_days(days, request(spark, today=TOLD))
-    frames = R.recap_frames(days, focus.select("owner", "today", "focus"))
+    days = stage(R.active_days(cleaned), "days")
+    focus = stage(R.focus_days(days, request(spark, today=TOLD)), "focus")
+    frames = stage(R.recap_frames(days, focus.select("owner", "today", "focus")), "frames")
     return days, focus, frames, recaps, projects, commits
 
 
@@ -197,3 +198,60 @@ def test_days_together_equal_days_alone(spark, week):
     for day in together:
         alone = R.recap_frames(days, R.every_active_day(days).where(F.col("focus") == F.lit(day)))
         assert text(RT.day_lines(alone, recaps, projects, commits, CALENDAR)) == together[day]
+
+
+def messages(spark, rows):
+    return spark.createDataFrame(rows, "owner string, session_id string, chunk_no bigint, kind int, ts string, text string").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def test_replies_are_read_for_the_focus_day_only(spark):
+    # Two prompts of one instant with a reply between them: two messages where the reply is read, one where it is not.
+    rows = [("me", "s", 10 * d + i, kind, at(f"10-0{d}", "11:00"), f"{word} on {d}") for d in (1, 2) for i, (kind, word) in enumerate([(4, "first"), (5, "answer"), (4, "second")])]
+    focus, frames, told = R.focused(messages(spark, rows), request(spark), CALENDAR)
+    assert [(str(r.focus), str(r.previous_day)) for r in focus.collect()] == [("2026-10-02", "2026-10-01")]
+    by_day = {str(r.day): (r.prompt_count, r.outcome) for r in R.session_days(told).collect()}
+    assert by_day == {"2026-10-02": (2, "answer on 2"), "2026-10-01": (1, None)}
+    prompts = {str(r.day): r.key_prompts for r in R.key_prompts(told).collect()}
+    assert prompts == {"2026-10-02": ["first on 2", "second on 2"], "2026-10-01": ["first on 1 second on 1"]}
+    # No request finds a day: nothing is told.
+    assert R.focused(messages(spark, rows), request(spark, today=dt.date(2026, 10, 1)), CALENDAR)[2].count() == 0
+    assert R.focused(messages(spark, []), request(spark), CALENDAR)[2].count() == 0
+
+
+def test_many_requests_of_an_owner_look_at_the_nearest_days(spark):
+    active = [dt.date(2026, 9, d) for d in (1, 2, 5, 9, 20)]
+    days = spark.createDataFrame([(o, d) for o in ("a", "b") for d in active if o == "a" or d.day > 2], "owner string, day date")
+    asked = [(o, dt.date(2026, 9, t), r and dt.date(2026, 9, r)) for o in ("a", "b", "none") for t in range(1, 30, 3) for r in (None, 2, 4, 20, 25)]
+    for scan in (None, 4):
+        want = set()
+        for owner, today, requested in asked:
+            own = {"a": active, "b": active[2:]}.get(owner, [])
+            near = lambda d, end: scan is None or (end - d).days < scan
+            focus = requested or max((d for d in own if d < today and near(d, today - dt.timedelta(1))), default=None)
+            if focus:
+                want.add((owner, today, focus, max((d for d in own if d < focus and near(d, focus)), default=None), min((d for d in own if focus < d <= today), default=None), focus in own))
+        found = R.focus_days(days, spark.createDataFrame(asked, "owner string, today date, requested date"), scan).collect()
+        assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
+def test_the_scan_reads_the_asked_days_only(spark, tmp_path):
+    rows = spark.range(30000).select(
+        F.lit("me").alias("owner"), (F.col("id") % 7).cast("string").alias("session_id"), F.col("id").alias("chunk_no"), F.lit(4).alias("kind"),
+        (F.lit("2026-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("id").cast("int") * 10)).alias("ts"), F.lit("said").alias("text"))
+    for month in range(3):
+        rows.withColumn("ts", F.col("ts") + F.make_dt_interval(F.lit(month * 30))).sort("ts").coalesce(1).write.mode("append").parquet(f"{tmp_path}/chunks")
+    day = spark.createDataFrame([("me", dt.date(2026, 2, 12))], "owner string, day date")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = R.in_days(spark.read.parquet(f"{tmp_path}/chunks"), day, CALENDAR)
+        plan = found._jdf.queryExecution().executedPlan()
+        n = found.count()
+        counted = found.select("ts", "text")
+        counted.collect()
+        leaves = counted._jdf.queryExecution().executedPlan().collectLeaves()
+        read = max(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()) if "parquet" in leaves.apply(i).toString())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    want = spark.read.parquet(f"{tmp_path}/chunks").where(CALENDAR.day_of(F.col("ts")) == F.lit("2026-02-12").cast("date")).count()
+    # Each file spans 208 days from its month on, so two of three have rows of that day; of each a page of 20,000 rows is read.
+    assert n == want > 0 and n <= read <= 40000, plan.toString()
