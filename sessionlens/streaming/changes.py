@@ -57,15 +57,15 @@ def successors(events: DataFrame, delay: int, gap: int) -> DataFrame:
 
 
 def reached(starts: DataFrame, hops: DataFrame) -> DataFrame:
-    """``(key, at)`` of all events that following ``hops`` (key, at, next) leads to from ``starts``, these included.
+    """``(key, burst, at)`` of all events that following ``hops`` (key, burst, at, next) leads to from ``starts``, these included.
 
     Round k adds what is 2**k hops further, and doubles the hops; it ends when no chain is that long."""
-    found = stage(starts.select("key", "at"), "reached")
-    hops = stage(hops.where("next is not null").select("key", "at", "next"), "hops")
+    found = stage(starts.select("key", "burst", "at"), "reached")
+    hops = stage(hops.where("next is not null").select("key", "burst", "at", "next"), "hops")
     while hops.limit(1).count():
-        found = stage(found.unionByName(found.join(hops, ["key", "at"]).select("key", F.col("next").alias("at"))), "reached")
-        further = hops.select("key", F.col("at").alias("next"), F.col("next").alias("further"))
-        hops = stage(hops.join(further, ["key", "next"]).select("key", "at", F.col("further").alias("next")), "hops")
+        found = stage(found.unionByName(found.join(hops, ["key", "burst", "at"]).select("key", "burst", F.col("next").alias("at"))), "reached")
+        further = hops.select("key", "burst", F.col("at").alias("next"), F.col("next").alias("further"))
+        hops = stage(hops.join(further, ["key", "burst", "next"]).select("key", "burst", "at", F.col("further").alias("next")), "hops")
     return found
 
 
@@ -83,12 +83,13 @@ def debounce(events: DataFrame, settle_seconds: float = K.SETTLE_SECONDS, max_wa
     # Bursts that fit into one wait are done; only longer ones are handed over in between.
     heads = spans.where(F.col("last") - F.col("burst") > longest).select("key", "burst")
     long = stage(cut.join(heads, ["key", "burst"]), "long-bursts")
-    firsts = reached(heads.select("key", F.col("burst").alias("at")), successors(long, longest + 1, settle))
-    # First events lie more than ``longest`` apart, so a cell of that width holds one at most, and an event's own is in its cell or the one before.
+    firsts = reached(heads.select("key", "burst", F.col("burst").alias("at")), successors(long, longest + 1, settle))
+    # A burst's first events lie more than ``longest`` apart, so a cell of that width holds one at most, and an event's own is in its cell or the
+    # one before. Those of two bursts may share a cell.
     cell = lambda c: F.floor(F.col(c) / F.lit(longest + 1))
-    first = lambda name: firsts.select("key", F.col("at").alias(name), cell("at").alias("cell"))
-    placed = long.select("key", "at", cell("at").alias("cell")).join(first("here"), ["key", "cell"], "left")
-    placed = placed.join(first("before").withColumn("cell", F.col("cell") + 1), ["key", "cell"], "left")
+    first = lambda name: firsts.select("key", "burst", F.col("at").alias(name), cell("at").alias("cell"))
+    placed = long.select("key", "burst", "at", cell("at").alias("cell")).join(first("here"), ["key", "burst", "cell"], "left")
+    placed = placed.join(first("before").withColumn("cell", F.col("cell") + 1), ["key", "burst", "cell"], "left")
     own = F.when(F.col("here") <= F.col("at"), F.col("here")).otherwise(F.col("before"))
     folded = placed.groupBy("key", own.alias("first")).agg(F.max("at").alias("last"), F.count("*").alias("changes"))
     handed = F.least(F.col("last") + settle, F.col("first") + longest)
@@ -104,5 +105,5 @@ def throttle(events: DataFrame, interval_seconds: float) -> DataFrame:
     cut = stage(bursts(events, interval - 1), "bursts")
     spans = cut.groupBy("key", "burst").agg(F.max("at").alias("last"))
     long = cut.join(spans.where(F.col("last") - F.col("burst") >= interval).select("key", "burst"), ["key", "burst"])
-    passed = reached(spans.select("key", F.col("burst").alias("at")), successors(long, interval, interval - 1))
+    passed = reached(spans.select("key", "burst", F.col("burst").alias("at")), successors(long, interval, interval - 1))
     return passed.select("key", F.timestamp_micros("at").alias("ts"))

@@ -84,6 +84,15 @@ def test_one_endless_burst_needs_no_python_and_no_task_of_its_own(spark):
     assert "Python" not in plan and "Pandas" not in plan and "hashpartitioning(key" in plan and "cell" in plan
 
 
+def test_debounce_keeps_long_bursts_apart(spark):
+    """The last hand-over of one long burst and the first of the next lie in one stretch of the maximum wait."""
+    start = 1_700_000_000_000 - 1_700_000_000_000 % 20_000
+    first = [start + at for at in range(0, 42_001, 1500)]
+    second = [first[-1] + 2500 + at for at in range(0, 42_001, 1500)]
+    got = changes.debounce(frame(spark, {"k": first + second}), 2, 20).collect()
+    assert sorted((ms(r.first_seen), ms(r.last_seen), r.changes) for r in got) == walk(first + second, 2000, 20000)
+
+
 def test_bursts_do_not_depend_on_cells(spark, events):
     rows = frame(spark, events)
     small = {tuple(r) for r in changes.bursts(rows, 2_000_000, 3_000_000).collect()}
