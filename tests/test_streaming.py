@@ -9,6 +9,7 @@ import transcripts as t
 from pyspark.sql import functions as F
 
 from sessionlens.operators import sessions as S
+from sessionlens.plans import queries
 from sessionlens.plans.reconcile import SessionIndex
 from sessionlens.sources import transcripts as R
 from sessionlens.streaming import changes, follow, stateful
@@ -93,6 +94,15 @@ def test_debounce_keeps_long_bursts_apart(spark):
     assert sorted((ms(r.first_seen), ms(r.last_seen), r.changes) for r in got) == walk(first + second, 2000, 20000)
 
 
+@pytest.mark.parametrize("name", ["follow_segments"])
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path, name):
+    """A table of several part files is followed like one of a single file."""
+    table = "/root/testdata/sf0.001/conversations.parquet"
+    spark.read.parquet(table).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = sorted(map(str, queries.REGISTRY[name](spark, "/root/testdata/sf0.001").collect()))
+    assert sorted(map(str, queries.REGISTRY[name](spark, str(tmp_path)).collect())) == want and want
+
+
 def test_bursts_do_not_depend_on_cells(spark, events):
     rows = frame(spark, events)
     small = {tuple(r) for r in changes.bursts(rows, 2_000_000, 3_000_000).collect()}
