@@ -94,7 +94,7 @@ def test_debounce_keeps_long_bursts_apart(spark):
     assert sorted((ms(r.first_seen), ms(r.last_seen), r.changes) for r in got) == walk(first + second, 2000, 20000)
 
 
-@pytest.mark.parametrize("name", ["follow_segments"])
+@pytest.mark.parametrize("name", ["follow_segments", "running_sessions"])
 def test_a_table_may_be_a_folder_of_files(spark, tmp_path, name):
     """A table of several part files is followed like one of a single file."""
     table = "/root/testdata/sf0.001/conversations.parquet"
