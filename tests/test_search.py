@@ -146,3 +146,29 @@ def test_sweep_prefers_the_labelled_session(spark, corpus):
     settings = spark.createDataFrame([("plain", 2.0, 0.0), ("repeat", 2.0, 1.0)], "setting string, co_occurrence double, repeat double")
     rows = {r.setting: r for r in S.weight_sweep(queries, labels, index, sessions, F.lit("2026-10-05").cast("timestamp"), settings).collect()}
     assert rows["plain"].mean_rank == 1.0 and rows["repeat"].mean_rank == 1.5 and rows["plain"].queries == 2
+
+
+def test_postings_of_many_chunks(spark):
+    """Positions per token and chunk, beyond the number of chunks a task takes at once; chunks without tokens give none."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "ab", "abc", "zürich", "x1"]) for _ in range(rng.randint(0, 12))) for _ in range(2 * I.CHUNKS_AT_ONCE + 7)]
+    chunks = spark.createDataFrame([(str(i), i % 3, 4, text) for i, text in enumerate(texts)], "session_id string, chunk_no bigint, kind int, text string").coalesce(1)
+    want = {}
+    for i, text in enumerate(texts):
+        for k, word in enumerate(text.replace("ü", "u").split()):
+            want.setdefault((word, str(i), i % 3, 4, len(text.split())), []).append(k)
+    got = I.build_postings(I.forward_index(chunks)).collect()
+    assert len(got) == len(want) and {tuple(r[:5]): list(r.positions) for r in got} == want and all(r.tf == len(r.positions) for r in got)
+    counted = {r.token: r.df for r in I.forward_vocabulary(I.forward_index(chunks)).collect()}
+    assert counted == {w: sum(k[0] == w for k in want) for w in {k[0] for k in want}}
+
+
+def test_hits_of_a_staged_index_deal_out_no_positions(spark, corpus):
+    """Terms meet the postings and phrases the token lists where they lie: the only shuffles are of hits, by their keys."""
+    queries = spark.createDataFrame([(1, "lad cro"), (2, "KLM-1234 spool")], "query_id int, text string")
+    hits = I.term_hits(I.distinct_terms(I.query_terms(queries)), corpus[2])
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert "SortMergeJoin" not in plan and "positions" not in plan and shuffles and all("(term" in line and "chunk_no" in line for line in shuffles)
+    assert {(r.term, r.session_id, r.tf) for r in hits.collect()} == {
+        ("lad", "both", 1), ("lad", "apart", 1), ("lad", "one", 1), ("cro", "both", 1), ("cro", "apart", 1), ("klm 1234", "key", 1), ("spool", "key", 1)}
