@@ -124,7 +124,7 @@ def write_transcripts(lines: DataFrame, root: str, append: bool = False) -> None
             out.close()
         yield pd.DataFrame({"done": [1]})
 
-    ordered = lines.repartition("folder", "session_id").sortWithinPartitions("folder", "session_id", "seq")
+    ordered = per_file(lines, "folder", "session_id").sortWithinPartitions("folder", "session_id", "seq")
     ordered.select("folder", "session_id", "line").mapInPandas(write, "done int").count()
 
 
@@ -143,7 +143,7 @@ def delete_transcripts(files: DataFrame, root: str) -> None:
                     system.delete_file(path)
             yield frame.iloc[:0][["session_id"]]
 
-    files.select("session_id", "folder").mapInPandas(remove, "session_id string").count()
+    per_file(files.select("session_id", "folder"), "folder", "session_id").mapInPandas(remove, "session_id string").count()
 
 
 def newest_first(files: DataFrame) -> DataFrame:
@@ -162,6 +162,11 @@ def describe_paths(paths: DataFrame, files: DataFrame, root: str) -> DataFrame:
     return asked.join(known, "wanted", "left").drop("wanted")
 
 
+def per_file(files: DataFrame, *keys: str) -> DataFrame:
+    """Deals rows out that are small but open a file each. The number is given: by their bytes they would all end in one task."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def head_hashes(files: DataFrame) -> DataFrame:
     """``(file_path, head_sha256, stored_part_sha256, readable, missing)`` from the first 4096 bytes of each file.
 
@@ -198,7 +203,7 @@ def head_hashes(files: DataFrame) -> DataFrame:
                 missing.append(isinstance(problem, FileNotFoundError))
             yield batch[["file_path"]].assign(head_sha256=whole, stored_part_sha256=part, readable=readable, missing=missing)
 
-    return sized.mapInPandas(read, "file_path string, head_sha256 string, stored_part_sha256 string, readable boolean, missing boolean")
+    return per_file(sized, "file_path").mapInPandas(read, "file_path string, head_sha256 string, stored_part_sha256 string, readable boolean, missing boolean")
 
 
 # ---------------------------------------------------------------- lines
@@ -278,7 +283,7 @@ def read_tails(work: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                     yield pd.DataFrame(rows, columns=columns)
 
     schema = "file_path string, block_start bigint, line_order bigint, byte_start bigint, byte_end bigint, line string, problem string"
-    return ranges.repartition("file_path", "block_start").mapInPandas(read, schema)
+    return per_file(ranges, "file_path", "block_start").mapInPandas(read, schema)
 
 
 # ---------------------------------------------------------------- records

@@ -152,3 +152,12 @@ def test_session_ids(spark):
              "0a1b2c3d4e5f4a6b8c7d9e0f1a2b3c4d.jsonl": None, "{0a1b2c3d-4e5f-4a6b-8c7d-9e0f1a2b3c4d}.jsonl": None, "0a1b2c3d-4e5f-4a6b-8c7d-9e0f1a2b3c4d.a.b": None}
     rows = spark.createDataFrame(list(cases.items()), "path string, want string").withColumn("got", R.session_id_of(F.col("path"))).collect()
     assert [r.got for r in rows] == [r.want for r in rows]
+
+
+def test_files_are_opened_by_many_tasks(spark, tmp_path):
+    """A few bytes name a file, so by their bytes all files would be opened by one task."""
+    lines = spark.range(40).select(F.format_string("%08d-1111-4222-8333-444455556666", "id").alias("session_id"), F.lit("work").alias("folder"), F.lit(1).alias("seq"), F.lit("{}").alias("line"))
+    R.write_transcripts(lines, f"{tmp_path}/logs")
+    files = R.list_files(spark, f"{tmp_path}/logs").coalesce(1)
+    for rows in (R.head_hashes(files), R.read_tails(files.withColumn("offset", F.lit(0).cast("bigint")))):
+        assert rows.count() == 40 and rows.select(F.spark_partition_id()).distinct().count() > 4
