@@ -172,3 +172,38 @@ def test_hits_of_a_staged_index_deal_out_no_positions(spark, corpus):
     assert "SortMergeJoin" not in plan and "positions" not in plan and shuffles and all("(term" in line and "chunk_no" in line for line in shuffles)
     assert {(r.term, r.session_id, r.tf) for r in hits.collect()} == {
         ("lad", "both", 1), ("lad", "apart", 1), ("lad", "one", 1), ("cro", "both", 1), ("cro", "apart", 1), ("klm 1234", "key", 1), ("spool", "key", 1)}
+
+
+def test_single_terms_shuffle_nothing(spark, monkeypatch):
+    """Prefix hits are made where the token lists lie, whatever tokens are neighbours, and equal those of the join that takes over where terms are too many to send."""
+    rng = random.Random(7)
+    words = ["a", "ab", "abc", "abcd", "abcde", "abd", "b", "ñu", "ñusta", "zoé", "zoë", "\U0001f600", "ÿ", "z"]
+    rows = [(str(i % 40), i, 4, " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))) for i in range(1300)]
+    index = I.build_index(spark.createDataFrame([*rows, ("x", 9999, 4, "?!")], "session_id string, chunk_no bigint, kind int, text string"))
+    asked = ["a", "ab", "abcd", "abcdef", "b", "n", "nu", "zoe", "y", "q", ""]
+    terms = spark.createDataFrame([(t, [t]) for t in asked], "term string, tokens array<string>")
+    hits = I.single_hits(terms, index)
+    assert "Exchange" not in hits._jdf.queryExecution().toString()
+    want = {}
+    for r in index.forward.collect():
+        for t in asked:
+            tf = sum(w.startswith(t) for w in r.tokens)
+            if t and tf:
+                want[t, r.session_id, r.chunk_no, r.kind, len(r.tokens)] = tf
+    assert {tuple(r)[:5]: r.tf for r in hits.collect()} == want and len(want) > 3000
+    monkeypatch.setattr(I, "TERMS_AT_ONCE", 3)
+    assert sorted(map(str, I.single_hits(terms, index).collect())) == sorted(map(str, hits.collect()))
+    monkeypatch.setattr(I, "MOST_SENT", 0)
+    joined = I.single_hits(terms, index)
+    assert "Exchange" in joined._jdf.queryExecution().toString()
+    assert sorted(map(str, joined.collect())) == sorted(map(str, hits.collect())) and joined.schema == hits.schema
+
+
+def test_candidates_alone_are_looked_up(spark, monkeypatch):
+    """Sessions qualify by hits of the rarest term; hits of no candidate are not staged or dealt out."""
+    hits = spark.createDataFrame([("often", str(s), c) for s in range(50) for c in range(3)] + [("rare", "7", 1), ("rare", "99", 0), ("other", "7", 2)], "term string, session_id string, chunk_no bigint")
+    terms = spark.createDataFrame([(1, 2, "often"), (1, 2, "rare"), (2, 3, "often"), (2, 3, "rare"), (2, 3, "none"), (3, 1, "other")], "query_id int, n_terms int, term string")
+    staged = {}
+    monkeypatch.setattr(S, "stage", lambda df, name: staged.setdefault(name, df.cache()))
+    assert {tuple(r) for r in S.qualified_sessions(terms, hits).collect()} == {(1, "7"), (3, "7")}
+    assert max(df.count() for df in staged.values()) <= 5
