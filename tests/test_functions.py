@@ -124,3 +124,12 @@ def test_recency(spark, weight, decay):
     for value, have in zip(values, got):
         age = max(0.0, (now - dt.datetime.fromisoformat(value)).total_seconds() / 86400) if value else 0
         assert have == pytest.approx(1 + weight * math.exp(-age / decay) if value and weight > 0 and decay > 0 else 1.0)
+
+
+def test_folder_patterns_stand_once_in_a_plan(spark):
+    """Each pattern is asked once or twice per row, in generated methods that stay small; before, it stood in the plan for every use."""
+    rows = spark.createDataFrame([(" /a/b// ",), ("/",), ("c:\\",), ("  ",), (None,), ("x",), ("c:",)], "path string")
+    shown = rows.select(X.folder_key(X.folder_display(F.col("path"))).alias("key"))
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("[\\\\/]+$") == 1 and plan.count("[\\p{Z}\\s") <= 4
+    assert [r.key for r in shown.collect()] == ["\\A\\B", "\\", "C:\\", None, None, "X", "C:\\"]
