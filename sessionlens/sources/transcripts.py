@@ -16,6 +16,8 @@ HEAD_BYTES = 4096
 BOM_BYTES = 3
 #: Bytes of a file that one task reads.
 RANGE_BYTES = 128 << 20
+#: What a line takes in a frame beside its text, about.
+ROW_BYTES = 200
 
 
 # ---------------------------------------------------------------- files
@@ -115,9 +117,10 @@ def write_transcripts(lines: DataFrame, root: str, append: bool = False) -> None
                 if (folder, session) != place:
                     if out is not None:
                         out.close()
-                    place = (folder, session)
                     system, path = locate(f"{base}/{folder}/{session}.jsonl")
-                    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    if place is None or folder != place[0]:
+                        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                    place = (folder, session)
                     out = system.open_append_stream(path) if append else system.open_output_stream(path)
                 out.write((line + "\n").encode())
         if out is not None:
@@ -249,6 +252,35 @@ def lines_from(stream, start: int, end: int, first: int, size: int, piece: int =
         begins = at - len(held)
 
 
+def range_frames(frames, range_bytes: int = RANGE_BYTES, piece: int = 8 << 20):
+    """Lines of the ranges in ``frames`` as frames of about ``piece`` bytes, whatever the size of the files: a frame for each small file
+    costs far more than reading it. A range that cannot be read to its end gives a row with ``problem`` instead of what is held of it."""
+    import pandas as pd
+
+    columns = ["file_path", "block_start", "line_order", "byte_start", "byte_end", "line", "problem"]
+    rows, held = [], 0
+    for frame in frames:
+        for path, size, offset, start in zip(frame["file_path"], frame["size"], frame["offset"], frame["block_start"]):
+            own = len(rows)
+            try:
+                system, name = locate(path)
+                with system.open_input_file(name) as stream:
+                    if stream.size() < size:
+                        raise OSError("the file is shorter than listed")
+                    for i, (at, line) in enumerate(lines_from(stream, start, min(start + range_bytes, size), offset, size)):
+                        text = line.removeprefix(b"\xef\xbb\xbf") if at == 0 else line
+                        rows.append((path, start, i, at, at + len(line) + 1, text.removesuffix(b"\r").decode("utf-8", "replace"), None))
+                        # Empty lines take room too.
+                        held += len(line) + ROW_BYTES
+                        if held > piece:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows, held, own = [], 0, 0
+            except OSError as error:
+                rows[own:] = [(path, start, -1, start, start, None, "missing" if isinstance(error, FileNotFoundError) else "failed")]
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
 def read_tails(work: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Lines of files from a byte on: ``work`` has (file_path, size, offset), each range of a file is a task's own.
 
@@ -257,33 +289,8 @@ def read_tails(work: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """
     ranges = work.where(F.col("size") > F.col("offset")).select(
         "file_path", "size", "offset", F.explode(F.sequence(F.col("offset"), F.col("size") - 1, F.lit(range_bytes).cast("bigint"))).alias("block_start"))
-
-    def read(batches):
-        import pandas as pd
-
-        columns = ["file_path", "block_start", "line_order", "byte_start", "byte_end", "line", "problem"]
-        for batch in batches:
-            for path, size, offset, start in zip(batch["file_path"], batch["size"], batch["offset"], batch["block_start"]):
-                rows, held = [], 0
-                try:
-                    system, name = locate(path)
-                    with system.open_input_file(name) as stream:
-                        if stream.size() < size:
-                            raise OSError("the file is shorter than listed")
-                        for i, (at, line) in enumerate(lines_from(stream, start, min(start + range_bytes, size), offset, size)):
-                            text = line.removeprefix(b"\xef\xbb\xbf") if at == 0 else line
-                            rows.append((path, start, i, at, at + len(line) + 1, text.removesuffix(b"\r").decode("utf-8", "replace"), None))
-                            held += len(line)
-                            if held > 8 << 20:
-                                yield pd.DataFrame(rows, columns=columns)
-                                rows, held = [], 0
-                except OSError as error:
-                    rows = [(path, start, -1, start, start, None, "missing" if isinstance(error, FileNotFoundError) else "failed")]
-                if rows:
-                    yield pd.DataFrame(rows, columns=columns)
-
     schema = "file_path string, block_start bigint, line_order bigint, byte_start bigint, byte_end bigint, line string, problem string"
-    return per_file(ranges, "file_path", "block_start").mapInPandas(read, schema)
+    return per_file(ranges, "file_path", "block_start").mapInPandas(lambda frames: range_frames(frames, range_bytes), schema)
 
 
 # ---------------------------------------------------------------- records

@@ -3,6 +3,7 @@
 import hashlib
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,47 @@ def test_files_are_opened_by_many_tasks(spark, tmp_path):
     files = R.list_files(spark, f"{tmp_path}/logs").coalesce(1)
     for rows in (R.head_hashes(files), R.read_tails(files.withColumn("offset", F.lit(0).cast("bigint")))):
         assert rows.count() == 40 and rows.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def ranges_of(paths):
+    return pd.DataFrame([(str(p), p.stat().st_size, 0, 0) for p in paths], columns=["file_path", "size", "offset", "block_start"])
+
+
+def test_small_files_share_a_frame(tmp_path):
+    """A frame for each file cost several times its reading. Files that cannot be read take no line of their neighbours along."""
+    paths = [t.write(tmp_path, n, t.lines(t.user(f"a {n}", 0, root=True), t.assistant("b", 1))) for n in range(300)]
+    work = ranges_of(paths)
+    work.loc[7, "size"] += 1
+    paths[9].unlink()
+    frames = list(R.range_frames(iter([work.iloc[:200], work.iloc[200:]])))
+    assert len(frames) == 1
+    got = frames[0]
+    assert got[got["problem"].notna()][["file_path", "problem"]].values.tolist() == [[str(paths[7]), "failed"], [str(paths[9]), "missing"]]
+    lines = got[got["problem"].isna()]
+    assert lines["file_path"].tolist() == [str(p) for n, p in enumerate(paths) if n not in (7, 9) for _ in range(2)]
+    assert lines["line_order"].tolist() == [0, 1] * 298 and [json.loads(x)["type"] for x in lines["line"][:2]] == ["user", "assistant"]
+
+
+def test_empty_lines_fill_a_frame_too(tmp_path):
+    """They were not counted, so a file of nothing else was held whole."""
+    frames = list(R.range_frames(iter([ranges_of([t.write(tmp_path, 1, "\n" * 10_000)])]), piece=100_000))
+    assert len(frames) > 10 and sum(map(len, frames)) == 10_000
+
+
+def test_a_file_that_fails_later_leaves_its_neighbours(tmp_path, monkeypatch):
+    """An error behind the first frame of a file is told once, and the lines that other files have in that frame still count."""
+    paths = [t.write(tmp_path, n, t.lines(*[t.user(f"{n} {i}", 0) for i in range(20)])) for n in range(3)]
+    read = R.lines_from
+
+    def breaks(stream, *args):
+        for i, found in enumerate(read(stream, *args)):
+            if i == 15 and b'"content": "1 ' in found[1]:
+                raise OSError("gone bad")
+            yield found
+
+    monkeypatch.setattr(R, "lines_from", breaks)
+    for piece in (1_000, 5_000, 1 << 20):
+        got = pd.concat(R.range_frames(iter([ranges_of(paths)]), piece=piece))
+        bad = got[got["problem"].notna()]
+        assert bad[["file_path", "problem"]].values.tolist() == [[str(paths[1]), "failed"]]
+        assert got[got["problem"].isna() & (got["file_path"] != str(paths[1]))]["line_order"].tolist() == [*range(20)] * 2
