@@ -173,7 +173,7 @@ class SessionIndex:
         work = stage(todo.join(problems, "file_path", "left_anti"), "work")
         parsed = read.join(problems, "file_path", "left_anti").drop("problem")
         ends = R.tail_ends(parsed)
-        records = stage(R.identify(R.number_tails(parsed, work), owner).join(work.select("session_id"), "session_id", "left_semi"), "records")
+        records = stage(R.identify(R.number_tails(parsed, work), owner), "records")
 
         touched = work.select("session_id", "plan", "file_path", "file_name", "size", "mtime", "head_sha256", "offset", "line_count").join(ends, "file_path", "left")
         fresh, new_chunks = self._merged(base, records, touched, now, owner)
@@ -246,8 +246,9 @@ class SessionIndex:
         totals = {"chunks": 0, "tokens": 0, "dead": 0} | base["totals"]
         postings = stage(I.build_postings(I.forward_index(new_chunks)).withColumn("token_bucket", I.token_bucket(F.col("token"), self.token_buckets)), "postings")
         changes = postings.select("token", F.lit(1).alias("df"))
-        come = I.forward_index(new_chunks).agg(F.count("*").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
-        totals["chunks"], totals["tokens"] = totals["chunks"] + come.n, totals["tokens"] + come.tokens
+        # A token stands in its posting once per occurrence, so texts need not be read again to count them.
+        come = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).first()
+        totals["chunks"], totals["tokens"] = totals["chunks"] + new_chunks.count(), totals["tokens"] + come.tokens
         tables = {t: list(base["tables"].get(t, [])) for t in SCHEMAS}
         if known:
             produced = new_chunks.where("derived = 1").select("session_id", "kind").distinct()
@@ -277,7 +278,10 @@ class SessionIndex:
         whole = totals["dead"] > self.most_dead * max(1, totals["chunks"])
         for table in SCHEMAS:
             segments = tables[table]
-            chosen = segments if whole and table in ("sessions", "chunks", "postings") else sinks.to_merge(segments)
+            chosen = sinks.to_merge(segments)
+            if whole and table in ("sessions", "chunks", "postings"):
+                # What this pass wrote holds nothing that no longer counts, and stays as it is unless it is merged anyway.
+                chosen = [s for s in segments if s in base["tables"].get(table, []) or s in chosen]
             if not chosen or table == "deaths":
                 continue
             rows = self.tables.read(table, SCHEMAS[table], chosen)

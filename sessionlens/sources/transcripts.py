@@ -23,16 +23,21 @@ ROW_BYTES = 200
 # ---------------------------------------------------------------- files
 
 
+def _last_part(path: Column) -> Column:
+    """What stands behind the last slash or backslash. A pattern that is anchored at the end only is tried at every place of a path."""
+    return F.substring_index(F.substring_index(path, "/", -1), "\\", -1)
+
+
 def session_id_of(path: Column) -> Column:
     """Session id from a file name or path, lower case; NULL when the name is not one."""
-    name = F.regexp_extract(path, r"([^/\\]*)$", 1)
+    name = _last_part(path)
     stem = F.regexp_replace(name, r"(?s)(.)\.[^.]*$", "$1")
     return F.when(F.rlike(stem, F.lit(SESSION_ID)), F.lower(stem))
 
 
 def file_name_of(path: Column) -> Column:
     """File name without folder and last extension."""
-    return F.regexp_extract(path, r"([^/\\]*?)(\.[^./\\]*)?$", 1)
+    return F.regexp_extract(_last_part(path), r"^([^/\\]*?)(\.[^./\\]*)?$", 1)
 
 
 def locate(name: str):
@@ -86,8 +91,9 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     ).where(F.col("session_id").isNotNull())
 
 
-def transcript_lines(records: DataFrame) -> DataFrame:
-    """``session_id, seq, line``: records as the JSON lines a transcript holds. The inverse of parsing, for the fields that are kept."""
+def transcript_lines(records: DataFrame, *keys: str) -> DataFrame:
+    """``session_id, seq, line`` and the columns ``keys``: records as the JSON lines a transcript holds. The inverse of parsing, for the
+    fields that are kept."""
     content = F.when(F.size("blocks") > 0, F.to_json(F.transform("blocks", lambda b: F.struct(F.lit("text").alias("type"), b.alias("text"))))).otherwise(F.lit("[]"))
     line = F.to_json(F.struct(
         "type", "cwd", F.col("git_branch").alias("gitBranch"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
@@ -98,7 +104,7 @@ def transcript_lines(records: DataFrame) -> DataFrame:
     # Content is JSON already: it is put in before the closing brace.
     said = F.when(F.col("has_message"), F.concat(F.lit(',"message":{"content":'), content, F.lit("}"))).otherwise(F.lit(""))
     result = F.when(F.col("has_tool_result"), F.lit(',"toolUseResult":{}')).otherwise(F.lit(""))
-    return records.select("session_id", "seq", F.concat(F.substring(line, F.lit(1), F.length(line) - 1), said, result, F.lit("}")).alias("line"))
+    return records.select("session_id", *keys, "seq", F.concat(F.substring(line, F.lit(1), F.length(line) - 1), said, result, F.lit("}")).alias("line"))
 
 
 def write_transcripts(lines: DataFrame, root: str, append: bool = False) -> None:

@@ -238,6 +238,21 @@ def test_readers_keep_what_they_opened_and_old_segments_go_in_the_end(spark, tmp
     assert any(f.startswith("pass=000000000099-") for f in folders(index, "chunks"))
 
 
+def test_a_pass_does_not_write_its_own_segment_twice(spark, tmp_path):
+    """Where too much no longer counts, older segments are written without it; what the pass itself has just written is clean."""
+    root, index = tmp_path / "logs", SessionIndex(spark, str(tmp_path / "index"), buckets=2, most_dead=0.0)
+    paths = grown(root)
+    index.reconcile(str(root), "2026-03-02 12:00:00")
+    t.write(root, 1, t.lines(t.user("again", 9), t.title("ai-title", "T")), append=True)
+    touch(paths[1], 60)
+    index.reconcile(str(root), "2026-03-02 13:00:00")
+    version = index.version()
+    for table in ("sessions", "chunks", "postings"):
+        assert [int(s["pass"][:12]) for s in version["tables"][table]] == [1, 2]
+    assert version["totals"]["dead"] == 0 and version["tables"]["deaths"] == []
+    assert tables(index) == rebuilt(spark, root, tmp_path, "fresh")
+
+
 def test_small_segments_are_merged(spark, tmp_path, monkeypatch):
     merge = sinks.to_merge
     monkeypatch.setattr(sinks, "to_merge", lambda segments: merge(segments, 2))

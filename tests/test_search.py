@@ -163,6 +163,14 @@ def test_postings_of_many_chunks(spark):
     assert counted == {w: sum(k[0] == w for k in want) for w in {k[0] for k in want}}
 
 
+def test_postings_make_token_lists_once(spark):
+    """A filter on the token lists would be asked below their projection, and make all of them a second time."""
+    chunks = spark.createDataFrame([("s", 1, 4, "one two"), ("s", 2, 4, "..."), ("s", 3, 4, None)], "session_id string, chunk_no bigint, kind int, text string")
+    made = I.build_postings(I.forward_index(chunks))
+    assert made._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+    assert sorted((r.token, r.chunk_no, r.tf) for r in made.collect()) == [("one", 1, 1), ("two", 1, 1)]
+
+
 def test_hits_of_a_staged_index_deal_out_no_positions(spark, corpus):
     """Terms meet the postings and phrases the token lists where they lie: the only shuffles are of hits, by their keys."""
     queries = spark.createDataFrame([(1, "lad cro"), (2, "KLM-1234 spool")], "query_id int, text string")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 
 import pandas as pd
 import pytest
@@ -155,6 +156,16 @@ def test_session_ids(spark):
     assert [r.got for r in rows] == [r.want for r in rows]
 
 
+def test_long_paths_are_taken_apart_in_one_go(spark):
+    """A pattern that is anchored at the end only takes a path's length squared, for every line of its file."""
+    session = "0a1b2c3d-4e5f-4a6b-8c7d-9e0f1a2b3c4d"
+    cases = {f"/{'a' * 400_000}/{session}.jsonl": (session, session), f"C:\\{'b' * 400_000}\\x.y.jsonl": (None, "x.y"), "a/b\\c.d/.jsonl": (None, ""), "x/": (None, ""), f"{session}.a\n": (session, session)}
+    rows = spark.createDataFrame([(k,) for k in cases], "path string")
+    start = time.monotonic()
+    got = rows.select("path", R.session_id_of(F.col("path")), R.file_name_of(F.col("path"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in got} == cases and time.monotonic() - start < 20
+
+
 def test_files_are_opened_by_many_tasks(spark, tmp_path):
     """A few bytes name a file, so by their bytes all files would be opened by one task."""
     lines = spark.range(40).select(F.format_string("%08d-1111-4222-8333-444455556666", "id").alias("session_id"), F.lit("work").alias("folder"), F.lit(1).alias("seq"), F.lit("{}").alias("line"))
